@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, url_filter
+from . import bpe, decontaminate, exact, near, url_filter
 from .common import read
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -66,9 +66,60 @@ SELECT doc_id,
 FROM t
 """
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(read(spark, sf_dir, "documents"), k=4)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh
+  FROM w),
+f AS MATERIALIZED (SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), chr(10))) AS fp, sh FROM s),
+c AS MATERIALIZED (SELECT fp, any_value(n) AS n, any_value(sh) AS sh, min(doc_id) AS least FROM f WHERE n > 0 GROUP BY fp),
+e AS MATERIALIZED (SELECT fp, n, unnest(sh) AS x FROM c),
+pairs AS (SELECT a.fp AS u, b.fp AS v, a.n AS p, b.n AS q, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.fp <> b.fp GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM pairs WHERE 100 * k >= 80 * (p + q - k)),
+reach(u, v) AS (SELECT fp, fp FROM c UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+comp AS (SELECT reach.u AS fp, min(c.least) AS component_id FROM reach JOIN c ON c.fp = reach.v GROUP BY 1)
+SELECT f.doc_id, f.n AS n_shingles, coalesce(comp.component_id, f.doc_id) AS component_id, f.doc_id = coalesce(comp.component_id, f.doc_id) AS kept
+FROM f LEFT JOIN comp ON f.fp = comp.fp AND f.n > 0
+"""
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM benchmark),
+ig AS (
+  SELECT item_id, least(len(ws), 5) AS k, unnest(list_distinct(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda p: array_to_string(ws[p:p+least(len(ws), 5)-1], ' ')))) AS g
+  FROM i WHERE len(ws) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM ig GROUP BY 1),
+ks AS (SELECT DISTINCT k FROM ig),
+dg AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p+k-1], ' '))) AS g
+  FROM d, ks WHERE len(ws) >= k),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
+"""
+
 QUERIES = {
+    "op10_decontaminate": op10_decontaminate,
+    "op9_near_dedup": op9_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
-ORACLE_SQL = {"op4_url_filter": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op10_decontaminate": OP10_SQL, "op9_near_dedup": OP9_SQL, "op4_url_filter": OP4_SQL, "op8_exact_dedup": OP8_SQL}
