@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, near, url_filter
-from .common import read
+from . import bpe, decontaminate, exact, near, quality, toxicity, url_filter
+from .common import crc_mod, read
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -115,7 +115,22 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_item
 """
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    out = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod(F.col("doc_id"), 3) == 1
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels"), ~held))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_offending"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_toxicity": op3_toxicity,
     "op10_decontaminate": op10_decontaminate,
     "op9_near_dedup": op9_near_dedup,
     "op4_url_filter": op4_url_filter,
