@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact, near, quality, toxicity, url_filter
+from . import bpe, ctw, decontaminate, exact, near, quality, toxicity, url_filter
 from .common import crc_mod, read
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -128,7 +128,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_offending"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    out = ctw.score(docs, ~F.col("held_out"), keep=("held_out",))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES = {
+    "op6_lm_score": op6_lm_score,
     "op1_quality": op1_quality,
     "op3_toxicity": op3_toxicity,
     "op10_decontaminate": op10_decontaminate,
