@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, exact, near, quality, repeats, toxicity, url_filter
+from . import bpe, ctw, decontaminate, exact, near, quality, quotes, repeats, toxicity, url_filter
 from .common import crc_mod, read
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -146,7 +146,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op2_quotes": op2_quotes,
     "op7_repeats": op7_repeats,
     "op6_lm_score": op6_lm_score,
     "op1_quality": op1_quality,
