@@ -6,8 +6,8 @@ next to each other in memory, so a signature is a minimum over slices.
 
 Texts with the same shingle set form one class at once, and only classes are
 compared.  In each band bucket every class is compared with one leader drawn by
-hash; classes that this leaves in different components of a bucket are then
-compared in blocks of fixed size.  So no bucket gives all its pairs, none is
+hash; classes that this leaves outside a bucket's largest component are then
+compared with it, and with each other, in blocks of fixed size.  So no bucket gives all its pairs, none is
 held whole by a task, and no link between classes of a bucket is lost.
 """
 
@@ -31,7 +31,7 @@ from .components import components
 BANDS, ROWS = 26, 5
 PLACES = 1 << 18
 #: Classes of a bucket that one comparison task holds on either side.
-BLOCK = 96
+BLOCK = 256
 
 _rng = np.random.default_rng(7919)
 SIGMA = _rng.permutation(PLACES).astype(np.int64)
@@ -165,15 +165,21 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     names = found.select(F.col("node").alias("_fp"), "component")
     named = buckets.join(sized(names), "_fp", "left").withColumn("_comp", F.coalesce("component", "_fp")).drop("component")
     named = materialize(named, "near-named")
-    mixed = named.groupBy("_band").agg(F.count("*").alias("_n"), F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.bit_xor(F.xxhash64("_fp")).alias("_bucket"))
-    mixed = mixed.where("lo != hi").groupBy("_bucket", "_n").agg(F.min("_band").alias("_band"))
-    mixed = materialize(mixed.where("_n > 2"), "near-mixed")  # of two, both were compared
+    sizes = named.groupBy("_band", "_comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_fp")).alias("x"))
+    mixed = sizes.groupBy("_band").agg(F.sum("n").alias("_n"), F.max("n").alias("_main"), F.max_by("_comp", F.struct("n", "_comp")).alias("_dom"), F.count("*").alias("c"), F.bit_xor("x").alias("_bucket"))
+    mixed = mixed.where("c > 1 and _n > 2")  # of two, both were compared
+    mixed = materialize(mixed.groupBy("_bucket", "_n", "_main", "_dom").agg(F.min("_band").alias("_band")), "near-mixed")
     if not mixed.isEmpty():
-        blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-        m = named.join(sized(mixed), "_band").withColumn("_blocks", blocks)
-        m = m.withColumn("_block", F.pmod(F.xxhash64("_fp"), F.col("_blocks")).cast("int"))
-        m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        m = m.select("_fp", "_comp", "_bucket", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
+        # Classes outside the bucket's largest component meet that, and each other, block by block.
+        count = lambda n: F.ceil(n / BLOCK).cast("int")
+        m = named.join(sized(mixed), "_band").withColumns({"_in": F.col("_comp") == F.col("_dom"), "_inner": count(F.col("_main")), "_outer": count(F.col("_n") - F.col("_main"))})
+        m = m.withColumn("_block", F.pmod(F.xxhash64("_fp"), F.when(F.col("_in"), F.col("_inner")).otherwise(F.col("_outer"))).cast("int"))
+        outer, inner = F.sequence(F.lit(0), F.col("_outer") - 1), F.sequence(F.lit(0), F.col("_inner") - 1)
+        pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        met = F.transform(outer, lambda i: pair(i, -F.col("_block") - 1))
+        own = F.concat(F.transform(inner, lambda j: pair(F.col("_block"), -j - 1)), F.transform(outer, lambda i: pair(F.least(i, F.col("_block")), F.greatest(i, F.col("_block")))))
+        m = m.withColumn("_to", F.explode(F.when(F.col("_in"), met).otherwise(own)))
+        m = m.select("_fp", "_comp", "_bucket", F.when(F.col("_in"), -F.col("_block") - 1).otherwise(F.col("_block")).alias("_block"), F.col("_to.i").alias("_i"), F.col("_to.j").alias("_j"))
         more = materialize(_blocked(m.join(sets, "_fp"), percent), "near-more")
         if not more.isEmpty():
             links = links.unionByName(more)
