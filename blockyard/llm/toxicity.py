@@ -54,39 +54,27 @@ class NoisyOr:
         self.epochs, self.rate, self.decay, self.seed = epochs, rate, decay, seed
         self.weights, self.bias = np.zeros(1 << BITS, dtype=np.float32), -20.0
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray) -> NoisyOr:
-        """``docs``: for each document an array of rows (sentence, bucket), distinct."""
-        y = np.asarray(y, dtype=np.float64)
-        sizes = np.array([len(d) for d in docs])
-        pairs = np.concatenate(docs) if len(docs) else np.empty((0, 2), np.int64)
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        held = np.unique(doc * (1 << BITS) + pairs[:, 1]) & ((1 << BITS) - 1)
-        seen = np.bincount(held, minlength=1 << BITS)
-        pos = np.unique(doc[y[doc] > 0] * (1 << BITS) + pairs[y[doc] > 0, 1]) & ((1 << BITS) - 1)
-        toxic = np.bincount(pos, minlength=1 << BITS)
-        # Words that are no more frequent in toxic documents are no evidence of toxicity.
+    def fit(self, doc: np.ndarray, sentence: np.ndarray, bucket: np.ndarray, plain: np.ndarray, y: np.ndarray) -> NoisyOr:
+        """Distinct (document, sentence, bucket) triples of evidence; ``plain``: each document's sentences without any."""
+        y, plain = np.asarray(y, dtype=np.float64), np.asarray(plain, dtype=np.float64)
         rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
-        excess = (toxic - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
-        use = np.flatnonzero((seen >= LEAST_DOCS) & (excess >= EXCESS))
-        number = np.full(1 << BITS, -1)
-        number[use] = np.arange(len(use))
-        sentence = np.unique(doc * (1 << 32) + pairs[:, 0], return_inverse=True)
-        owner = (sentence[0] >> 32).astype(np.int64)
-        word = number[pairs[:, 1]]
-        row, word = sentence[1][word >= 0], word[word >= 0]
-        # sentences without evidence share the bias alone
+        use, word = np.unique(bucket, return_inverse=True)
+        own, row = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
+        owner = own >> 32
         w, b = np.full(len(use), 0.5), np.log(rate / 40)
         mw, vw, mb, vb = np.zeros(len(use)), np.zeros(len(use)), 0.0, 0.0
         n = len(owner)
         for t in range(1, self.epochs + 1):
             z = np.clip(b + np.bincount(row, w[word], n), -30, 30)
             p = 1 / (1 + np.exp(-z))
-            none = np.bincount(owner, np.log1p(-p), len(docs))  # log probability that no sentence is toxic
+            p0 = 1 / (1 + np.exp(-np.clip(b, -30, 30)))  # sentences without evidence share the bias alone
+            none = np.bincount(owner, np.log1p(-p), len(y)) + plain * np.log1p(-p0)  # log probability that no sentence is toxic
             q = np.clip(-np.expm1(none), 1e-9, 1.0)
             # d loss / d z of a sentence is p for label 0 and -p (1 - q) / q for label 1
-            g = np.where(y[owner] > 0, -p * np.exp(none[owner]) / q[owner], p) / len(docs)
-            gw = np.bincount(word, g[row], len(use)) + self.decay * w / len(docs)
-            gb = g.sum()
+            slope = np.where(y > 0, -np.exp(none) / q, 1.0) / len(y)
+            g = p * slope[owner]
+            gw = np.bincount(word, g[row], len(use)) + self.decay * w / len(y)
+            gb = g.sum() + p0 * (plain * slope).sum()
             mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
             w = w - self.rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.99**t)) + 1e-9)
@@ -120,19 +108,53 @@ def _evidence(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "_y double, _pairs array<long>")
 
 
+def _evident(sample: DataFrame) -> np.ndarray:
+    """Buckets of the words that toxic documents of the sample hold more often than chance; counted by Spark."""
+    mask = F.lit((1 << BITS) - 1).cast("long")
+    held = sample.select("_y", F.explode(F.array_distinct(F.transform("_pairs", lambda x: x.bitwiseAND(mask)))).alias("b"))
+    seen = held.groupBy("b").agg(F.count("*").alias("n"), F.sum("_y").alias("t")).where(F.col("n") >= LEAST_DOCS)
+    mean = sample.agg(F.avg("_y")).first()[0]
+    rate = min(max(mean, 1e-6), 1 - 1e-6)
+    excess = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+    return seen.where(excess >= EXCESS).select("b").toArrow().column("b").to_numpy()  # at most 2^BITS
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
-    """Fit on at most ``limit`` labelled documents; without both classes the model stays silent."""
-    small_batches(docs.sparkSession)
+    """Fit on at most ``limit`` labelled documents; without both classes the model stays silent.
+
+    Words that are no more frequent in toxic documents are no evidence of
+    toxicity, so the driver gets the pairs of evident words only.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     chosen = sized(sample_labels(labels, id, label, learn, limit))
-    rows = docs.join(chosen, F.col(id) == F.col("_lid")).select("_y", F.col(text).cast("binary").alias("_text"), "_lid")
-    rows = materialize(_evidence(rows.select("_y", "_text")), "toxic-sample").limit(2 * limit).toArrow()
-    y = rows.column("_y").to_numpy()
-    if not len(y) or y.min() == y.max():
+    rows = docs.join(chosen, F.col(id) == F.col("_lid")).select("_y", F.col(text).cast("binary").alias("_text"))
+    sample = materialize(_evidence(rows), "toxic-sample")
+    n, least, most = sample.agg(F.count("*"), F.min("_y"), F.max("_y")).first()
+    if not n or least == most:
         return NoisyOr()
-    lists = rows.column("_pairs").combine_chunks()
+    use = np.sort(_evident(sample))
+    shared = spark.sparkContext.broadcast(use)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << BITS, dtype=bool)
+        own[shared.value] = True
+        for batch in batches:
+            column = batch.column("_pairs")
+            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            hit = own[flat & ((1 << BITS) - 1)]
+            said = np.unique(doc << 24 | flat >> BITS) >> 24  # one for each sentence with words
+            told = np.unique((doc << 24 | flat >> BITS)[hit]) >> 24
+            plain = np.bincount(said, minlength=batch.num_rows) - np.bincount(told, minlength=batch.num_rows)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(plain), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit]))], names=["_y", "plain", "hits"])
+
+    got = sample.mapInArrow(run, "_y double, plain long, hits array<long>").limit(2 * limit).toArrow()
+    lists = got.column("hits").combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    own = [np.stack([flat[a:b] >> BITS, flat[a:b] & ((1 << BITS) - 1)], axis=1) for a, b in zip(at[:-1], at[1:])]
-    return NoisyOr().fit(own, y)
+    doc = np.repeat(np.arange(len(lists)), np.diff(at))
+    return NoisyOr().fit(doc, flat >> BITS, flat & ((1 << BITS) - 1), got.column("plain").to_numpy(), got.column("_y").to_numpy())
 
 
 def score(docs: DataFrame, model: NoisyOr, id: str = "doc_id", text: str = "text") -> DataFrame:
