@@ -8,6 +8,7 @@ long the pre-token is.  Each Python worker keeps a bounded memo of pre-tokens.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-MEMO = 400_000
+#: Pre-tokens in each of a memo's two generations.
+TOKENS = 400_000
 MASK = (1 << 64) - 1
 
 
@@ -87,6 +89,27 @@ def load_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in (x.split() for x in f if x.strip())]
 
 
+class Decoder:
+    """Bytes of ids: the vocabulary end to end, with where each id's bytes begin."""
+
+    def __init__(self, ranks: list[tuple[bytes, int]]):
+        n = max((r for _, r in ranks), default=-1) + 1
+        self.size, self.start = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        self.data = np.frombuffer(b"".join(k for k, _ in ranks), dtype=np.uint8)
+        own = np.array([r for _, r in ranks], dtype=np.int64)
+        self.size[own] = [len(k) for k, _ in ranks]
+        self.start[own] = np.cumsum(self.size[own]) - self.size[own]
+
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Binary array of the lists ``ids[ends[i]:ends[i + 1]]``; unknown ids raise."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or self.size[ids].min() < 0):
+            raise ValueError("unknown id")
+        sizes = self.size[ids]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(at[-1]) + np.repeat(self.start[ids] - at[:-1], sizes)
+        return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int64)), pa.py_buffer(self.data[place])]).cast(pa.binary())
+
+
 class Encoder:
     """Ranks and pattern, ready to encode; the vocabulary has a fixed size and is broadcast."""
 
@@ -95,69 +118,95 @@ class Encoder:
         self.rank = [r for _, r in ranks]
         self.pattern = pattern
         self.ranks = dict(ranks)  # of the merges' results
-        self.bytes_of = {r: k for k, r in ranks}
+        self.pairs = [self.ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
+        self.decoder = Decoder(ranks)
+        self.ready: TextEncoder | None = None
 
     def lookup(self, piece: bytes) -> int:
         i = self.hash.get(piece)
         return self.rank[i] if i >= 0 else -1
 
     def merge(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost first, over a linked list of parts."""
+        """Lowest rank first, leftmost first, over a linked list of parts.
+
+        A heap entry is a rank and a part's start in one number; it holds as long
+        as the part and the one after it still join to that rank.
+        """
         n, get = len(piece), self.ranks.get
-        end = list(range(1, n + 1))  # a part starts at i and ends at end[i]
-        before = list(range(-1, n - 1))
-        alive = [True] * n
-        heap = []
-        for i in range(n - 1):
-            if (r := get(piece[i : i + 2])) is not None:
-                heap.append((r, i, i + 1, i + 2))
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        pairs = self.pairs
+        joined = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        joined.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(joined) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            _, i, mid, stop = heapq.heappop(heap)
-            if not alive[i] or end[i] != mid or mid >= n or not alive[mid] or end[mid] != stop:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            if joined[i] != entry >> 32:
                 continue
-            alive[mid] = False
-            end[i] = stop
+            mid = after[i]
+            stop = after[i] = after[mid]
+            joined[mid] = -1
+            r = -1
             if stop < n:
                 before[stop] = i
-                if (r := get(piece[i : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, i, stop, end[stop]))
-            if (p := before[i]) >= 0 and (r := get(piece[p:stop])) is not None:
-                heapq.heappush(heap, (r, p, i, stop))
+                r = get(piece[i : after[stop]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | i)
+            joined[i] = r
+            p = before[i]
+            if p >= 0:
+                joined[p] = r = get(piece[p:stop], -1)
+                if r >= 0:
+                    heapq.heappush(heap, r << 32 | p)
         out, i = [], 0
         while i < n:
-            r = get(piece[i : end[i]])
+            r = get(piece[i : after[i]])
             if r is None:
-                raise ValueError(f"no rank for byte {piece[i : end[i]]!r}")
+                raise ValueError(f"no rank for byte {piece[i : after[i]]!r}")
             out.append(r)
-            i = end[i]
+            i = after[i]
         return out
 
+    def texts(self) -> TextEncoder:
+        """The process's encoder of whole texts; it stays with a worker from task to task."""
+        if self.ready is None:
+            self.ready = TextEncoder(self)
+        return self.ready
+
     def piece(self, piece: bytes) -> list[int]:
         r = self.lookup(piece)
         return [r] if r >= 0 else self.merge(piece)
 
 
 class Memo(dict):
-    """Pre-token to ids; emptied when full, so a worker's memory is bounded."""
+    """What ``make`` gives for a text, as bytes, in two generations of ``size`` entries; long texts are not kept."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
 
-    def __missing__(self, token: str) -> list[int]:
-        ids = self.encoder.piece(token.encode("utf-8"))
-        if len(token) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[token] = ids
-        return ids
+class TextEncoder:
+    """Ids of whole texts as 32-bit numbers; each match of the pattern is looked up or encoded once."""
 
+    def __init__(self, encoder: Encoder):
+        self.find = regex.compile(encoder.pattern).findall
+        self.token = Memo(lambda t: array("i", encoder.piece(t.encode("utf-8"))).tobytes(), TOKENS).__getitem__
+        gc.freeze()  # the memo holds no cycles; else each collection walks through it
 
-def encode_text(text: str | None, find, get) -> array:
-    out = array("i")
-    for ids in map(get, find(text or "")):
-        out.extend(ids)
-    return out
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.token, self.find(text))), dtype=np.int32)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -175,21 +224,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared.value
-        find, memo = regex.compile(enc.pattern).findall, Memo(enc)
-        get, back = memo.__getitem__, enc.bytes_of.__getitem__
+        encoder = shared.value
+        texts = encoder.texts()
         for batch in batches:
-            flat, offsets, raw = array("i"), array("i", [0]), []
-            for t in batch.column(text).to_pylist():
-                own = array("i")
-                extend = own.extend
-                for x in map(get, find(t or "")):
-                    extend(x)
-                raw.append(b"".join(map(back, own)))
-                flat.extend(own)
-                offsets.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
-            cols = [batch.column(n) for n in names] + [lists, pa.array(raw, type=pa.binary())]
+            own = [texts(t or "") for t in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = np.concatenate(own) if own else np.empty(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            cols = [batch.column(n) for n in names] + [lists, encoder.decoder(flat, ends)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, ids, decoded])
 
     return docs.select(*[f"`{n}`" for n in names], text).mapInArrow(run, schema)
@@ -199,14 +241,15 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
     """``docs`` with the bytes of each id list; null lists give no bytes, unknown ids raise."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast({r: k for k, r in load_ranks(ranks_path)})
+    shared = spark.sparkContext.broadcast(Decoder(load_ranks(ranks_path)))
     kept = [f for f in docs.schema.fields if f.name != decoded]
     names = [f.name for f in kept]
 
     def run(batches):
-        back = shared.value.__getitem__
+        back = shared.value
         for batch in batches:
-            raw = [b"".join(map(back, x or ())) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(raw, type=pa.binary())], names=[*names, decoded])
+            own = [np.array(x or (), dtype=np.int64) for x in batch.column(ids).to_pylist()]
+            raw = back(np.concatenate(own) if own else np.empty(0, np.int64), np.cumsum([0, *map(len, own)]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], raw], names=[*names, decoded])
 
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
