@@ -145,7 +145,8 @@ def _merged(texts: DataFrame, length: int, core: int) -> DataFrame:
         if size:
             yield solve(*held)
 
-    dealt = texts.repartition("_core").sortWithinPartitions("_core")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(tasks, "_core").sortWithinPartitions("_core")
     return dealt.mapInArrow(run, "_core long, _seg long, _k int")
 
 
@@ -194,7 +195,7 @@ def repeated_spans(base: DataFrame, length: int = LENGTH, core: int = CORE, most
     """
     found = materialize(_scan(base, length, core), "repeat-segments")
     cores = found.groupBy("_core").agg(F.count("*").alias("n")).where("n > 1").select("_core")
-    shared = materialize(found.join(sized(materialize(cores, "repeat-cores")), "_core", "left_semi"), "repeat-shared")
+    shared = materialize(found.join(materialize(cores, "repeat-cores"), "_core", "left_semi"), "repeat-shared")
     kinds = shared.groupBy("_core", "_seg").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_lo", "_more", "_at")).alias("_one"))
     kinds = materialize(kinds, "repeat-kinds")
     # cores with different segments of which one at least is not settled
@@ -209,7 +210,7 @@ def repeated_spans(base: DataFrame, length: int = LENGTH, core: int = CORE, most
     single = chosen.where("_n = 1").select("_core", "_seg", "_row", "_lo")
     fine = hits.join(single, ["_core", "_seg"]).select("_row", (F.col("_lo") + F.col("_k")).alias("_a"), (F.col("_lo") + F.col("_k") + length).alias("_b"))
     whole = materialize(kinds.where("_n > 1").select("_core", "_seg"), "repeat-whole")
-    coarse = shared.join(sized(whole), ["_core", "_seg"], "left_semi").select("_row", F.col("_lo").alias("_a"), (F.col("_lo") + F.col("_more") + length).alias("_b"))
+    coarse = shared.join(whole, ["_core", "_seg"], "left_semi").select("_row", F.col("_lo").alias("_a"), (F.col("_lo") + F.col("_more") + length).alias("_b"))
     return materialize(_joined_spans(coarse.unionByName(fine)), "repeat-spans")
 
 
