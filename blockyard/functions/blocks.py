@@ -15,6 +15,7 @@ LAST_ID = 175
 AIR, STONE, SPAWNER, CHEST, COMMAND = 0, 1, 52, 54, 137
 HOLE_BIT = 0x10
 
+# Block names in the order of their numbers, "-" where a number is unused.
 _WORDS = (
     "air smooth_stone grass dirt cobblestone wood_planks sapling bedrock water stationary_water "
     "lava stationary_lava sand gravel gold_ore iron_ore coal_ore log leaves sponge "
@@ -36,6 +37,7 @@ _WORDS = (
     "hay_block carpet hardened_clay coal_block packed_ice double_plant "
 ).split()
 
+# The numbers of each class of blocks.
 _CLASSES = {
     "opaque": "1-5 7 12-17 19 21-25 35 41-43 45-49 56-58 61-62 73-74 80 82 84 86-88 91 97-100 103 110 112 121 123-125 129 133 137 152-153 155 158-159 170 172-174",
     "transparent": "0 18 20 29 33 44 52-53 60 67 89 95 108-109 114 120 122 126 128 134-136 138 156",
@@ -51,6 +53,7 @@ _CLASSES = {
     "stair": "53 67 108-109 114 128 134-136 156",
 }
 
+# Weight of a block in the ground test, and the numbers that have it.
 _WEIGHTS = {
     -10: "151",
     -8: "0 6 18 26-28 31-32 37-38 50-51 55 59 63-66 68-72 75-78 81 83 85 92-96 99-100 104-107 111 113 115-119 122-124 127 131-133 138-145 147-150 154 157 160 170-171 175",
@@ -74,7 +77,7 @@ CLASSES = {k: _ids(v) for k, v in _CLASSES.items()}
 PRIMARY = ("opaque", "transparent", "liquid", "item")
 WEIGHTS = {i: w for w, ids in _WEIGHTS.items() for i in _ids(ids)}
 
-#: Type that a block's tile entity must have.
+# Type that a block's tile entity must have.
 TILE_ENTITIES = {
     ID[block]: kind
     for kind, blocks in {
@@ -101,6 +104,7 @@ TILE_ENTITIES = {
     for block in blocks.split()
 }
 
+# Item names by number.
 ITEMS = dict(
     (int(k), v)
     for k, v in (

@@ -40,6 +40,7 @@ class Family:
             self.write.setdefault(way, value)
 
 
+# Bits, codes and default of each family of blocks that face a direction.
 FAMILIES = {
     "attached": Family("torch redstone_torch_off redstone_torch_on", 7, "1:east 2:west 3:south 4:north 5:down 6:down", 5),
     "lever": Family("lever", 7, "1:east 2:west 3:south 4:north 6:down 5:down", 6),
@@ -93,7 +94,7 @@ def turned_to(block: int, data: int, way: str) -> int:
     return data & ~f.mask | value
 
 
-# Rails: two straight, four rising, four curves; a quarter turn maps each to the next of its cycle.
+# Fixed values of rails: two straight, four rising, four curves; a quarter turn maps each to the next of its cycle.
 _RAIL_CYCLES = ((0, 1), (2, 5, 3, 4), (6, 7, 8, 9))
 _RAIL_TURN = {c[i]: c[(i + 1) % len(c)] for c in _RAIL_CYCLES for i in range(len(c))}
 _RAIL_MIRROR = {4: 5, 5: 4, 6: 9, 9: 6, 7: 8, 8: 7}
