@@ -80,15 +80,18 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     spark = messages.sparkSession
     small_batches(spark)
     added = ("n_quotes", "n_linked", "parent_turn", "root_turn", "depth")
-    kept = [f for f in messages.schema.fields if f.name != text and f.name not in added]
+    own_names = [f.name for f in messages.schema.fields if f.name != text and f.name not in added]
+    # The caller's columns go by number meanwhile, so no name of theirs can clash.
+    kept = [T.StructField(f"_x{i}", messages.schema[n].dataType) for i, n in enumerate(own_names)]
     names = [f.name for f in kept]
+    conv_at, turn_at = names[own_names.index(conv)], names[own_names.index(turn)]
     quote = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("hash", T.LongType())])
-    schema = T.StructType([*kept, T.StructField(text, T.StringType()), T.StructField("n_quotes", T.IntegerType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_quotes", T.ArrayType(quote))])
+    schema = T.StructType([*kept, T.StructField("_own", T.StringType()), T.StructField("n_quotes", T.IntegerType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_quotes", T.ArrayType(quote))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, count, keys, quoted = [], [], [], []
-            for t in batch.column(text).to_pylist():
+            for t in batch.column("_said").to_pylist():
                 o, q = parse(t)
                 own.append(o)
                 count.append(len(q))
@@ -100,12 +103,12 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
                 quoted.append(found)
             kinds = pa.list_(pa.struct([("level", pa.int32()), ("number", pa.int32()), ("part", pa.int32()), ("hash", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in names], pa.array(own, pa.string()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(quoted, kinds)], names=[*names, text, "n_quotes", "_keys", "_quotes"]
+                [*[batch.column(n) for n in names], pa.array(own, pa.string()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(quoted, kinds)], names=[*names, "_own", "n_quotes", "_keys", "_quotes"]
             )
 
-    parsed = materialize(messages.select(*[f"`{n}`" for n in names], text).mapInArrow(run, schema), "quote-parsed")
-    c, t = F.col(conv).alias("_c"), F.col(turn).alias("_t")
-    real = parsed.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
+    parsed = materialize(messages.select(*[F.col(f"`{n}`").alias(x) for n, x in zip(own_names, names)], F.col(text).alias("_said")).mapInArrow(run, schema), "quote-parsed")
+    c, t = F.col(conv_at).alias("_c"), F.col(turn_at).alias("_t")
+    real = parsed.where(F.col(conv_at).isNotNull() & F.col(turn_at).isNotNull())
     # One row for each passage of a conversation, so a common one meets each quote of it once.
     origin = real.select(c, t, F.explode("_keys").alias("_h")).groupBy("_c", "_h").agg(F.min("_t").alias("_from"))
     asked = real.select(c, t, F.explode("_quotes").alias("q")).select("_c", "_t", "q.level", "q.number", "q.part", F.col("q.hash").alias("_h"))
@@ -122,15 +125,20 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     before = turns.select("_c", (F.col("_t") + 1).alias("_t"), F.col("_t").alias("_before"))
     parents = turns.join(sized(best), ["_c", "_t"], "left").join(before, ["_c", "_t"], "left")
     parents = materialize(parents.select("_c", "_t", F.coalesce("_parent", "_before").alias("parent_turn"), "n_linked"), "quote-parents")
-    # Each round doubles how far every message looks up, so rounds grow with the logarithm of the depth.
-    up = parents.select("_c", "_t", F.coalesce("parent_turn", "_t").alias("_up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("_d"))
-    up = materialize(up, "quote-up")
-    while True:
-        over = up.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
-        up = materialize(up.join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_moved")), "quote-up")
-        if up.where("_moved").isEmpty():
-            break
-        up = up.drop("_moved")
-    place = materialize(parents.join(up.drop("_moved"), ["_c", "_t"]), "quote-place")
-    out = parsed.drop("_keys", "_quotes").join(sized(place), (F.col(conv) == F.col("_c")) & (F.col(turn) == F.col("_t")), "left")
-    return out.select(*[f"`{n}`" for n in names], text, "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.col("_up").alias("root_turn"), F.col("_d").alias("depth"))
+    # Each round doubles how far a message looks up, so rounds grow with the logarithm of the
+    # depth; messages that have found their root take no further part.
+    link_up = parents.select("_c", "_t", F.coalesce("parent_turn", "_t").alias("_up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("_d"))
+    found = link_up.where("_up = _t")
+    still = materialize(link_up.where("_up != _t"), "quote-up")
+    while not still.isEmpty():
+        deep = still.select("_c").distinct()
+        over = found.unionByName(still).join(deep, "_c", "left_semi")
+        over = over.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
+        step = still.join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_moved"))
+        step = materialize(step, "quote-step")
+        found = found.unionByName(step.where("not _moved").drop("_moved"))
+        still = step.where("_moved").drop("_moved")
+    up = found
+    place = materialize(parents.join(up, ["_c", "_t"]), "quote-place")
+    out = parsed.drop("_keys", "_quotes").join(sized(place), (F.col(conv_at) == F.col("_c")) & (F.col(turn_at) == F.col("_t")), "left")
+    return out.select(*[F.col(x).alias(n) for n, x in zip(own_names, names)], F.col("_own").alias(text), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.col("_up").alias("root_turn"), F.col("_d").alias("depth"))
