@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, sized
+from .common import SPACE, fresh, materialize, sized
 
 PREFIX = 128
 
@@ -81,19 +81,20 @@ def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     counts as the largest.
     """
     columns = docs.columns
+    sha, gone_id, gone_sha = fresh(columns, "_sha", "_gone", "_gone_sha")
     gone = exact_groups(docs, id, text).where("group_size > 1")
-    gone = materialize(gone.select(F.col(id).alias("_gone"), "sha256", "kept"), "exact-gone")
+    gone = materialize(gone.select(F.col(id).alias(gone_id), F.col("sha256").alias(gone_sha), "kept"), "exact-gone")
     # ids all of whose rows go (by text); an id kept once for a text stays once
-    pairs = gone.groupBy("_gone", "sha256").agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
+    pairs = gone.groupBy(gone_id, gone_sha).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
     pairs = materialize(pairs.where("not _kept or _n > 1"), "exact-pairs")
-    dropped = pairs.where("not _kept").select("_gone", "sha256")
-    repeated = pairs.where("_kept")
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col(text)).cast("binary"), 256))
     if pairs.isEmpty():
         return docs
-    match = F.col(id).eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("sha256"))
+    dropped = pairs.where("not _kept").select(gone_id, gone_sha)
+    repeated = pairs.where("_kept").select(gone_id, gone_sha)
+    keyed = docs.withColumn(sha, F.sha2(normalised(F.col(text)).cast("binary"), 256))
+    match = F.col(id).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha))
     left = keyed.join(sized(dropped), match, "left_anti")
     if not repeated.isEmpty():
-        twice = left.join(sized(repeated), match, "left_semi").dropDuplicates([id, "_sha"])
+        twice = left.join(sized(repeated), match, "left_semi").dropDuplicates([id, sha])
         left = left.join(sized(repeated), match, "left_anti").unionByName(twice)
     return left.select(*[F.col(f"`{c}`") for c in columns])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, fresh, materialize
 
 #: Rule sets up to this size travel as a literal index inside the plan.
 INLINE_RULES = 2000
@@ -73,12 +73,13 @@ def judge(
     path, rule or verdict are replaced.  Rule sets of up to ``inline`` rules are
     looked up inside the row, with no shuffle; larger ones are joined by token.
     """
+    key, best_of = fresh([*urls.columns, "host", "path", "rule", "verdict"], "_key", "_best")
     rows = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    rows = rows.withColumn("_key", F.concat("host", "path"))
+    rows = rows.withColumn(key, F.concat("host", "path"))
     wanted = sorted({t for r in rules for t in r.tokens})
     if len(rules) > inline:
-        return _joined(rows, rules, default)
-    counts = token_counts(rows, "_key", wanted)
+        return _joined(rows, key, rules, default)
+    counts = token_counts(rows, key, wanted)
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
@@ -91,16 +92,16 @@ def judge(
             F.lit(order[i]).alias("n"), F.lit(rules[i].name).alias("rule"), F.lit(rules[i].verdict).alias("verdict"), F.lit(rules[i].pattern).alias("pattern")
         )
         table = F.create_map(*[x for t, own in index.items() for x in (F.lit(t), F.array(*map(row, own)))])
-        tokens = F.array_distinct(F.concat(F.split("_key", TOKEN), F.array(F.lit(""))))
+        tokens = F.array_distinct(F.concat(F.split(key, TOKEN), F.array(F.lit(""))))
         fetched = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(table, t)), F.isnotnull))
-        fits = F.filter(fetched, lambda r: F.regexp(F.col("_key"), r["pattern"]))
+        fits = F.filter(fetched, lambda r: F.regexp(F.col(key), r["pattern"]))
         best = F.array_min(fits)
-    rows = rows.withColumn("_best", best)
-    rows = rows.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))})
-    return rows.drop("_key", "_best")
+    rows = rows.withColumn(best_of, best)
+    rows = rows.withColumns({"rule": F.col(f"{best_of}.rule"), "verdict": F.coalesce(f"{best_of}.verdict", F.lit(default))})
+    return rows.drop(key, best_of)
 
 
-def _joined(rows: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
+def _joined(rows: DataFrame, key: str, rules: Sequence[Rule], default: str) -> DataFrame:
     """The same for rule sets too large for the plan: distinct keys meet rules by token.
 
     Keys are judged once each, however many URLs share them; the rules' side is
@@ -109,7 +110,7 @@ def _joined(rows: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
     spark = rows.sparkSession
     schema = "_rule string, _verdict string, _pattern string, _weight long, _tokens array<string>"
     table = spark.createDataFrame([(r.name, r.verdict, r.pattern, r.weight, list(r.tokens) or [""]) for r in rules], schema)
-    keys = materialize(rows.select("_key").distinct(), "url-keys")
+    keys = materialize(rows.select(F.col(key).alias("_key")).distinct(), "url-keys")
     pairs = keys.select("_key", F.explode(F.array_distinct(F.concat(F.split("_key", TOKEN), F.array(F.lit(""))))).alias("_token"))
     counts = pairs.groupBy("_token").agg(F.count("*").alias("_n"))
     filed = table.select("_rule", F.explode("_tokens").alias("_token")).join(counts, "_token", "left")
@@ -118,5 +119,6 @@ def _joined(rows: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
     hits = pairs.join(filed, "_token").where(F.regexp(F.col("_key"), F.col("_pattern")))
     best = hits.groupBy("_key").agg(F.min(F.struct(-F.col("_weight"), "_rule", "_verdict")).alias("_best"))
     best = materialize(best.select("_key", "_best._rule", "_best._verdict"), "url-best")
-    out = rows.join(best, "_key", "left")
-    return out.withColumns({"rule": F.col("_rule"), "verdict": F.coalesce("_verdict", F.lit(default))}).drop("_key", "_rule", "_verdict")
+    right = fresh(rows.columns, "_k", "_rule", "_verdict")
+    out = rows.join(best.toDF(*right), F.col(key) == F.col(right[0]), "left")
+    return out.withColumns({"rule": F.col(right[1]), "verdict": F.coalesce(right[2], F.lit(default))}).drop(key, *right)
