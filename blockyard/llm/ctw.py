@@ -35,7 +35,7 @@ PAIRS = 600_000
 #: Most frequent words that travel with the scorer; counts of the others are joined.
 WORDS = 300_000
 #: Distinct grams that a counting task holds before it hands them on.
-HELD = 3_000_000
+HELD = 1_500_000
 
 _GAMMA = np.array([1 / 12, -1 / 360, 1 / 1260, -1 / 1680])
 
@@ -218,9 +218,9 @@ class Tree:
 
 
 class Cache:
-    """Direct-mapped memo of gram scores, so that common grams cost one lookup; 32 MB."""
+    """Direct-mapped memo of gram scores, so that common grams cost one lookup; 16 MB."""
 
-    def __init__(self, tree: Tree, bits: int = 21):
+    def __init__(self, tree: Tree, bits: int = 20):
         self.tree, self.bits = tree, bits
         self.key = np.full(1 << bits, -1, dtype=np.int64)
         self.value = np.zeros(1 << bits)
