@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Pre-tokens in each of a memo's two generations.
-TOKENS = 400_000
+TOKENS = 150_000
 MASK = (1 << 64) - 1
 
 
@@ -120,7 +120,6 @@ class Encoder:
         self.ranks = dict(ranks)  # of the merges' results
         self.pairs = [self.ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
         self.decoder = Decoder(ranks)
-        self.ready: TextEncoder | None = None
 
     def lookup(self, piece: bytes) -> int:
         i = self.hash.get(piece)
@@ -168,12 +167,6 @@ class Encoder:
             i = after[i]
         return out
 
-    def texts(self) -> TextEncoder:
-        """The process's encoder of whole texts; it stays with a worker from task to task."""
-        if self.ready is None:
-            self.ready = TextEncoder(self)
-        return self.ready
-
     def piece(self, piece: bytes) -> list[int]:
         r = self.lookup(piece)
         return [r] if r >= 0 else self.merge(piece)
@@ -209,6 +202,18 @@ class TextEncoder:
         return np.frombuffer(b"".join(map(self.token, self.find(text))), dtype=np.int32)
 
 
+#: The process's encoder and its memo, which stay with a worker from task to task; one at most,
+#: and the encoder knows nothing of it, so the last one goes when another comes.
+_current: list[tuple[Encoder, TextEncoder]] = []
+
+
+def text_encoder(encoder: Encoder) -> TextEncoder:
+    if not _current or _current[0][0] is not encoder:
+        _current[:] = []
+        _current.append((encoder, TextEncoder(encoder)))
+    return _current[0][1]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with ids (array of int) and the bytes they decode to, in place of ``text``.
 
@@ -225,7 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared.value
-        texts = encoder.texts()
+        texts = text_encoder(encoder)
         for batch in batches:
             own = [texts(t or "") for t in batch.column(text).to_pylist()]
             ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
@@ -234,7 +239,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
             cols = [batch.column(n) for n in names] + [lists, encoder.decoder(flat, ends)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, ids, decoded])
 
-    return docs.select(*[f"`{n}`" for n in names], text).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], text).mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -252,4 +257,4 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "d
             raw = back(np.concatenate(own) if own else np.empty(0, np.int64), np.cumsum([0, *map(len, own)]))
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], raw], names=[*names, decoded])
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))
+    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(tidy(run), T.StructType([*kept, T.StructField(decoded, T.BinaryType())]))

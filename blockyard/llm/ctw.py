@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import materialize, sized, small_batches
+from .common import materialize, sized, small_batches, tidy
 
 DEPTH = 5
 #: Pairs of a context and a byte in the tree, over all depths.
@@ -109,13 +109,13 @@ def _counts(docs: DataFrame) -> DataFrame:
                 yield from rows(kind, *out(kind, held[kind])[0][0])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("_text").cast("binary").alias("_text")).mapInArrow(run, "kind int, key long, n long")
+    return docs.select(F.col("_text").cast("binary").alias("_text")).mapInArrow(tidy(run), "kind int, key long, n long")
 
 
 def _threshold(counts: DataFrame, limit: int, pairs: Column) -> int:
     """Least power of two such that contexts that frequent hold at most ``limit`` pairs."""
     levels = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.sum(pairs).alias("p")).orderBy(F.desc("level")).collect()  # at most 63 rows
-    total, least = 0, 63
+    total, least = 0, 62
     for r in levels:
         total += r["p"]
         if total > limit:
@@ -319,7 +319,7 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     schema = "_row long, n_bytes long, score double, n_tokens long, _known long, _base double, _rare array<struct<w:bigint,t:int>>, " + ", ".join(f"{c} {kinds[c]}" for c in carried)
     numbered = base.select(F.monotonically_increasing_id().alias("_row"), *carried, F.col("_text").cast("binary").alias("_text"))
-    out = materialize(numbered.mapInArrow(run, schema), "ctw-rows")
+    out = materialize(numbered.mapInArrow(tidy(run), schema), "ctw-rows")
 
     # words too rare to travel with the scorer
     rare = out.select("_row", F.explode("_rare").alias("r")).select("_row", "r.w", "r.t")

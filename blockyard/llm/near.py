@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, sized, small_batches
+from .common import materialize, release, sized, small_batches, tidy
 from .components import components
 
 #: 26 bands of 5 coordinates find a pair of similarity 0.8 with probability 0.99997.
@@ -75,7 +75,7 @@ def _sets(docs: DataFrame, text: str, k: int, bands: bool) -> DataFrame:
                 )
 
     small_batches(docs.sparkSession)
-    return docs.select("_row", "_id", F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select("_row", "_id", F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def _similar(shared, a, b, percent: int):
@@ -123,7 +123,10 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
                 if _similar(int(shared[m]), size[n], size[m], percent):
                     found.append((fp[n], fp[m]))
                     merged[root(comp[m])] = root(comp[n])
-        return pd.DataFrame(found, columns=["u", "v"])
+        out = pd.DataFrame(found, columns=["u", "v"])
+        del every, owner, order, sets
+        release()
+        return out
 
     return members.groupBy("_bucket", "_i", "_j").applyInPandas(run, "u binary, v binary")
 

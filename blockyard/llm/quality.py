@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, sized, small_batches
+from .common import materialize, sized, small_batches, tidy
 
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 32, 2, 2
 #: Labelled rows that the network is fitted on at most, chosen by a hash of the id.
 SAMPLE = 20_000
 EXTRA = 4
+#: Bytes of text pooled at once; each token's vector is held meanwhile.
+SLICE = 1 << 19
 WIDTH = 2 * DIMS + EXTRA
 
 # Tokens are runs of one class: letters (and all bytes over 127), digits, the rest.
@@ -71,7 +73,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS * DIMS)
         for batch in batches:
-            for i, j, buf, off in vectext.slices(batch.column("_text")):
+            for i, j, buf, off in vectext.slices(batch.column("_text"), SLICE):
                 h, doc = tokens(buf, off)
                 b = _bucket(h)
                 for place, sign in _index(h):
@@ -86,7 +88,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(table[part, i]) for i in range(DIMS)]], names=["b", *names])
 
     small_batches(docs.sparkSession)
-    parts = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(run, "b long, " + ", ".join(f"{n} long" for n in names))
+    parts = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), "b long, " + ", ".join(f"{n} long" for n in names))
     rows = parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
     if rows.num_rows:
@@ -109,7 +111,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", into: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for i, j, buf, off in vectext.slices(batch.column("_text")):
+            for i, j, buf, off in vectext.slices(batch.column("_text"), SLICE):
                 h, doc = tokens(buf, off)
                 out = np.zeros((j - i, WIDTH), dtype=np.float32)
                 if len(h):
@@ -131,7 +133,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", into: str =
                 yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(i, j - i) for x in names], lists], names=[*names, into])
 
     schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.FloatType()))])
-    return docs.select(*[f"`{n}`" for n in names], F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{n}`" for n in names], F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 class Network:
@@ -215,4 +217,4 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
             pool = batch.column("pool").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(net.predict(pool)), batch.column("pool")], names=[id, "score", "pool"])
 
-    return pools.mapInArrow(run, T.StructType([kept, T.StructField("score", T.DoubleType()), T.StructField("pool", T.ArrayType(T.FloatType()))]))
+    return pools.mapInArrow(tidy(run), T.StructType([kept, T.StructField("score", T.DoubleType()), T.StructField("pool", T.ArrayType(T.FloatType()))]))

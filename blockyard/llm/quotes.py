@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sized, small_batches
+from .common import materialize, sized, small_batches, tidy
 
 MARK = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.DOTALL)
 
@@ -106,7 +106,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
                 [*[batch.column(n) for n in names], pa.array(own, pa.string()), pa.array(count, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(quoted, kinds)], names=[*names, "_own", "n_quotes", "_keys", "_quotes"]
             )
 
-    parsed = materialize(messages.select(*[F.col(f"`{n}`").alias(x) for n, x in zip(own_names, names)], F.col(text).alias("_said")).mapInArrow(run, schema), "quote-parsed")
+    parsed = materialize(messages.select(*[F.col(f"`{n}`").alias(x) for n, x in zip(own_names, names)], F.col(text).alias("_said")).mapInArrow(tidy(run), schema), "quote-parsed")
     c, t = F.col(conv_at).alias("_c"), F.col(turn_at).alias("_t")
     real = parsed.where(F.col(conv_at).isNotNull() & F.col(turn_at).isNotNull())
     # One row for each passage of a conversation, so a common one meets each quote of it once.

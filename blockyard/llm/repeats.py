@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt, vectext
-from .common import materialize, sized, small_batches
+from .common import materialize, sized, small_batches, tidy
 
 LENGTH, CORE = 400, 300
 #: Different segments of one core that go through one merge; more are settled by hashes.
@@ -86,7 +86,7 @@ def _scan(base: DataFrame, length: int, core: int) -> DataFrame:
                     names=["_row", "_lo", "_more", "_at", "_core", "_seg"],
                 )
 
-    return base.select("_row", F.col("_text").cast("binary").alias("_text")).mapInArrow(run, "_row long, _lo long, _more int, _at int, _core long, _seg long")
+    return base.select("_row", F.col("_text").cast("binary").alias("_text")).mapInArrow(tidy(run), "_row long, _lo long, _more int, _at int, _core long, _seg long")
 
 
 def _around(base: DataFrame, chosen: DataFrame, length: int, core: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _around(base: DataFrame, chosen: DataFrame, length: int, core: int) -> DataF
                     right.append(bytes(t[p + core : x["_lo"] + x["_more"] + length]))
             yield pa.RecordBatch.from_arrays([pa.array(cores, pa.int64()), pa.array(segs, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["_core", "_seg", "_left", "_right"])
 
-    return joined.mapInArrow(run, "_core long, _seg long, _left binary, _right binary")
+    return joined.mapInArrow(tidy(run), "_core long, _seg long, _left binary, _right binary")
 
 
 def _merged(texts: DataFrame, length: int, core: int) -> DataFrame:
@@ -147,7 +147,7 @@ def _merged(texts: DataFrame, length: int, core: int) -> DataFrame:
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.repartition(tasks, "_core").sortWithinPartitions("_core")
-    return dealt.mapInArrow(run, "_core long, _seg long, _k int")
+    return dealt.mapInArrow(tidy(run), "_core long, _seg long, _k int")
 
 
 def _hashed(texts: DataFrame, length: int, core: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _hashed(texts: DataFrame, length: int, core: int) -> DataFrame:
                 h = vectext.mix(vectext.span_hash(t, k, k + length - core) + (len(a) - k).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), cores[i])), pa.array(np.full(len(k), segs[i])), pa.array(k.astype(np.int32)), pa.array(h.view(np.int64))], names=["_core", "_seg", "_k", "_w"])
 
-    windows = materialize(texts.mapInArrow(run, "_core long, _seg long, _k int, _w long"), "repeat-windows")
+    windows = materialize(texts.mapInArrow(tidy(run), "_core long, _seg long, _k int, _w long"), "repeat-windows")
     twice = windows.groupBy("_core", "_w").count().where("count > 1").select("_core", "_w")
     return windows.join(sized(materialize(twice, "repeat-twice")), ["_core", "_w"], "left_semi").select("_core", "_seg", "_k")
 
@@ -185,7 +185,7 @@ def _joined_spans(ranges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out, kind)], names=["_row", "spans"])
 
     grouped = ranges.groupBy("_row").agg(F.collect_set(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_ranges"))
-    return grouped.mapInArrow(run, "_row long, spans array<struct<start:bigint,end:bigint>>")
+    return grouped.mapInArrow(tidy(run), "_row long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def repeated_spans(base: DataFrame, length: int = LENGTH, core: int = CORE, most: int = SEGMENTS) -> DataFrame:
@@ -248,5 +248,5 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             lengths = pa.compute.binary_length(batch.column("_text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), lengths, batch.column("spans"), pa.array(kept, pa.binary())], names=[id, "n_bytes", "spans", "kept"])
 
-    out = rows.mapInArrow(run, f"`{id}` {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = rows.mapInArrow(tidy(run), f"`{id}` {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, sized, small_batches
+from .common import materialize, sized, small_batches, tidy
 from .quality import sample_labels
 
 #: Labelled documents that the model is fitted on at most, chosen by a hash of the id.
@@ -105,7 +105,7 @@ def _evidence(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(key & ((1 << 44) - 1)))
                 yield pa.RecordBatch.from_arrays([batch.column("_y").slice(i, j - i), lists], names=["_y", "_pairs"])
 
-    return docs.mapInArrow(run, "_y double, _pairs array<long>")
+    return docs.mapInArrow(tidy(run), "_y double, _pairs array<long>")
 
 
 def _evident(sample: DataFrame) -> np.ndarray:
@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=batch.num_rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(plain), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit]))], names=["_y", "plain", "hits"])
 
-    got = sample.mapInArrow(run, "_y double, plain long, hits array<long>").limit(2 * limit).toArrow()
+    got = sample.mapInArrow(tidy(run), "_y double, plain long, hits array<long>").limit(2 * limit).toArrow()
     lists = got.column("hits").combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     doc = np.repeat(np.arange(len(lists)), np.diff(at))
@@ -184,4 +184,4 @@ def score(docs: DataFrame, model: NoisyOr, id: str = "doc_id", text: str = "text
                 items = pa.StructArray.from_arrays([pa.array(cuts[bad] - off[doc[bad]]), pa.array(cuts[bad + 1] - off[doc[bad]]), pa.array(p[bad])], names=["start", "end", "score"])
                 yield pa.RecordBatch.from_arrays([batch.column(id).slice(i, j - i), pa.array(total), pa.ListArray.from_arrays(pa.array(at), items)], names=[id, "score", "spans"])
 
-    return docs.select(id, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
+    return docs.select(id, F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
