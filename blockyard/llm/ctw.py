@@ -7,14 +7,18 @@ their Krichevsky-Trofimov block probability.  A node's weighted probability is
 half its own and half the product of its children's, so all depths are mixed
 with the weights that the training data give them.
 
-The corpus is counted whole, as (DEPTH + 1)-grams summed by Spark.  Contexts
-become nodes of their own from the most frequent down until the tree holds
-``PAIRS`` (context, byte) pairs; what is rarer is pooled in one sibling for each
-parent, with the counts that the kept siblings leave over.  So the tree's size
-has a bound, no count is dropped, and the model can be broadcast.
-
-Once trained the model is fixed, and the probability of a byte depends on its
-deepest kept context alone, so it is tabulated.
+The corpus is counted whole, as (DEPTH + 1)-grams summed by Spark, and every
+context is a node of its own.  The tree is never in one place: grams are dealt
+by the last SPLIT bytes of their context, so that a task holds whole branches
+and weighs them from the leaves up; what lies above them has at most 256 to the
+power of SPLIT - 1 contexts at any corpus size and is weighed on the driver.
+With its weights a second pass tabulates the probability of each gram.  Grams
+that occur only in texts that are not learned take part with count zero, which
+leaves every weight as it is and gives them the prediction of their deepest
+known context.
+
+The ``PAIRS`` most frequent grams travel with the scorer; the others are joined
+to their probabilities.
 """
 
 from __future__ import annotations
@@ -30,8 +34,12 @@ from . import vectext
 from .common import materialize, sized, small_batches, tidy
 
 DEPTH = 5
-#: Pairs of a context and a byte in the tree, over all depths.
+#: Bytes of context by which the tree's branches are dealt.
+SPLIT = 3
+#: Grams (a context and a byte) that travel with the scorer; the others are joined.
 PAIRS = 600_000
+#: Grams whose branches a task weighs at a time; a branch is never divided.
+CHUNK = 100_000
 #: Most frequent words that travel with the scorer; counts of the others are joined.
 WORDS = 300_000
 #: Distinct grams that a counting task holds before it hands them on.
@@ -74,29 +82,35 @@ def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """Partial counts of words (kind 0) and grams (kind 1) over whole texts."""
+    """Partial counts of words (kind 0) and grams (kind 1) over whole texts: n in learned ones, m in all.
+
+    Words are those of learned texts, grams those of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind, held):
-            key, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-            return [(key, n)], kind
+            key, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return [(key, *(np.bincount(at, np.concatenate([h[i] for h in held])).astype(np.int64) for i in (1, 2)))], kind
 
-        def rows(kind, key, n):
-            for i in range(0, len(key), 65536):
-                k = key[i : i + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(n[i : i + 65536])], names=["kind", "key", "n"])
+        def rows(kind, *held):
+            for i in range(0, len(held[0]), 65536):
+                own = [x[i : i + 65536] for x in held]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), kind, np.int32)), *map(pa.array, own)], names=["kind", "key", "n", "m"])
 
         held = {0: [], 1: []}
         size = {0: 0, 1: 0}
         for batch in batches:
-            for _, _, buf, off in vectext.slices(batch.column("_text")):
-                word, _ = vectext.words(buf, off)
-                for kind, own in ((0, word.view(np.int64)), (1, grams(buf, off))):
+            learned = batch.column("_learn").to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, buf, off in vectext.slices(batch.column("_text")):
+                word, doc = vectext.words(buf, off)
+                taught = learned[i:j]
+                word = word[taught[doc]]
+                for kind, own, use in ((0, word.view(np.int64), None), (1, grams(buf, off), np.repeat(taught, np.diff(off)))):
                     if not len(own):
                         continue
-                    key, n = np.unique(own, return_counts=True)
-                    held[kind].append((key, n))
+                    key, at, m = np.unique(own, return_inverse=True, return_counts=True)
+                    n = m if use is None or use.all() else np.bincount(at, use).astype(np.int64)
+                    held[kind].append((key, n, m))
                     size[kind] += len(key)
                     if size[kind] > HELD:
                         held[kind], _ = out(kind, held[kind])
@@ -109,7 +123,8 @@ def _counts(docs: DataFrame) -> DataFrame:
                 yield from rows(kind, *out(kind, held[kind])[0][0])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("_text").cast("binary").alias("_text")).mapInArrow(tidy(run), "kind int, key long, n long")
+    own = docs.select(F.coalesce("_learn", F.lit(False)).alias("_learn"), F.col("_text").cast("binary").alias("_text"))
+    return own.mapInArrow(tidy(run), "kind int, key long, n long, m long")
 
 
 def _threshold(counts: DataFrame, limit: int, pairs: Column) -> int:
@@ -125,7 +140,7 @@ def _threshold(counts: DataFrame, limit: int, pairs: Column) -> int:
 
 
 class Tree:
-    """Tabulated predictions: log10 of each byte's probability by its deepest kept context."""
+    """The tree in one place, for counts that fit: log10 of each byte's probability by its deepest kept context."""
 
     def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """``pairs``: for each depth the context, the byte and its count; depth 0 holds all bytes."""
@@ -217,50 +232,164 @@ class Tree:
         return out
 
 
-class Cache:
-    """Direct-mapped memo of gram scores, so that common grams cost one lookup; 16 MB."""
+class Level:
+    """Nodes of one depth: for each bit those of a context and the byte's bits before it, with weights."""
 
-    def __init__(self, tree: Tree, bits: int = 20):
-        self.tree, self.bits = tree, bits
-        self.key = np.full(1 << bits, -1, dtype=np.int64)
-        self.value = np.zeros(1 << bits)
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        slot = ((gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != gram)
-        if len(miss):
-            own, at = np.unique(gram[miss], return_inverse=True)
-            value = self.tree.score(own)
-            out[miss] = value[at]
-            s = np.empty(len(own), np.int64)
-            s[at] = slot[miss]
-            s, last = np.unique(s, return_index=True)
-            self.key[s], self.value[s] = own[last], value[last]
+    def __init__(self, pair: np.ndarray, n: np.ndarray):
+        """``pair``: contexts and bytes, packed, ascending and distinct; ``n`` their counts."""
+        self.pair, self.n = pair, n
+        self.node, self.start, self.zeros, self.ones = [], [], [], []
+        for bit in range(8):
+            head = pair >> (8 - bit)
+            new = np.ones(len(pair), dtype=bool)
+            new[1:] = head[1:] != head[:-1]
+            start = np.flatnonzero(new)
+            ones = np.add.reduceat(n * (pair >> (7 - bit) & 1), start)
+            self.node.append((np.cumsum(new) - 1).astype(np.int32))
+            self.start.append(start)
+            self.zeros.append(np.add.reduceat(n, start) - ones)
+            self.ones.append(ones)
+
+    def above(self, depth: int) -> Level:
+        """The level of ``depth`` over this one; ``up`` has each pair's place in it."""
+        pair, self.up = np.unique(self.pair & ((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        return Level(pair, np.bincount(self.up, self.n, len(pair)))
+
+    def weigh(self, below: list[np.ndarray] | None) -> list[np.ndarray]:
+        """Log weighted probabilities of the nodes, given the sums of their children's; leaves have none."""
+        self.weight, out = [], []
+        for bit in range(8):
+            block = kt(self.zeros[bit], self.ones[bit])
+            both = block if below is None else np.logaddexp(block, below[bit]) - np.log(2)
+            self.weight.append(np.ones(len(block)) if below is None else np.exp(block - np.log(2) - both))
+            out.append(both)
         return out
 
+    def mix(self, known: list[np.ndarray], left: list[np.ndarray]) -> None:
+        """Probability of a one that the depths down to this give, and the weight left for deeper ones."""
+        self.known, self.left = [], []
+        for bit, (w, a, b) in enumerate(zip(self.weight, self.zeros, self.ones)):
+            self.known.append(known[bit] + left[bit] * w * (b + 0.5) / (a + b + 1))
+            self.left.append(left[bit] * (1 - w))
+
+    def mix_under(self, parent: Level, up: np.ndarray) -> None:
+        """``mix`` below ``parent``, in which ``up`` is the place of each pair."""
+        at = [parent.node[bit][up[self.start[bit]]] for bit in range(8)]
+        self.mix([parent.known[bit][at[bit]] for bit in range(8)], [parent.left[bit][at[bit]] for bit in range(8)])
+
+
+def _climb(level: Level, depth: int, top: int, below: list[np.ndarray] | None) -> tuple[list[Level], list[np.ndarray]]:
+    """The levels from ``depth`` up to ``top``, weighed, and the top one's log weighted probabilities."""
+    levels = [level]
+    value = level.weigh(below)
+    for d in range(depth - 1, top - 1, -1):
+        parent = level.above(d)
+        sums = [np.bincount(parent.node[bit][level.up[level.start[bit]]], value[bit], len(parent.start[bit])) for bit in range(8)]
+        value = parent.weigh(sums)
+        level = parent
+        levels.append(level)
+    return levels, value
+
+
+def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Grams, n and m of whole branches at a time, grams ascending; the rows come branch by branch."""
+
+    def out(key, n, m):
+        order = np.argsort(key)
+        return key[order], n[order].astype(np.float64), m[order]
+
+    held, size, limit = [], 0, CHUNK
+    for batch in batches:
+        own = tuple(batch.column(c).to_numpy() for c in ("key", "n", "m"))
+        if not len(own[0]):
+            continue
+        held.append(own)
+        size += len(own[0])
+        if size >= limit:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            branch = _branch(whole[0])
+            cut = int(np.flatnonzero(branch != branch[-1])[-1]) + 1 if branch[0] != branch[-1] else 0
+            if cut:
+                yield out(*(x[:cut] for x in whole))
+            held, size = [tuple(x[cut:] for x in whole)], size - cut
+            limit = CHUNK if cut else 2 * size
+    if held:
+        yield out(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _branch(key: np.ndarray) -> np.ndarray:
+    return key >> 8 & ((1 << 8 * SPLIT) - 1)
+
+
+def _model(grams: DataFrame) -> DataFrame:
+    """key, m and log10 probability of every gram, by the tree of the counts n; a scratch table."""
+    spark = grams.sparkSession
+    branch = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1))
+    dealt = grams.withColumn("branch", branch).repartition("branch").sortWithinPartitions("branch").select("key", "n", "m")
+    top = SPLIT - 1
+
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, _ in _branches(batches):
+            levels, value = _climb(Level(key, n), DEPTH, SPLIT, None)
+            low = levels[-1]
+            mask = (1 << 8 * (top + 1)) - 1
+            pair, up = np.unique(low.pair & mask, return_inverse=True)
+            kinds, keys, values = [np.full(len(pair), -1, np.int32)], [pair], [np.bincount(up, low.n)]
+            for bit in range(8):
+                node, at = np.unique((low.pair[low.start[bit]] & mask) >> (8 - bit), return_inverse=True)
+                kinds.append(np.full(len(node), bit, np.int32))
+                keys.append(node)
+                values.append(np.bincount(at, value[bit]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, values)], names=["bit", "key", "value"])
+
+    small_batches(spark)
+    lifted = dealt.mapInArrow(tidy(lift), "bit int, key long, value double").groupBy("bit", "key").agg(F.sum("value").alias("value"))
+    # Contexts of ``top`` bytes and what lies under each of their nodes: a number that the alphabet bounds.
+    rows = materialize(lifted, "ctw-trunk").toArrow()
+    bits, keys, values = (rows.column(c).to_numpy() for c in ("bit", "key", "value"))
+    trunk = None
+    if len(keys):
+        found = []
+        for bit in range(-1, 8):
+            own = np.flatnonzero(bits == bit)
+            own = own[np.argsort(keys[own])]
+            found.append((keys[own], values[own]))
+        trunk = Level(*found[0])
+        levels, _ = _climb(trunk, top, 0, [v for _, v in found[1:]])
+        root = levels[-1]
+        root.mix([0.0] * 8, [1.0] * 8)
+        for parent, level in zip(levels[::-1], levels[-2::-1]):
+            level.mix_under(parent, level.up)
+    shared = spark.sparkContext.broadcast(trunk)
+
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, m in _branches(batches):
+            levels, _ = _climb(Level(key, n), DEPTH, SPLIT, None)
+            low, leaf = levels[-1], levels[0]
+            low.mix_under(shared.value, np.searchsorted(shared.value.pair, low.pair & ((1 << 8 * (top + 1)) - 1)))
+            for parent, level in zip(levels[::-1], levels[-2::-1]):
+                level.mix_under(parent, level.up)
+            log = np.zeros(len(key))
+            for bit in range(8):
+                one = leaf.known[bit][leaf.node[bit]]
+                log += np.log10(np.where(key >> (7 - bit) & 1, one, 1 - one))
+            for i in range(0, len(key), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536]) for x in (key, m, log)], names=["key", "m", "log"])
+
+    return materialize(dealt.mapInArrow(tidy(tabulate), "key long, m long, log double"), "ctw-model")
+
 
-def _tree(gram_counts: DataFrame, limit: int) -> Tree:
-    """The tree of (DEPTH + 1)-gram counts; collects at most ``limit`` pairs a depth."""
-    out = []
-    share = max(1, limit // DEPTH)
-    for d in range(DEPTH + 1):
-        ctx = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        pairs = gram_counts.groupBy(ctx.alias("pair")).agg(F.sum("n").alias("n"))
-        if d > 1:
-            pairs = materialize(pairs, "ctw-pairs")
-            own = pairs.groupBy(F.shiftright("pair", 8).alias("ctx")).agg(F.sum("n").alias("n"), F.count("*").alias("p"))
-            own = materialize(own, "ctw-contexts")
-            least = _threshold(own, share, F.col("p"))
-            kept = sized(own.where(F.col("n") >= least).select("ctx"))
-            pairs = pairs.join(kept, F.shiftright("pair", 8) == F.col("ctx"), "left_semi")
-        rows = pairs.select("pair", "n").toArrow()
-        pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
-        out.append((pair >> 8, pair & 255, n))
-    for d in range(1, DEPTH + 1):  # a context is kept only below a kept one
-        ok = np.isin(out[d][0] & ((1 << 8 * (d - 1)) - 1), out[d - 1][0])
-        out[d] = tuple(x[ok] for x in out[d])
-    return Tree(out)
+def _rarest(key: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
+    """For each of ``n`` texts its distinct keys and how often each occurs."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(key)))
+    starts = np.searchsorted(doc[first], np.arange(n + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int32))], names=["w", "t"])
+    return pa.ListArray.from_arrays(pa.array(starts), items)
 
 
 def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), pairs: int = PAIRS, words: int = WORDS) -> DataFrame:
@@ -276,48 +405,46 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     base = docs.select(F.col(id).alias("_id"), learn.alias("_learn"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)], F.col(text).alias("_text"))
     train = base.where("_learn")
-    counts = materialize(_counts(train).groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-counts")
+    counts = materialize(_counts(base).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "ctw-counts")
     vocabulary = counts.where("kind = 0").select("key", "n")
     ends = train.count()
     sums = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    tree = _tree(counts.where("kind = 1").select("key", "n"), pairs)
+    model = _model(counts.where("kind = 1").select("key", "n", "m"))
+    seldom = _threshold(model.select(F.col("m").alias("n")), pairs, F.lit(1))
+    often = model.where(F.col("m") >= seldom).select("key", "log").toArrow()  # at most ``pairs``
     least = _threshold(vocabulary, words, F.lit(1))
     rows = vocabulary.where(F.col("n") >= least).toArrow()  # at most ``words``
-    shared = spark.sparkContext.broadcast((tree, rows.column("key").to_numpy(), rows.column("n").to_numpy()))
+    shared = spark.sparkContext.broadcast(tuple(t.column(c).to_numpy() for t, c in ((often, "key"), (often, "log"), (rows, "key"), (rows, "n"))))
     floor = total + 0.1 * (distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, word, often = shared.value
-        table, cache = vectext.Table(word.view(np.uint64)), Cache(tree)
+        gram, logs, word, often = shared.value
+        table, usual = vectext.Table(word.view(np.uint64)), vectext.Table(gram.view(np.uint64))
         value = np.log10((often + 0.1) / floor)
         end = np.log10((ends + 0.1) / floor)
         for batch in batches:
             for i, j, buf, off in vectext.slices(batch.column("_text")):
                 n = j - i
-                log = np.concatenate([[0.0], np.cumsum(cache.score(grams(buf, off)))])
+                own = grams(buf, off)
+                at = usual.find(own.view(np.uint64))
+                scored = at >= 0
+                log = np.concatenate([[0.0], np.cumsum(np.where(scored, logs[at] if len(logs) else 0.0, 0.0))])
+                odd = np.flatnonzero(~scored)
+                grammar = _rarest(own[odd], np.searchsorted(off, odd, side="right") - 1, n)
                 h, doc = vectext.words(buf, off)
                 at = table.find(h)
                 hit = at >= 0
                 known = np.bincount(doc[hit], minlength=n) + (ends > 0)
                 likely = np.bincount(doc[hit], value[at[hit]], n) + end
-                rare, rdoc = h[~hit], doc[~hit]
-                order = np.lexsort((rare, rdoc))
-                rare, rdoc = rare[order], rdoc[order]
-                new = np.ones(len(rare), dtype=bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rdoc[1:] != rdoc[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare)))
-                starts = np.searchsorted(rdoc[first], np.arange(n + 1)).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array(rare[first].view(np.int64)), pa.array(times.astype(np.int32))], names=["w", "t"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_row").slice(i, n), pa.array(np.diff(off)), pa.array(log[off[1:]] - log[off[:-1]]), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(likely), pa.ListArray.from_arrays(pa.array(starts), items), *[batch.column(c).slice(i, n) for c in carried]],
-                    names=["_row", "n_bytes", "score", "n_tokens", "_known", "_base", "_rare", *carried],
+                    [batch.column("_row").slice(i, n), pa.array(np.diff(off)), pa.array(log[off[1:]] - log[off[:-1]]), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(likely), _rarest(h[~hit], doc[~hit], n), grammar, *[batch.column(c).slice(i, n) for c in carried]],
+                    names=["_row", "n_bytes", "score", "n_tokens", "_known", "_base", "_rare", "_odd", *carried],
                 )
 
     carried = ["_id", *[f"_keep{i}" for i in range(len(keep))]]
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    schema = "_row long, n_bytes long, score double, n_tokens long, _known long, _base double, _rare array<struct<w:bigint,t:int>>, " + ", ".join(f"{c} {kinds[c]}" for c in carried)
+    schema = "_row long, n_bytes long, score double, n_tokens long, _known long, _base double, _rare array<struct<w:bigint,t:int>>, _odd array<struct<w:bigint,t:int>>, " + ", ".join(f"{c} {kinds[c]}" for c in carried)
     numbered = base.select(F.monotonically_increasing_id().alias("_row"), *carried, F.col("_text").cast("binary").alias("_text"))
     out = materialize(numbered.mapInArrow(tidy(run), schema), "ctw-rows")
 
@@ -326,7 +453,11 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     found = rare.join(sized(vocabulary.where(F.col("n") < least)), rare["w"] == vocabulary["key"], "left")
     gain = F.sum(F.col("t") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / floor))
     sums = materialize(found.groupBy("_row").agg(gain.alias("_more"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("_seen")), "ctw-rare")
-    out = out.drop("_rare").join(sized(sums), "_row", "left")
+    # and grams
+    odd = out.select("_row", F.explode("_odd").alias("r")).select("_row", "r.w", "r.t")
+    priced = odd.join(sized(materialize(model.where(F.col("m") < seldom).select("key", "log"), "ctw-seldom")), F.col("w") == F.col("key"))
+    logs = materialize(priced.groupBy("_row").agg(F.sum(F.col("t") * F.col("log")).alias("_log")), "ctw-odd")
+    out = out.drop("_rare", "_odd").join(sized(sums), "_row", "left").join(sized(logs), "_row", "left")
     return out.select(
         F.col("_id").alias(id),
         *[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)],
@@ -335,6 +466,6 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
         (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("_base") + F.coalesce("_more", F.lit(0.0))).alias("base_score"),
-        "score",
-        F.when(F.col("n_bytes") > 0, -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("score") + F.coalesce("_log", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_bytes") > 0, -(F.col("score") + F.coalesce("_log", F.lit(0.0))) / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

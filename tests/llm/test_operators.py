@@ -259,6 +259,27 @@ def test_context_tree_probabilities_add_up_to_one():
     assert -tree.score(g).mean() / np.log10(2) < 2.0
 
 
+@pytest.mark.parametrize("pairs", [30, ctw.PAIRS])
+def test_score_uses_every_context(spark, monkeypatch, pairs):
+    monkeypatch.setattr(ctw, "CHUNK", 50, raising=False)
+    rng = random.Random(8)
+    rows = [(0, None), (1, ""), (4, "never seen \U0001f600 Zq"), (5, "\0\0")] + [(i, prose(rng, rng.randint(1, 40), 90)) for i in range(6, 90)]
+    rows += [(90, "only here \x7f"), (91, None), (91, "w1 w2")]
+    raw = [(t or "").encode() for i, t in rows]
+    taught = [t for (i, _), t in zip(rows, raw) if i % 4]
+    every = lambda texts: ctw.grams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    g = every(taught)
+    tree = []
+    for d in range(ctw.DEPTH + 1):
+        key, n = np.unique(g & ((1 << 8 * (d + 1)) - 1), return_counts=True)
+        tree.append((key >> 8, key & 255, n))
+    tree = ctw.Tree(tree)
+    want = sorted((i, round(float(tree.score(every([t])).sum()) if t else 0.0, 3)) for (i, _), t in zip(rows, raw))
+    got = sorted((r["doc_id"], r["score"]) for r in ctw.score(table(spark, rows), F.col("doc_id") % 4 != 0, pairs=pairs).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(got, want))
+
+
 def test_krichevsky_trofimov_blocks():
     for a, b in ((0, 0), (1, 0), (3, 2), (0, 7)):
         p, za, zb = 1.0, 0, 0
