@@ -8,11 +8,12 @@ The trained model then locates the sentences.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +21,15 @@ from . import vectext
 from .common import materialize, sized, small_batches, tidy
 from .quality import sample_labels
 
-#: Labelled documents that the model is fitted on at most, chosen by a hash of the id.
+#: Labelled documents that the model is fitted on, chosen by a hash of the id, besides those for rare words.
 SAMPLE = 16_000
+#: Labelled documents that are added for each evident word of which the sample has fewer than ``LEAST_DOCS``.
+WORD_DOCS = 64
 BITS = 20
-#: A word counts as evidence only if this many documents of the sample hold it.
-LEAST_DOCS = 6
-#: and toxic documents hold it more often than chance by this many standard deviations.
+#: A word is evidence if toxic documents hold it more often than chance by this many standard deviations,
 EXCESS = 3.5
+#: or, where fewer documents hold it, if chance does so no more often than that: the exact binomial.
+LEAST_DOCS = 6
 SPAN_LIMIT = 0.5
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -103,54 +106,100 @@ def _evidence(docs: DataFrame) -> DataFrame:
                 key = np.unique((doc << 44) + (np.minimum(sentence - base[doc], (1 << 24) - 1) << BITS) + bucket)
                 at = np.searchsorted(key, np.arange(j - i + 1) << 44).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(key & ((1 << 44) - 1)))
-                yield pa.RecordBatch.from_arrays([batch.column("_y").slice(i, j - i), lists], names=["_y", "_pairs"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("_row", "_y", "_in")], lists], names=["_row", "_y", "_in", "_pairs"])
+
+    return docs.mapInArrow(tidy(run), "_row long, _y double, _in boolean, _pairs array<long>")
+
 
-    return docs.mapInArrow(tidy(run), "_y double, _pairs array<long>")
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a batch of ``_evidence``, and the row of each."""
+    column = batch.column("_pairs")
+    flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return flat, np.repeat(np.arange(batch.num_rows), np.diff(at))
 
 
-def _evident(sample: DataFrame) -> np.ndarray:
-    """Buckets of the words that toxic documents of the sample hold more often than chance; counted by Spark."""
-    mask = F.lit((1 << BITS) - 1).cast("long")
-    held = sample.select("_y", F.explode(F.array_distinct(F.transform("_pairs", lambda x: x.bitwiseAND(mask)))).alias("b"))
-    seen = held.groupBy("b").agg(F.count("*").alias("n"), F.sum("_y").alias("t")).where(F.col("n") >= LEAST_DOCS)
-    mean = sample.agg(F.avg("_y")).first()[0]
-    rate = min(max(mean, 1e-6), 1 - 1e-6)
+def _word_counts(evidence: DataFrame) -> DataFrame:
+    """b, n, t, s: documents with each word, toxic ones and those of the sample, over all labelled; b = -1 counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, (1 << BITS) + 1))
+        for batch in batches:
+            flat, doc = _unpack(batch)
+            y, sampled = batch.column("_y").to_numpy(), batch.column("_in").to_numpy(zero_copy_only=False).astype(float)
+            pair = np.unique(doc << BITS | flat & ((1 << BITS) - 1))
+            doc, word = pair >> BITS, pair & ((1 << BITS) - 1)
+            for own, value in zip(sums, (np.ones(len(y)), y, sampled)):
+                np.add.at(own, word, value[doc])
+                own[-1] += value.sum()
+        b = np.flatnonzero(sums[0])
+        key = np.where(b == 1 << BITS, -1, b)
+        for i in range(0, len(b), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 65536]), *[pa.array(own[b[i : i + 65536]]) for own in sums]], names=["b", "n", "t", "s"])
+
+    return evidence.mapInArrow(tidy(run), "b long, n double, t double, s double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "t", "s")])
+
+
+def _unlikely(rate: float) -> list[int]:
+    """The n * LEAST_DOCS + t, n below LEAST_DOCS, of which chance is as rare as a normal excess of EXCESS."""
+    rarely = math.erfc(EXCESS / math.sqrt(2)) / 2
+    tail = lambda n, t: sum(math.comb(n, k) * rate**k * (1 - rate) ** (n - k) for k in range(t, n + 1))
+    return [n * LEAST_DOCS + t for n in range(1, LEAST_DOCS) for t in range(1, n + 1) if tail(n, t) <= rarely]
+
+
+def _evident(counts: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words that toxic documents hold more often than chance, and those of them that the sample has too little of."""
     excess = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    return seen.where(excess >= EXCESS).select("b").toArrow().column("b").to_numpy()  # at most 2^BITS
+    few = (F.col("n") * LEAST_DOCS + F.col("t")).cast("long").isin(_unlikely(rate))
+    rows = counts.where("b >= 0").where(F.when(F.col("n") >= LEAST_DOCS, excess >= EXCESS).otherwise(few)).select("b", "n", "s").toArrow()  # at most 2^BITS
+    b, n, s = (rows.column(c).to_numpy() for c in ("b", "n", "s"))
+    return np.sort(b), np.sort(b[(s < LEAST_DOCS) & (s < n)])
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
-    """Fit on at most ``limit`` labelled documents; without both classes the model stays silent.
+    """Fit on ``limit`` labelled documents and those for words too rare there; without both classes the model stays silent.
 
-    Words that are no more frequent in toxic documents are no evidence of
-    toxicity, so the driver gets the pairs of evident words only.
+    All labelled documents count when words are judged.  Words that are no more
+    frequent in toxic documents are no evidence of toxicity, so the driver gets
+    the pairs of evident words only.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = sized(sample_labels(labels, id, label, learn, limit))
-    rows = docs.join(chosen, F.col(id) == F.col("_lid")).select("_y", F.col(text).cast("binary").alias("_text"))
-    sample = materialize(_evidence(rows), "toxic-sample")
-    n, least, most = sample.agg(F.count("*"), F.min("_y"), F.max("_y")).first()
-    if not n or least == most:
+    chosen = sample_labels(labels, id, label, learn, limit).select(F.col("_lid").alias("_cid"), F.lit(True).alias("_in"))
+    every = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_lid")).agg(F.max(label).cast("double").alias("_y"))
+    every = materialize(every.join(sized(chosen), F.col("_lid") == F.col("_cid"), "left").select("_lid", "_y", F.coalesce("_in", F.lit(False)).alias("_in")), "toxic-labels")
+    rows = docs.join(sized(every), F.col(id) == F.col("_lid")).select(F.xxhash64("_lid").alias("_row"), "_y", "_in", F.col(text).cast("binary").alias("_text"))
+    evidence = _evidence(rows)
+    counts = materialize(_word_counts(evidence), "toxic-words")
+    total = counts.where("b = -1").first()
+    if total is None or not 0 < total["t"] < total["n"]:
         return NoisyOr()
-    use = np.sort(_evident(sample))
-    shared = spark.sparkContext.broadcast(use)
+    use, rare = _evident(counts, min(max(total["t"] / total["n"], 1e-6), 1 - 1e-6))
+    shared = spark.sparkContext.broadcast((use, rare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << BITS, dtype=bool)
-        own[shared.value] = True
+        own, wanted = np.zeros((2, 1 << BITS), dtype=bool)
+        own[shared.value[0]], wanted[shared.value[1]] = True, True
         for batch in batches:
-            column = batch.column("_pairs")
-            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            flat, doc = _unpack(batch)
+            n = batch.num_rows
             hit = own[flat & ((1 << BITS) - 1)]
             said = np.unique(doc << 24 | flat >> BITS) >> 24  # one for each sentence with words
             told = np.unique((doc << 24 | flat >> BITS)[hit]) >> 24
-            plain = np.bincount(said, minlength=batch.num_rows) - np.bincount(told, minlength=batch.num_rows)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(plain), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit]))], names=["_y", "plain", "hits"])
-
-    got = sample.mapInArrow(tidy(run), "_y double, plain long, hits array<long>").limit(2 * limit).toArrow()
+            plain = np.bincount(said, minlength=n) - np.bincount(told, minlength=n)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=n))]).astype(np.int32)
+            seldom = np.unique((doc << BITS | flat & ((1 << BITS) - 1))[wanted[flat & ((1 << BITS) - 1)]])
+            words = pa.ListArray.from_arrays(pa.array(np.searchsorted(seldom, np.arange(n + 1) << BITS).astype(np.int32)), pa.array(seldom & ((1 << BITS) - 1)))
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_y", "_in")], pa.array(plain), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit])), words], names=["_row", "_y", "_in", "plain", "hits", "rare"])
+            needed = batch.column("_in").to_numpy(zero_copy_only=False).astype(bool) | (np.bincount(doc[wanted[flat & ((1 << BITS) - 1)]], minlength=n) > 0)
+            yield out.filter(pa.array(needed))
+
+    found = materialize(evidence.mapInArrow(tidy(run), "_row long, _y double, _in boolean, plain long, hits array<long>, rare array<long>"), "toxic-fit")
+    parts = [found.where("_in").limit(2 * limit)]
+    if len(rare):
+        more = found.where("not _in").select("_row", F.explode("rare").alias("b")).distinct()
+        more = more.withColumn("_i", F.row_number().over(Window.partitionBy("b").orderBy("_row"))).where(F.col("_i") <= WORD_DOCS).select("_row").distinct()
+        parts.append(found.where("not _in").join(sized(materialize(more, "toxic-more")), "_row", "left_semi").limit(2 * WORD_DOCS * len(rare)))
+    got = pa.concat_tables([p.select("_y", "plain", "hits").toArrow() for p in parts])
     lists = got.column("hits").combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
     doc = np.repeat(np.arange(len(lists)), np.diff(at))

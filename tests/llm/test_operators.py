@@ -329,6 +329,25 @@ def test_toxicity_locates_the_sentence(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("limit", [toxicity.SAMPLE, 60])
+def test_toxicity_learns_rare_words_of_all_labelled_rows(spark, limit):
+    rng = random.Random(9)
+    rows, toxic = [], {}
+    for i in range(600):
+        own = [" ".join(f"plain{chr(97 + rng.randrange(26))}" for _ in range(6)) + "." for _ in range(rng.randint(2, 8))]
+        toxic[i] = int(i % 10 == 0)
+        if toxic[i]:
+            own[rng.randrange(len(own))] = f"plainb {'stupid' if i % 120 == 0 else 'vile'} plainc."
+        rows.append((i, " ".join(own)))
+    rows += [(900, "Plaina plainb. This is stupid stuff. Plainc."), (901, "Plaina plainb. This is other stuff. Plainc.")]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame(sorted(toxic.items()), "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), limit=limit)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert got[900] >= 0.7 and got[901] < 0.5
+    assert all((got[i] >= 0.7) == bool(t) for i, t in toxic.items())
+
+
 def test_lookup_table_finds_keys():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
     t = vectext.Table(keys)
