@@ -63,7 +63,7 @@ STAGES = [
     ("encode", encode_stage),
 ]
 
-#: The classifier and the tokenizer are not SQL; the pipeline is tested against a brute-force version.
+#: The classifier and the tokenizer are not SQL; tests/test_pipeline.py compares stages and run with brute force that takes the classifier's scores as given.
 ORACLE_SQL = None
 
 
