@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,24 +62,79 @@ def passages(own: str) -> list[int]:
     return sorted({k for k in map(key, parts) if k is not None})
 
 
+def _follow(links: DataFrame, name: str) -> DataFrame:
+    """_up: where the links from (_c, _t) to _up end, and _d: the sum of their lengths; an end links to itself.
+
+    Each round doubles how far a message looks up, so rounds grow with the logarithm of the
+    depth; messages that have found their end take no further part.
+    """
+    found = links.where("_up = _t")
+    still = materialize(links.where("_up != _t"), f"{name}-up")
+    while not still.isEmpty():
+        deep = still.select("_c").distinct()
+        over = found.unionByName(still).join(deep, "_c", "left_semi")
+        over = over.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
+        step = still.join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_moved"))
+        step = materialize(step, f"{name}-step")
+        found = found.unionByName(step.where("not _moved").drop("_moved"))
+        still = step.where("_moved").drop("_moved")
+    return found
+
+
+def _next_answer(tree: DataFrame) -> DataFrame:
+    """``tree`` (_c, _t, _p) with _s: the next answer to the same message, by turn; even parts, also of one message's answers."""
+    spark = tree.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(tree.repartitionByRange(n, "_c", "_p", "_t").withColumn("_k", F.spark_partition_id()), "quote-parts")
+    row = F.struct("_c", "_p", "_t")
+    first = materialize(parts.groupBy("_k").agg(F.min(row).alias("_first")), "quote-first")  # one row a part
+    a, b = first.select("_k").alias("a"), first.alias("b")
+    after = materialize(F.broadcast(a).join(b, F.col("b._k") > F.col("a._k")).groupBy(F.col("a._k").alias("_k")).agg(F.min_by("b._first", "b._k").alias("_first")), "quote-after")
+    ahead = parts.withColumn("_n", F.lead(row).over(Window.partitionBy("_k").orderBy("_c", "_p", "_t"))).join(sized(after), "_k", "left")
+    ahead = ahead.withColumn("_n", F.coalesce("_n", "_first"))
+    same = F.col("_n._c").eqNullSafe(F.col("_c")) & F.col("_n._p").eqNullSafe(F.col("_p"))
+    return materialize(ahead.select("_c", "_t", "_p", F.when(same, F.col("_n._t")).alias("_s")), "quote-next")
+
+
+def _reply_order(tree: DataFrame) -> DataFrame:
+    """_c, _t and reply_order of each message, given the message _p that it answers.
+
+    After a message comes its first answer; after one without answers the next
+    answer of the nearest message upwards that has one.  These steps form one
+    chain a conversation, along which places are counted.
+    """
+    tree = _next_answer(tree)
+    first = materialize(tree.where(F.col("_p").isNotNull()).groupBy("_c", "_p").agg(F.min("_t").alias("_child")).withColumnRenamed("_p", "_t"), "quote-child")
+    back = tree.select("_c", "_t", F.when(F.col("_s").isNotNull() | F.col("_p").isNull(), F.col("_t")).otherwise(F.col("_p")).alias("_up"), F.lit(0).cast("long").alias("_d"))
+    leaf = _follow(back, "quote-back").join(sized(first), ["_c", "_t"], "left_anti")
+    exits = tree.where(F.col("_s").isNotNull()).select("_c", F.col("_t").alias("_up"), "_s")
+    steps = first.select("_c", "_t", F.col("_child").alias("_to")).unionByName(leaf.join(exits, ["_c", "_up"]).select("_c", "_t", F.col("_s").alias("_to")))
+    steps = materialize(steps.select("_c", F.col("_to").alias("_t"), F.col("_t").alias("_before")), "quote-steps")
+    chain = tree.select("_c", "_t").join(sized(steps), ["_c", "_t"], "left")
+    chain = materialize(chain.select("_c", "_t", F.coalesce("_before", "_t").alias("_up"), F.when(F.col("_before").isNull(), 0).otherwise(1).cast("long").alias("_d")), "quote-chain")
+    return _follow(chain, "quote-order").select("_c", "_t", F.col("_d").alias("reply_order"))
+
+
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """``messages`` with text without quotes, n_quotes, n_linked, parent_turn, root_turn, depth.
+    """``messages`` with text without quotes, n_quotes, n_linked, parent_turn, root_turn, depth, reply_order.
 
     A quoted passage belongs to the first message of the conversation that has it
     as its text, a paragraph or a line of it, if that has an earlier turn; a
     passage found nowhere as a whole is looked up by its lines.  A message
     replies to the latest message that it quotes at level 1, else to that quoted
-    at the lowest level, else to the turn before (turn - 1), else to none.  Sorted
-    by root_turn, depth and turn, each conversation is in reply order.
+    at the lowest level, else to the turn before (turn - 1), else to none.
+    ``reply_order`` counts the messages of a conversation from 0, so that each
+    follows the one it answers and its answers, with all that answers them, come
+    before the next answer; roots, and answers to one message, go by turn.
 
     Null texts are empty.  Messages with a null conversation or turn have no
-    parent, root or depth.  Rows that share conversation and turn are one message
-    with several texts: they have one parent, root and depth.  Columns of these
+    parent, root, depth or order.  Rows that share conversation and turn are one message
+    with several texts: they have one parent, root, depth and order.  Columns of these
     names are replaced.
     """
     spark = messages.sparkSession
     small_batches(spark)
-    added = ("n_quotes", "n_linked", "parent_turn", "root_turn", "depth")
+    added = ("n_quotes", "n_linked", "parent_turn", "root_turn", "depth", "reply_order")
     own_names = [f.name for f in messages.schema.fields if f.name != text and f.name not in added]
     # The caller's columns go by number meanwhile, so no name of theirs can clash.
     kept = [T.StructField(f"_x{i}", messages.schema[n].dataType) for i, n in enumerate(own_names)]
@@ -125,20 +180,9 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     before = turns.select("_c", (F.col("_t") + 1).alias("_t"), F.col("_t").alias("_before"))
     parents = turns.join(sized(best), ["_c", "_t"], "left").join(before, ["_c", "_t"], "left")
     parents = materialize(parents.select("_c", "_t", F.coalesce("_parent", "_before").alias("parent_turn"), "n_linked"), "quote-parents")
-    # Each round doubles how far a message looks up, so rounds grow with the logarithm of the
-    # depth; messages that have found their root take no further part.
     link_up = parents.select("_c", "_t", F.coalesce("parent_turn", "_t").alias("_up"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("_d"))
-    found = link_up.where("_up = _t")
-    still = materialize(link_up.where("_up != _t"), "quote-up")
-    while not still.isEmpty():
-        deep = still.select("_c").distinct()
-        over = found.unionByName(still).join(deep, "_c", "left_semi")
-        over = over.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
-        step = still.join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_moved"))
-        step = materialize(step, "quote-step")
-        found = found.unionByName(step.where("not _moved").drop("_moved"))
-        still = step.where("_moved").drop("_moved")
-    up = found
-    place = materialize(parents.join(up, ["_c", "_t"]), "quote-place")
+    up = _follow(link_up, "quote")
+    place = parents.join(up, ["_c", "_t"]).join(_reply_order(parents.select("_c", "_t", F.col("parent_turn").alias("_p"))), ["_c", "_t"])
+    place = materialize(place, "quote-place")
     out = parsed.drop("_keys", "_quotes").join(sized(place), (F.col(conv_at) == F.col("_c")) & (F.col(turn_at) == F.col("_t")), "left")
-    return out.select(*[F.col(x).alias(n) for n, x in zip(own_names, names)], F.col("_own").alias(text), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.col("_up").alias("root_turn"), F.col("_d").alias("depth"))
+    return out.select(*[F.col(x).alias(n) for n, x in zip(own_names, names)], F.col("_own").alias(text), "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent_turn", F.col("_up").alias("root_turn"), F.col("_d").alias("depth"), "reply_order")

@@ -1,5 +1,7 @@
 """Quotation linking on small conversations."""
 
+import random
+
 from blockyard.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -45,5 +47,28 @@ def test_long_chain_and_repeats(spark):
     assert len(got) == 71 and all(r["depth"] == r["turn"] and r["root_turn"] == 0 for r in got)
 
 
+def test_reply_order_of_branching_threads(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for c in range(25):
+        under, text = {}, {}
+        for t in [t for t in range(40 if c else 300) if rng.random() < 0.9]:
+            said = f"message {c} number {t}"
+            quoted = rng.choice([*text, None]) if c % 5 else 0 if 0 in text else None  # every fifth: all answer the first
+            parent = quoted if quoted is not None else t - 1 if t - 1 in text else None
+            rows.append((c, t, "a", said if quoted is None else f"> {text[quoted]}\n{said}"))
+            text[t] = said
+            under.setdefault(parent, []).append(t)
+        stack = under.get(None, [])[::-1]
+        while stack:
+            t = stack.pop()
+            want[c, t] = len([k for k in want if k[0] == c])
+            stack += under.get(t, [])[::-1]
+    rng.shuffle(rows)
+    got = run(spark, [*rows, (None, 1, "a", "x"), (7, None, "a", "x")])
+    assert got.pop((None, 1))["reply_order"] is None and got.pop((7, None))["reply_order"] is None
+    assert {k: r["reply_order"] for k, r in got.items()} == want
+
+
 def test_empty_table(spark):
     assert quotes.link(spark.createDataFrame([], SCHEMA)).collect() == []
