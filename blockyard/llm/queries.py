@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, ctw, decontaminate, exact, near, quality, quotes, repeats, toxicity, url_filter
 from .common import crc_mod, read
 
-URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ WITH p AS (
   FROM pages),
 r(rule, rhost, rpath, verdict) AS (VALUES
   ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
-  ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
   ('org/es/', 'org', '/es/', 'block')),
 m AS (
   SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
