@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,18 +17,31 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side of a join is broadcast only when its counted rows stay below this.
+#: A side of a join is broadcast only when its table has at most so many rows and bytes.
 BROADCAST_ROWS = 1_000_000
-#: Rows in one Arrow batch; keeps a batch of very long texts within memory.
-BATCH_ROWS = 1000
+BROADCAST_BYTES = 64 << 20
+#: Rows and bytes in one Arrow batch; a row that is larger by itself is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+#: Scratch tables of each operator that runs now, innermost last.
+_open: list[list[str]] = []
+#: The folder of sessions on one machine that name none.
+_local: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where none is named."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session on one machine gets a local one where none is named; on a
+    cluster that is an error, since each executor would write to its own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="blockyard-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="blockyard-"))
+        found = _local[0]
     return found.rstrip("/")
 
 
@@ -39,35 +53,85 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/blockyard-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that no result needs any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/blockyard-" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _folders(df: DataFrame) -> set[str]:
+    """Names of the scratch tables that ``df`` reads."""
+    return {file.rsplit("/", 2)[-2] for file in df.inputFiles() if "/blockyard-" in file}
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it is proven to have at most ``limit`` rows.
 
-    ``df`` must be a scratch table, so that counting it reads only footers.
-    Larger sides are left for a shuffled join, which adaptive execution splits
-    where a key is hot.
+def drop_table(df: DataFrame) -> None:
+    """Delete the tables that ``materialize`` wrote for ``df`` and that no result needs any more."""
+    own = _folders(df)
+    for made in _open:
+        for path in [p for p in made if p.rsplit("/", 1)[1] in own]:
+            _delete(df.sparkSession, path)
+            made.remove(path)
+
+
+def scratched(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator``, deleting its scratch tables at the end but for those that its result reads; on an error all."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        made: list[str] = []
+        _open.append(made)
+        kept: set[str] = set()
+        try:
+            out = operator(docs, *args, **how)
+            if isinstance(out, DataFrame):
+                kept = _folders(out)
+        finally:
+            _open.remove(made)
+            for path in made:
+                if path.rsplit("/", 1)[1] not in kept:
+                    _delete(docs.sparkSession, path)
+                elif _open:
+                    _open[-1].append(path)
+        return out
+
+    return run
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``_row``, written once, so that each later reading finds the same rows under it."""
+    return materialize(df.select(F.monotonically_increasing_id().alias("_row"), "*"), name)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a scratch table."""
+    spark, total = df.sparkSession, 0
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return total
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it is proven to have at most ``limit`` rows in ``most`` bytes of files.
+
+    ``df`` must be a scratch table, perhaps with columns renamed or rows left
+    out, so that the proof reads footers and file sizes only.  Larger sides are
+    left for a shuffled join, which adaptive execution splits where a key is hot.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit and table_bytes(df) <= most else df
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch for this session, never raise them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the rows and bytes per Arrow batch for this session, never raise them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if now.startswith(("-", "0")) or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:

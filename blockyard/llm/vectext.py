@@ -73,6 +73,21 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.
         i = j
 
 
+def pieces(column: pa.Array, limit: int, overlap: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Like ``slices`` with each row longer than ``limit`` cut: (first row, last row, place in the row, buffer, offsets).
+
+    Pieces of a row share ``overlap`` bytes with the piece before, so every
+    string of ``overlap + 1`` bytes starts in exactly one piece as a whole.
+    """
+    for i, j, buf, off in slices(column, limit):
+        if len(buf) <= limit:
+            yield i, j, 0, buf, off
+            continue
+        for at in range(0, max(1, len(buf) - overlap), limit - overlap):
+            own = buf[at : at + limit]
+            yield i, j, at, own, np.array([0, len(own)])
+
+
 def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of true bytes within each text: starts, ends, text of each run."""
     if not len(member):

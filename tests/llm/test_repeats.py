@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from blockyard.llm import bwt, repeats
+from blockyard.llm import bwt, common, repeats
 
 
 def brute(texts, length):
@@ -22,8 +22,8 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [5000, 1])
-def test_spans_match_brute_force(spark, most):
+@pytest.mark.parametrize("most, piece", [(5000, 1 << 18), (1, 1 << 18), (6, 60)])
+def test_spans_match_brute_force(spark, most, piece):
     rng = random.Random(4)
     parts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(5, 60))) for _ in range(12)]
     texts = [None, "", "short", "x" * 200, "ab" * 90]
@@ -32,13 +32,49 @@ def test_spans_match_brute_force(spark, most):
         texts.append(t)
     texts += texts[10:20]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, _row string")
-    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, length=24, core=16, most=most).collect()}
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs, length=24, core=16, most=most, piece=piece).collect()}
     assert len(got) == len(texts)
     for i, kept in enumerate(brute(texts, 24)):
         assert bytes(got[i]["kept"]) == kept, i
         assert got[i]["n_bytes"] - sum(s["end"] - s["start"] for s in got[i]["spans"]) == len(kept)
 
 
+def test_production_lengths_and_a_text_over_two_megabytes(spark):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, edge = make(900), make(400)
+    long = make(1_100_000) + shared + make(1_000_000) + edge + make(300_000)
+    texts = [long, make(500) + shared + make(10), edge, edge[:399], make(3000), "x" * 900, "y" * 400, "z" * 401, None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, texts[4]), (4, texts[4])]
+    got = {}
+    for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, kept in enumerate(brute([t for _, t in rows], 400)[:10]):
+        assert all(bytes(r["kept"]) == kept for r in got[i]), i
+    assert len(got[4]) == 2 and [(s["start"], s["end"]) for s in got[4][0]["spans"]] == [(0, 3000)]
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}")
+    out = repeats.remove_repeats(spark.createDataFrame([(1, "a" * 900), (2, "b")], "doc_id long, text string"))
+    kinds = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert kinds == {"blockyard-repeat-docs", "blockyard-repeat-spans"} and out.count() == 2
+
+
+class Unset:
+    """A session whose settings name no shared folder."""
+
+    def __init__(self, master):
+        self.conf, self.sparkContext, self.master = {}, self, master
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    monkeypatch.setattr(common, "_local", [])
+    with pytest.raises(ValueError):
+        common.scratch_dir(Unset("spark://host:7077"))
+    assert common.scratch_dir(Unset("local[4]")) == common.scratch_dir(Unset("local[4]")) == common._local[0]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.remove_repeats(docs).collect() == []
