@@ -116,14 +116,19 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a scratch table has at most ``limit`` rows in ``most`` bytes of files; reads footers and sizes only."""
+    return df.count() <= limit and table_bytes(df) <= most
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast if it is proven to have at most ``limit`` rows in ``most`` bytes of files.
+    """Mark ``df`` for broadcast if it ``fits``.
 
-    ``df`` must be a scratch table, perhaps with columns renamed or rows left
-    out, so that the proof reads footers and file sizes only.  Larger sides are
-    left for a shuffled join, which adaptive execution splits where a key is hot.
+    ``df`` must be a scratch table, perhaps with columns renamed.  Larger sides
+    are left for a shuffled join, which adaptive execution splits where a key is
+    hot.
     """
-    return F.broadcast(df) if df.count() <= limit and table_bytes(df) <= most else df
+    return F.broadcast(df) if fits(df, limit, most) else df
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -172,6 +177,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def text_digest(c: Column) -> Column:
+    """128 bits that tell rows of one id apart by their text; null counts as empty."""
+    return F.md5(F.coalesce(c, F.lit("")).cast("binary"))
+
+
 def fresh(columns, *names: str) -> list[str]:
     """Working names for columns that no column of the caller's table has."""
     taken, out = {c.lower() for c in columns}, []

@@ -1,14 +1,16 @@
 """Near-duplicate groups by circulant MinHash, banding and exact verification.
 
-A first permutation scatters shingles over 2^18 places; a second one, shifted
-circularly by k, gives signature coordinate k.  The shifts of one shingle lie
-next to each other in memory, so a signature is a minimum over slices.
+A first permutation scatters shingles over 2^32 places; a second one, read at
+the place shifted circularly by k, gives signature coordinate k.  Both are
+bijective mixers of machine words, so no table bounds the places, and sets of
+millions of shingles still differ in their signatures.
 
 Texts with the same shingle set form one class at once, and only classes are
 compared.  In each band bucket every class is compared with one leader drawn by
 hash; classes that this leaves outside a bucket's largest component are then
-compared with it, and with each other, in blocks of fixed size.  So no bucket gives all its pairs, none is
-held whole by a task, and no link between classes of a bucket is lost.
+compared with it, and with each other, in blocks bounded by classes and by
+shingles.  So no bucket gives all its pairs, none is held whole by a task, and
+no link between classes of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -24,29 +26,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, release, sized, small_batches, tidy
+from .common import fresh, materialize, numbered, release, scratched, sized, small_batches, tidy
 from .components import components
 
 #: 26 bands of 5 coordinates find a pair of similarity 0.8 with probability 0.99997.
 BANDS, ROWS = 26, 5
-PLACES = 1 << 18
-#: Classes of a bucket that one comparison task holds on either side.
-BLOCK = 256
+#: Classes, and shingles of classes, that one comparison task holds on either side.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 _rng = np.random.default_rng(7919)
-SIGMA = _rng.permutation(PLACES).astype(np.int64)
-PI = _rng.permutation(PLACES).astype(np.uint32)
 _MIX = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-_SHIFTED = np.lib.stride_tricks.sliding_window_view(np.concatenate([PI, PI[: BANDS * ROWS]]), BANDS * ROWS)
+_SHIFTS = (np.arange(BANDS * ROWS) + 1).astype(np.uint32)
+#: Shingles whose coordinates are computed at once.
+_STEP = 1024
+
+
+def _second(x: np.ndarray, spare: np.ndarray) -> None:
+    """The second permutation, a bijection of 32-bit words, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.right_shift(x, np.uint32(16), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS * ROWS coordinates of each set: the least value of the shifted permutation over it; empty sets give the largest."""
+    out = np.full((len(sets), len(_SHIFTS)), np.iinfo(np.uint32).max, dtype=np.uint32)
+    size = [len(s) for s in sets]
+    if not sum(size):
+        return out
+    # the hash's finaliser is the first permutation, its high half the place
+    place = np.concatenate([(s >> np.uint64(32)).astype(np.uint32) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    x, spare = np.empty((2, _STEP, len(_SHIFTS)), dtype=np.uint32)
+    for i in range(0, len(place), _STEP):
+        own, n = owner[i : i + _STEP], min(_STEP, len(place) - i)
+        np.add(place[i : i + n, None], _SHIFTS, out=x[:n])
+        _second(x[:n], spare[:n])
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        least = np.minimum.reduceat(x[:n], first, axis=0)
+        out[own[first]] = np.minimum(out[own[first]], least)
+    return out
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS coordinates: the least value of the shifted permutation over the set."""
-    base = SIGMA[(own >> np.uint64(20)).astype(np.int64) & (PLACES - 1)]
-    out = _SHIFTED[base[:2048]].min(axis=0)
-    for i in range(2048, len(base), 2048):
-        np.minimum(out, _SHIFTED[base[i : i + 2048]].min(axis=0), out=out)
-    return out
+    return signatures([own])[0]
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -65,8 +91,10 @@ def _sets(docs: DataFrame, text: str, k: int, bands: bool) -> DataFrame:
             rows, ids = batch.column("_row"), batch.column("_id")
             for i, j, buf, off in vectext.slices(batch.column("_text")):
                 sets = vectext.shingles(*vectext.words(buf, off), j - i, k)
-                fps = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-                more = [band_keys(signature(s)) if bands and len(s) else s.view(np.int64) for s in sets]
+                fps = [hashlib.md5(s).digest() if len(s) else None for s in sets]
+                more = [s.view(np.int64) for s in sets]
+                if bands:
+                    more = [band_keys(g) if len(s) else s.view(np.int64) for s, g in zip(sets, signatures(sets))]
                 flat = np.concatenate(more) if more else np.empty(0, np.int64)
                 ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -131,21 +159,10 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("_bucket", "_i", "_j").applyInPandas(run, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
-
-    Two texts are linked if their sets of distinct k-word shingles have at least
-    ``percent`` of their union in common; links are confirmed on the full sets.
-    ``component_id`` is the smallest id reachable over links, ``kept`` marks the
-    row that has it (of rows repeated whole, every one).  ``docs`` is read twice
-    and must give its rows in the same order, as a table does.  A text of fewer than k
-    words is one shingle; a null or blank text has an empty set, is linked with
-    nothing and is its own component.  Rows with a null id get the component of
-    their texts and are not kept unless no row of the component has an id.
-    """
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
+def _groups(base: DataFrame, k: int, percent: int) -> DataFrame:
+    """_row, _id, _size, _component of each row of the table ``base`` (_row, _id, _text)."""
     rows = materialize(_sets(base, "_text", k, True), "near-rows")
-    ids = rows.select("_id", "_fp", "_size")
+    ids = rows.select("_row", "_id", "_fp", "_size")
     classes = materialize(rows.where("_size > 0").groupBy("_fp", "_size").agg(F.min("_row").alias("_row"), F.min("_bands").alias("_bands")), "near-classes")
 
     buckets = classes.select("_fp", "_size", F.explode("_bands").alias("_band"))
@@ -168,14 +185,15 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     names = found.select(F.col("node").alias("_fp"), "component")
     named = buckets.join(sized(names), "_fp", "left").withColumn("_comp", F.coalesce("component", "_fp")).drop("component")
     named = materialize(named, "near-named")
-    sizes = named.groupBy("_band", "_comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_fp")).alias("x"))
-    mixed = sizes.groupBy("_band").agg(F.sum("n").alias("_n"), F.max("n").alias("_main"), F.max_by("_comp", F.struct("n", "_comp")).alias("_dom"), F.count("*").alias("c"), F.bit_xor("x").alias("_bucket"))
+    sizes = named.groupBy("_band", "_comp").agg(F.count("*").alias("n"), F.sum("_size").alias("s"), F.bit_xor(F.xxhash64("_fp")).alias("x"))
+    main = F.max_by(F.struct("_comp", "s"), F.struct("n", "_comp"))
+    mixed = sizes.groupBy("_band").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max("n").alias("_main"), main["_comp"].alias("_dom"), main["s"].alias("_main_s"), F.count("*").alias("c"), F.bit_xor("x").alias("_bucket"))
     mixed = mixed.where("c > 1 and _n > 2")  # of two, both were compared
-    mixed = materialize(mixed.groupBy("_bucket", "_n", "_main", "_dom").agg(F.min("_band").alias("_band")), "near-mixed")
+    mixed = materialize(mixed.groupBy("_bucket", "_n", "_s", "_main", "_main_s", "_dom").agg(F.min("_band").alias("_band")), "near-mixed")
     if not mixed.isEmpty():
         # Classes outside the bucket's largest component meet that, and each other, block by block.
-        count = lambda n: F.ceil(n / BLOCK).cast("int")
-        m = named.join(sized(mixed), "_band").withColumns({"_in": F.col("_comp") == F.col("_dom"), "_inner": count(F.col("_main")), "_outer": count(F.col("_n") - F.col("_main"))})
+        count = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+        m = named.join(sized(mixed), "_band").withColumns({"_in": F.col("_comp") == F.col("_dom"), "_inner": count(F.col("_main"), F.col("_main_s")), "_outer": count(F.col("_n") - F.col("_main"), F.col("_s") - F.col("_main_s"))})
         m = m.withColumn("_block", F.pmod(F.xxhash64("_fp"), F.when(F.col("_in"), F.col("_inner")).otherwise(F.col("_outer"))).cast("int"))
         outer, inner = F.sequence(F.lit(0), F.col("_outer") - 1), F.sequence(F.lit(0), F.col("_inner") - 1)
         pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -195,11 +213,37 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     by_class = materialize(least.join(comp_id, "_comp").select("_fp", "_least"), "near-by-class")
     out = ids.join(sized(by_class), "_fp", "left")
     component = F.when(F.col("_fp").isNull(), F.col("_id")).otherwise(F.col("_least"))
-    return out.select(F.col("_id").alias(id), F.col("_size").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    return out.select("_row", "_id", "_size", component.alias("_component"))
 
 
+@scratched
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+
+    Two texts are linked if their sets of distinct k-word shingles have at least
+    ``percent`` of their union in common; links are confirmed on the full sets.
+    ``component_id`` is the smallest id reachable over links, ``kept`` marks the
+    row that has it (of rows repeated whole, every one).  ``docs`` is read
+    once and its ids and texts are kept in a scratch table.  A text of fewer than k
+    words is one shingle; a null or blank text has an empty set, is linked with
+    nothing and is its own component.  Rows with a null id get the component of
+    their texts and are not kept unless no row of the component has an id.
+    """
+    base = numbered(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "near-docs")
+    out = _groups(base, k, percent)
+    return out.select(F.col("_id").alias(id), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept"))
+
+
+@scratched
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, that of the smallest id."""
-    gone = near_groups(docs, id, text, k, percent).where("not kept").select(F.col(id).alias("_gone")).distinct()
-    gone = sized(materialize(gone, "near-gone"))
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with one document of each near-duplicate group, that of the smallest id.
+
+    Rows are judged one by one, also where they share an id; of rows repeated
+    whole every one stays.  A row with a null id stays if no row of its group
+    has an id, texts without words stay.  Columns stay as they are.
+    """
+    (row,) = fresh(docs.columns, "_row")
+    every = materialize(docs.select(F.monotonically_increasing_id().alias(row), "*"), "near-docs")
+    found = _groups(every.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), k, percent)
+    gone = materialize(found.where(~F.col("_id").eqNullSafe(F.col("_component"))).select(F.col("_row").alias(row)), "near-gone")
+    return every.join(sized(gone), row, "left_anti").drop(row)

@@ -106,19 +106,69 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
+def _span_sum(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial of the bytes of each span; those of neighbours add up to that of both."""
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[buf] * _POW.upto(len(buf)), out=total[1:])
-    h = (total[ends] - total[starts]) * _INV.upto(len(buf) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(_P))
+    return (total[ends] - total[starts]) * _INV.upto(len(buf) + 1)[starts]
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
+    return mix(_span_sum(buf, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(_P))
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Classes of ``tokens`` for words: runs without white space.
+WORDS = np.where(SPACES, 0, 1).astype(np.uint8)
+
+
+def _class_runs(kind: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of one class within each text; class 0 is left out."""
+    edge = np.empty(len(kind) + 1, dtype=bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = kind[1:] != kind[:-1]
+    edge[off] = True
+    at = np.flatnonzero(edge)
+    inside = kind[at[:-1]] > 0
+    return at[:-1][inside], at[1:][inside]
+
+
+def tokens(buf: np.ndarray, off: np.ndarray, classes: np.ndarray = WORDS, lower: bool = True, limit: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and start of each maximal run of bytes of one class; class 0 separates.
+
+    ``lower`` hashes A-Z as a-z.  A buffer over ``limit`` is worked on piece by
+    piece, and a run that a cut divides is put together again, so memory beyond
+    the result is bounded however long a text or a run is.
+    """
+    if not len(buf):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    sums, sizes, starts_, kinds = [], [], [], []
+    for at in range(0, len(buf), limit):
+        own = buf[at : at + limit]
+        kind = classes[own]
+        inner = off[(off > at) & (off < at + len(own))] - at
+        starts, ends = _class_runs(kind, inner)
+        part = _span_sum(LOWER[own] if lower else own, starts, ends)
+        size, kind, starts = ends - starts, kind[starts], starts + at
+        if sizes and len(starts) and starts[0] == at and starts_[-1][-1] + sizes[-1][-1] == at and kinds[-1] == kind[0] and not (off == at).any():
+            power = np.uint64(pow(_P, int(sizes[-1][-1]), 1 << 64))
+            sums[-1][-1:] += part[:1] * power
+            sizes[-1][-1] += size[0]
+            part, size, starts, kind = part[1:], size[1:], starts[1:], kind[1:]
+        if len(starts):
+            sums.append(part)
+            sizes.append(size)
+            starts_.append(starts)
+            kinds.append(kind[-1])
+    if not sums:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    start = np.concatenate(starts_)
+    return mix(np.concatenate(sums) + np.concatenate(sizes).astype(np.uint64) * np.uint64(_P)), np.searchsorted(off, start, side="right") - 1, start
+
+
+def words(buf: np.ndarray, off: np.ndarray, limit: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of each word: lower-cased runs without white space."""
-    buf = LOWER[buf]
-    starts, ends, doc = runs(~SPACES[buf], off)
-    return span_hash(buf, starts, ends), doc
+    return tokens(buf, off, limit=limit)[:2]
 
 
 def shingles(word: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> list[np.ndarray]:

@@ -120,6 +120,36 @@ def test_near_empty_table(spark):
     assert near.near_groups(docs).collect() == [] and near.drop_near_copies(docs).collect() == []
 
 
+def test_near_copies_go_row_by_row(spark):
+    rng = random.Random(11)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (2, b), (2, f"{a} end"), (3, f"{b} end"), (None, f"{b} tail"), (None, prose(rng, 30)), (4, None), (4, "")]
+    docs = table(spark, rows).withColumnRenamed("_sha", "_component")
+    left = near.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted((i is None, i or 0, t or "") for i, t in (rows[0], rows[1], rows[5], rows[6], rows[7]))
+
+
+def test_large_disjoint_sets_share_no_band():
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 1_500_000, dtype=np.uint64) << np.uint64(1)) for _ in range(2))
+    one, two = near.signatures([a, b])
+    assert not (near.band_keys(one) == near.band_keys(two)).any() and (one == two).mean() < 0.01
+    both = np.unique(np.concatenate([a[:1_350_000], b[:150_000]]))
+    assert (near.band_keys(one) == near.band_keys(near.signature(both))).any()
+
+
+def test_recall_at_the_threshold():
+    # pairs of similarity just over 0.8: the bands find all of 400
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(50, 400))
+        every = rng.integers(0, 1 << 63, n + 2 * (n // 9) + 2, dtype=np.uint64) << np.uint64(1)
+        cut = n // 9
+        one, two = near.signatures([every[: n + cut], np.concatenate([every[:n], every[n + cut : n + 2 * cut]])])
+        assert (near.band_keys(one) == near.band_keys(two)).any()
+
+
 def test_circulant_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(1)
@@ -130,7 +160,9 @@ def test_circulant_signature_estimates_similarity():
 # benchmark passages
 
 
-def test_contained_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [decontaminate.COORDINATES, 40])
+def test_contained_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "COORDINATES", most)
     rng = random.Random(3)
     items = [(i, prose(rng, rng.randint(1, 80))) for i in range(25)] + [(30, None), (31, ""), (32, "tiny item"), (33, prose(rng, 600))]
     docs = [(0, None), (1, ""), (2, "holds Tiny\nITEM here")]
@@ -161,6 +193,8 @@ def test_contained_matches_brute_force(spark):
     left = {r["doc_id"] for r in decontaminate.drop_contaminated(table(spark, docs), bench).collect()}
     assert left == {d for d, _ in docs} - {d for d, *_ in want}
     assert decontaminate.contained(table(spark, docs), bench.limit(0)).collect() == []
+    lost = spark.createDataFrame([(None, f"so {items[0][1]} it", 1), (None, "clean", 2), (7, items[0][1], 3), (7, "clean too", 4)], "doc_id long, text string, _leak long")
+    assert sorted(r["_leak"] for r in decontaminate.drop_contaminated(lost, bench).collect()) == [2, 4]
     assert decontaminate.contained(table(spark, docs).limit(0), bench).collect() == []
 
 
@@ -366,6 +400,18 @@ def test_toxicity_learns_rare_words_of_all_labelled_rows(spark, limit):
     assert all((got[i] >= 0.7) == bool(t) for i, t in toxic.items())
 
 
+@pytest.mark.parametrize("limit", [1, 3, 7, 1 << 20])
+def test_tokens_do_not_depend_on_pieces(limit):
+    texts = [b"", b"One two\tTHREE", b" ", b"lone", b"a" * 40, b"", "é one  two ".encode()]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    h, doc = vectext.words(buf, off, limit)
+    own = [(w.lower(), i) for i, t in enumerate(texts) for w in re.split(rb"[\x20\x09-\x0D]+", t) if w]
+    assert doc.tolist() == [i for _, i in own]
+    flat = np.frombuffer(b"".join(w for w, _ in own), np.uint8)
+    ends = np.cumsum([len(w) for w, _ in own])
+    assert h.tolist() == vectext.span_hash(flat, ends - [len(w) for w, _ in own], ends).tolist()
+
+
 def test_lookup_table_finds_keys():
     keys = np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64)
     t = vectext.Table(keys)
