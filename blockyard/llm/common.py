@@ -23,6 +23,9 @@ BROADCAST_BYTES = 64 << 20
 #: Rows and bytes in one Arrow batch; a row that is larger by itself is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
+#: Bytes of a row group of a scratch table, which is what its writer holds in memory.
+ROW_GROUP = 16 << 20
+
 #: Scratch tables of each operator that runs now, innermost last.
 _open: list[list[str]] = []
 #: The folder of sessions on one machine that name none.
@@ -55,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/blockyard-{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

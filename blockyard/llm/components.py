@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, sized
+from .common import drop_table, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -21,11 +21,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    least = sized(materialize(least, "cc-least"))
     hung = both.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
     if not large:
         hung = hung.unionByName(least.select("u", F.col("m").alias("v")))
-    return materialize(hung.where("u != v").distinct(), "cc-edges")
+    return hung.where("u != v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not sign[0]:
             break
-        nxt = _star(_star(now, True), False)
+        nxt = materialize(_star(_star(now, True), False), "cc-edges")
         drop_table(now)
         now = nxt
         if now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == sign:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import fresh, materialize, numbered, release, scratched, sized, small_batches, tidy
+from .common import fresh, materialize, release, scratched, sized, small_batches, tidy
 from .components import components
 
 #: 26 bands of 5 coordinates find a pair of similarity 0.8 with probability 0.99997.
@@ -111,14 +111,6 @@ def _similar(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Pairs of each class with the leader of each of its buckets, every pair once."""
-    pick = F.min(F.struct(F.xxhash64("_fp", "_band").alias("h"), F.col("_fp").alias("fp"), F.col("_size").alias("size")))
-    leaders = materialize(buckets.groupBy("_band").agg(pick.alias("l"), F.count("*").alias("n")).where("n > 1").select("_band", F.col("l.fp").alias("_lead"), F.col("l.size").alias("_lead_size")), "near-leaders")
-    pairs = buckets.join(sized(leaders), "_band").where("_fp != _lead")
-    return pairs.select(F.greatest("_fp", "_lead").alias("a"), F.least("_fp", "_lead").alias("b"), F.greatest("_size", "_lead_size").alias("x"), F.least("_size", "_lead_size").alias("y"))
-
-
 def _blocked(members: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different components within each bucket, found block by block."""
 
@@ -159,21 +151,26 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("_bucket", "_i", "_j").applyInPandas(run, "u binary, v binary")
 
 
-def _groups(base: DataFrame, k: int, percent: int) -> DataFrame:
-    """_row, _id, _size, _component of each row of the table ``base`` (_row, _id, _text)."""
+def _groups(docs: DataFrame, id: str, text: str, k: int, percent: int) -> DataFrame:
+    """_row, _id, _size, _component of each row of ``docs``; _row is a hash of its id and text."""
+    base = docs.select(F.xxhash64(F.col(id), F.col(text)).alias("_row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
     rows = materialize(_sets(base, "_text", k, True), "near-rows")
-    ids = rows.select("_row", "_id", "_fp", "_size")
-    classes = materialize(rows.where("_size > 0").groupBy("_fp", "_size").agg(F.min("_row").alias("_row"), F.min("_bands").alias("_bands")), "near-classes")
-
-    buckets = classes.select("_fp", "_size", F.explode("_bands").alias("_band"))
-    shared = materialize(buckets.groupBy("_band").count().where("count > 1").select("_band"), "near-shared")
-    buckets = materialize(buckets.join(sized(shared), "_band"), "near-buckets")
-    pairs = materialize(_stars(buckets).where(f"100 * y >= {percent} * x").distinct(), "near-pairs")
-
-    # full sets of the classes that share a bucket with any other
-    wanted = materialize(buckets.select("_fp").distinct(), "near-wanted")
-    chosen = materialize(classes.join(sized(wanted), "_fp", "left_semi").select("_row"), "near-chosen")
-    sets = materialize(_sets(base.join(sized(chosen), "_row", "left_semi"), "_text", k, False).select("_fp", "_set"), "near-sets")
+    classes = rows.where("_size > 0").groupBy("_fp", "_size").agg(F.min("_row").alias("_row"), F.min("_id").alias("_least"), F.min("_bands").alias("_bands"))
+    classes = materialize(classes, "near-classes")
+
+    buckets = classes.select("_fp", "_size", "_row", F.explode("_bands").alias("_band"))
+    pick = F.min(F.struct(F.xxhash64("_fp", "_band").alias("h"), F.col("_fp").alias("fp"), F.col("_size").alias("size")))
+    leaders = buckets.groupBy("_band").agg(pick.alias("l"), F.count("*").alias("n")).where("n > 1")
+    leaders = materialize(leaders.select("_band", F.col("l.fp").alias("_lead"), F.col("l.size").alias("_lead_size")), "near-leaders")
+    buckets = materialize(buckets.join(sized(leaders), "_band"), "near-buckets")
+    # each class with the leader of each of its buckets, every pair once
+    pairs = buckets.where("_fp != _lead").select(F.greatest("_fp", "_lead").alias("a"), F.least("_fp", "_lead").alias("b"), F.greatest("_size", "_lead_size").alias("x"), F.least("_size", "_lead_size").alias("y"))
+    pairs = pairs.where(f"100 * y >= {percent} * x").distinct()
+
+    # full sets of the classes that share a bucket with any other; whatever else has the same hash does no harm
+    chosen = materialize(buckets.select("_row").distinct(), "near-chosen")
+    sets = _sets(base.join(sized(chosen), "_row", "left_semi"), "_text", k, False).where("_size > 0").select("_fp", "_set").dropDuplicates(["_fp"])
+    sets = materialize(sets, "near-sets")
     one = pairs.join(sets.select(F.col("_fp").alias("a"), F.col("_set").alias("_a")), "a").select("a", "b", "_a")
     both = one.join(sets.select(F.col("_fp").alias("b"), F.col("_set").alias("_b")), "b")
     both = both.withColumn("_n", F.size(F.array_intersect("_a", "_b")))
@@ -183,8 +180,7 @@ def _groups(base: DataFrame, k: int, percent: int) -> DataFrame:
 
     # buckets whose classes are in several components still
     names = found.select(F.col("node").alias("_fp"), "component")
-    named = buckets.join(sized(names), "_fp", "left").withColumn("_comp", F.coalesce("component", "_fp")).drop("component")
-    named = materialize(named, "near-named")
+    named = buckets.join(sized(names), "_fp", "left").withColumn("_comp", F.coalesce("component", "_fp")).select("_fp", "_size", "_band", "_comp")
     sizes = named.groupBy("_band", "_comp").agg(F.count("*").alias("n"), F.sum("_size").alias("s"), F.bit_xor(F.xxhash64("_fp")).alias("x"))
     main = F.max_by(F.struct("_comp", "s"), F.struct("n", "_comp"))
     mixed = sizes.groupBy("_band").agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max("n").alias("_main"), main["_comp"].alias("_dom"), main["s"].alias("_main_s"), F.count("*").alias("c"), F.bit_xor("x").alias("_bucket"))
@@ -203,15 +199,13 @@ def _groups(base: DataFrame, k: int, percent: int) -> DataFrame:
         m = m.select("_fp", "_comp", "_bucket", F.when(F.col("_in"), -F.col("_block") - 1).otherwise(F.col("_block")).alias("_block"), F.col("_to.i").alias("_i"), F.col("_to.j").alias("_j"))
         more = materialize(_blocked(m.join(sets, "_fp"), percent), "near-more")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = materialize(components(links), "near-components")
-
-    least = classes.select("_fp").join(sized(found.select(F.col("node").alias("_fp"), "component")), "_fp", "left")
-    least = materialize(least.select("_fp", F.coalesce("component", "_fp").alias("_comp")), "near-named")
-    wide = materialize(ids.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("_id")), "near-least")
-    comp_id = materialize(least.join(wide, "_fp").groupBy("_comp").agg(F.min("_id").alias("_least")), "near-comp-ids")
-    by_class = materialize(least.join(comp_id, "_comp").select("_fp", "_least"), "near-by-class")
-    out = ids.join(sized(by_class), "_fp", "left")
+            found = materialize(components(links.unionByName(more)), "near-components")
+
+    names = sized(found.select(F.col("node").alias("_fp"), "component"))
+    least = classes.select("_fp", "_least").join(names, "_fp", "left").select("_fp", "_least", F.coalesce("component", "_fp").alias("_comp"))
+    of_comp = least.groupBy("_comp").agg(F.min("_least").alias("_id"))
+    by_class = materialize(least.join(of_comp, "_comp").select("_fp", F.col("_id").alias("_least")), "near-by-class")
+    out = rows.select("_row", "_id", "_fp", "_size").join(sized(by_class), "_fp", "left")
     component = F.when(F.col("_fp").isNull(), F.col("_id")).otherwise(F.col("_least"))
     return out.select("_row", "_id", "_size", component.alias("_component"))
 
@@ -223,14 +217,13 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     Two texts are linked if their sets of distinct k-word shingles have at least
     ``percent`` of their union in common; links are confirmed on the full sets.
     ``component_id`` is the smallest id reachable over links, ``kept`` marks the
-    row that has it (of rows repeated whole, every one).  ``docs`` is read
-    once and its ids and texts are kept in a scratch table.  A text of fewer than k
+    row that has it (of rows repeated whole, every one).  ``docs`` is read twice; rows are found
+    again by their ids and texts, whatever their order.  A text of fewer than k
     words is one shingle; a null or blank text has an empty set, is linked with
     nothing and is its own component.  Rows with a null id get the component of
     their texts and are not kept unless no row of the component has an id.
     """
-    base = numbered(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), "near-docs")
-    out = _groups(base, k, percent)
+    out = _groups(docs, id, text, k, percent)
     return out.select(F.col("_id").alias(id), F.col("_size").alias("n_shingles"), F.col("_component").alias("component_id"), F.col("_id").eqNullSafe(F.col("_component")).alias("kept"))
 
 
@@ -242,8 +235,9 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     whole every one stays.  A row with a null id stays if no row of its group
     has an id, texts without words stay.  Columns stay as they are.
     """
-    (row,) = fresh(docs.columns, "_row")
-    every = materialize(docs.select(F.monotonically_increasing_id().alias(row), "*"), "near-docs")
-    found = _groups(every.select(F.col(row).alias("_row"), F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), k, percent)
-    gone = materialize(found.where(~F.col("_id").eqNullSafe(F.col("_component"))).select(F.col("_row").alias(row)), "near-gone")
-    return every.join(sized(gone), row, "left_anti").drop(row)
+    gone_id, gone_row = fresh(docs.columns, "_gone", "_row")
+    found = _groups(docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "_id", "_text", k, percent)
+    gone = found.where(~F.col("_id").eqNullSafe(F.col("_component"))).select(F.col("_id").alias(gone_id), F.col("_row").alias(gone_row)).distinct()
+    gone = sized(materialize(gone, "near-gone"))
+    own = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
+    return docs.join(gone, F.col(f"`{id}`").eqNullSafe(F.col(gone_id)) & (own == F.col(gone_row)), "left_anti")

@@ -375,12 +375,60 @@ def test_toxicity_locates_the_sentence(spark):
         assert (got[i]["score"] >= 0.7) == (i % 3 == 0)
         said = [t.encode()[s["start"] : s["end"]] for s in got[i]["spans"]]
         assert len(said) == (i % 3 == 0) and all(b"vile scum" in s for s in said)
-    assert got[900]["score"] == 0 and got[901]["spans"] == [] and got[902]["score"] < 0.5
+    assert got[900]["score"] == got[901]["score"] == model.leak < 0.05 and got[901]["spans"] == [] and got[902]["score"] < 0.5
     silent = toxicity.train(docs, labels.limit(0), F.lit(True))
     assert max(r["score"] for r in toxicity.score(docs, silent).collect()) < 1e-6
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_does_not_grow_with_wordless_or_plain_sentences(spark):
+    rng = random.Random(7)
+    plain = lambda: " ".join(f"plain{chr(97 + rng.randrange(26))}" for _ in range(6)) + ". "
+    rows = [(i, plain() * 3 + ("you vile scum. " if i % 3 == 0 else "") + plain()) for i in range(300)]
+    more = [(900, "Hello"), (901, "Hello" + "." * 20_000), (902, "\n\n" * 5000), (903, plain() * 5000), (904, "Hello. you VILE scum!" + "?" * 3000), (904, "same id, clean")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "x", "y") for i in range(300)], "doc_id long, toxic int, _lid string, _y string")
+    docs = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows + more], "doc_id long, text string, _lid string, _y string, _id string")
+    model = toxicity.train(docs, labels, F.lit(True))
+    got = toxicity.score(docs, model)
+    assert got.columns == ["doc_id", "score", "spans"]
+    by_id = {}
+    for r in got.collect():
+        by_id.setdefault(r["doc_id"], []).append(r["score"])
+    assert by_id[900] == by_id[901] == by_id[902] and max(by_id[900] + by_id[903]) < 0.05
+    assert max(by_id[904]) > 0.7 and min(by_id[904]) < 0.05 and len(by_id[904]) == 2
+
+
+def test_noisy_or_matches_brute_force_and_its_gradient():
+    rng = np.random.default_rng(1)
+    words = np.arange(5, dtype=np.uint64) + np.uint64(10)
+    model = toxicity.NoisyOr(words)
+    # documents of sentences of words
+    docs = [[[0, 1], [2]], [[3]], [[1, 4], [0], [2, 3]], [[4]]]
+    y, c, plain = np.array([1.0, 0, 1, 0]), np.array([1.0, 2, 0.5, 1]), np.array([7.0, 2.0])
+    owner = np.array([d for d, x in enumerate(docs) for _ in x])
+    flat = [w for x in docs for w in x]
+    row, word = np.array([i for i, x in enumerate(flat) for _ in x]), np.array([w for x in flat for w in x])
+    w, b, leak = rng.normal(0, 1, 5), -0.7, -2.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def brute(w, b, leak):
+        total = 0.0
+        for x, label, weight in zip(docs, y, c):
+            q = 1 - (1 - sigmoid(leak)) * np.prod([1 - sigmoid(b + sum(w[k] for k in s)) for s in x])
+            total -= weight * np.log(q if label else 1 - q)
+        total -= plain[0] * np.log(1 - sigmoid(leak)) + plain[1] * np.log(sigmoid(leak))
+        return (total + model.decay * (w @ w) / 2) / (c.sum() + plain.sum())
+
+    value, gw, gb, gl = model.loss(w, b, leak, owner, row, word, y, c, plain)
+    assert abs(value - brute(w, b, leak)) < 1e-9
+    e = 1e-6
+    for i in range(5):
+        step = np.eye(5)[i] * e
+        assert abs(gw[i] - (brute(w + step, b, leak) - brute(w - step, b, leak)) / (2 * e)) < 1e-6
+    assert abs(gb - (brute(w, b + e, leak) - brute(w, b - e, leak)) / (2 * e)) < 1e-6
+    assert abs(gl - (brute(w, b, leak + e) - brute(w, b, leak - e)) / (2 * e)) < 1e-6
+
+
 @pytest.mark.parametrize("limit", [toxicity.SAMPLE, 60])
 def test_toxicity_learns_rare_words_of_all_labelled_rows(spark, limit):
     rng = random.Random(9)
