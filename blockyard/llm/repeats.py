@@ -34,7 +34,7 @@ LENGTH, CORE = 400, 300
 #: Different segments of one core that go through one merge; of more, the core grows first.
 SEGMENTS = 2000
 #: Symbols merged at once.
-MERGED = 1_000_000
+MERGED = 600_000
 #: Bytes of text scanned at once; longer texts are cut in overlapping pieces.
 PIECE = 1 << 18
 
@@ -182,6 +182,7 @@ def _repeated(texts: DataFrame, most: int) -> DataFrame:
     """(_n, _a, _b): first and last of each run of windows of segment ``_n`` that another one has too."""
     hits = None
     while True:
+        # a core of one segment is compared with nothing
         sizes = texts.groupBy("_core").agg(F.count("*").alias("_d")).where("_d > 1")
         sizes = materialize(sizes, "repeat-sizes")
         shared = materialize(texts.join(sized(sizes), "_core"), "repeat-texts")
@@ -192,9 +193,13 @@ def _repeated(texts: DataFrame, most: int) -> DataFrame:
         hits = found if hits is None else hits.unionByName(found)
         hot = shared.where((F.col("_need") > 0) & (F.col("_d") > most)).drop("_d")
         if hot.isEmpty():
+            drop_table(texts)
+            drop_table(shared)
             return hits
-        texts = materialize(_longer(hot), "repeat-longer")
+        longer = materialize(_longer(hot), "repeat-longer")
+        drop_table(texts)
         drop_table(shared)
+        texts = longer
 
 
 def _joined_spans(ranges: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Toxicity by multiple-instance learning: sentences, noisy-or, document labels.
 
 A sentence's probability is a logistic function of the words it holds; a
-document is toxic if any sentence is (noisy-or).  Only document labels are
-known, and the gradient of the document's likelihood trains the sentence model.
-The trained model then locates the sentences.
+document is toxic if any sentence is, or for a reason that no sentence shows
+(noisy-or with a leak).  Only document labels are known, and the gradient of the
+document's likelihood trains the sentence model, which then locates the
+sentences.
+
+Words that toxic documents hold no more often than chance have no weight, and a
+sentence without any other is never toxic, so length alone never makes a
+document toxic.  All labelled documents are counted to judge words.
 """
 
 from __future__ import annotations
@@ -13,130 +18,118 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, sized, small_batches, tidy
-from .quality import sample_labels
-
-#: Labelled documents that the model is fitted on, chosen by a hash of the id, besides those for rare words.
-SAMPLE = 16_000
-#: Labelled documents that are added for each evident word of which the sample has fewer than ``LEAST_DOCS``.
-WORD_DOCS = 64
-BITS = 20
+from .common import materialize, scratched, sized, small_batches, tidy
+
+#: Labelled documents of either label that the model is fitted on at most, the least by a hash of the id.
+SAMPLE = 8_000
 #: A word is evidence if toxic documents hold it more often than chance by this many standard deviations,
-EXCESS = 3.5
+EXCESS = 3.0
 #: or, where fewer documents hold it, if chance does so no more often than that: the exact binomial.
 LEAST_DOCS = 6
 SPAN_LIMIT = 0.5
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
+_LETTERS = np.zeros(256, dtype=np.uint8)
+_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = 1
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
 
 def instances(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets (lower-cased runs of letters), sentence of each word, and sentence bounds.
+    """Hash of each word (lower-cased run of letters), its sentence, and the sentences' bounds.
 
     A sentence ends after ``.``, ``!``, ``?`` or a line end, and with its text.
     """
-    low = vectext.LOWER[buf]
-    starts, ends, _ = vectext.runs(_LETTER[low], off)
-    bucket = (vectext.span_hash(low, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    word, _, starts = vectext.tokens(buf, off, _LETTERS)
     cuts = np.unique(np.concatenate([off, np.flatnonzero(_STOP[buf]) + 1]))
-    return bucket, np.searchsorted(cuts, starts, side="right") - 1, cuts
+    return word, np.searchsorted(cuts, starts, side="right") - 1, cuts
 
 
 class NoisyOr:
-    """Sentence weights by word bucket; ``weights`` is a table of 2^BITS floats, 4 MB."""
-
-    def __init__(self, epochs: int = 400, rate: float = 0.05, decay: float = 0.15, seed: int = 3):
-        self.epochs, self.rate, self.decay, self.seed = epochs, rate, decay, seed
-        self.weights, self.bias = np.zeros(1 << BITS, dtype=np.float32), -20.0
-
-    def fit(self, doc: np.ndarray, sentence: np.ndarray, bucket: np.ndarray, plain: np.ndarray, y: np.ndarray) -> NoisyOr:
-        """Distinct (document, sentence, bucket) triples of evidence; ``plain``: each document's sentences without any."""
-        y, plain = np.asarray(y, dtype=np.float64), np.asarray(plain, dtype=np.float64)
-        rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
-        use, word = np.unique(bucket, return_inverse=True)
-        own, row = np.unique(doc.astype(np.int64) << 32 | sentence, return_inverse=True)
-        owner = own >> 32
-        w, b = np.full(len(use), 0.5), np.log(rate / 40)
-        mw, vw, mb, vb = np.zeros(len(use)), np.zeros(len(use)), 0.0, 0.0
-        n = len(owner)
+    """Weights of the words that are evidence, the bias of a sentence with any, and the leak."""
+
+    def __init__(self, words: np.ndarray | None = None, epochs: int = 400, rate: float = 0.05, decay: float = 0.15):
+        self.words = np.empty(0, np.uint64) if words is None else np.asarray(words).view(np.uint64)
+        self.table = vectext.Table(self.words)
+        self.epochs, self.rate, self.decay = epochs, rate, decay
+        self.weights, self.bias, self.leak = np.zeros(len(self.words)), -2.0, 0.0
+
+    def find(self, word: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (sentence, place of a known word) pairs, by sentence."""
+        at = self.table.find(word)
+        known = np.flatnonzero(at >= 0)
+        key = np.unique(sentence[known] * max(1, len(self.words)) + at[known])
+        return key // max(1, len(self.words)), key % max(1, len(self.words))
+
+    def loss(self, w: np.ndarray, b: float, leak: float, doc, row, word, y, c, plain) -> tuple[float, np.ndarray, float, float]:
+        """Weighted negative log likelihood and its gradient by weights, bias and the leak's logit.
+
+        ``doc``: document of each sentence; ``row``, ``word``: sentence and
+        word of each pair; ``y``, ``c``: label and weight of each document;
+        ``plain``: weights of the clean and the toxic documents without evidence.
+        """
+        z = np.clip(b + np.bincount(row, w[word], len(doc)), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        o = 1 / (1 + np.exp(-leak))
+        none = np.bincount(doc, np.log1p(-p), len(y)) + math.log1p(-o)  # log probability of no cause at all
+        q = np.clip(-np.expm1(none), 1e-12, 1.0)
+        # d loss / d z of a cause is p for label 0 and -p (1 - q) / q for label 1
+        slope = c * np.where(y > 0, -np.exp(none) / q, 1.0)
+        g = p * slope[doc]
+        value = -(c * np.where(y > 0, np.log(q), none)).sum() - plain[0] * math.log1p(-o) - plain[1] * math.log(o)
+        total = c.sum() + plain.sum()
+        gw = np.bincount(word, g[row], len(w)) + self.decay * w
+        return (value + self.decay * (w @ w) / 2) / total, gw / total, g.sum() / total, (o * slope.sum() + plain[0] * o - plain[1] * (1 - o)) / total
+
+    def fit(self, doc, sentence, word, y, c, plain) -> NoisyOr:
+        """Distinct (document, sentence, word) triples, words by place; other arguments as for ``loss``."""
+        y, c, plain = (np.asarray(x, dtype=np.float64) for x in (y, c, plain))
+        order = np.lexsort((sentence, doc))
+        doc, sentence, word = doc[order], sentence[order], word[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (sentence[1:] != sentence[:-1])
+        row, owner = np.cumsum(new) - 1, doc[new]
+        rate = (c @ y + plain[1]) / max(c.sum() + plain.sum(), 1e-9)
+        x = [np.ones(len(self.words)), -2.0, math.log(min(max(rate / 4, 1e-6), 0.9))]
+        m, v = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]
         for t in range(1, self.epochs + 1):
-            z = np.clip(b + np.bincount(row, w[word], n), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            p0 = 1 / (1 + np.exp(-np.clip(b, -30, 30)))  # sentences without evidence share the bias alone
-            none = np.bincount(owner, np.log1p(-p), len(y)) + plain * np.log1p(-p0)  # log probability that no sentence is toxic
-            q = np.clip(-np.expm1(none), 1e-9, 1.0)
-            # d loss / d z of a sentence is p for label 0 and -p (1 - q) / q for label 1
-            slope = np.where(y > 0, -np.exp(none) / q, 1.0) / len(y)
-            g = p * slope[owner]
-            gw = np.bincount(word, g[row], len(use)) + self.decay * w / len(y)
-            gb = g.sum() + p0 * (plain * slope).sum()
-            mw, vw = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw**2
-            mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-            w = w - self.rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.99**t)) + 1e-9)
-            b = b - self.rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
-        self.weights[use], self.bias = w, float(b)
+            _, *grads = self.loss(*x, owner, row, word, y, c, plain)
+            for k, g in enumerate(grads):
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.99 * v[k] + 0.01 * g**2
+                x[k] = x[k] - self.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+        self.weights, self.bias, self.leak = x[0], float(x[1]), float(1 / (1 + np.exp(-x[2])))
         return self
 
-    def sentences(self, bucket: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        """Probability of each of ``n`` sentences; each distinct word of a sentence counts once."""
-        w = self.weights[bucket]
-        some = np.flatnonzero(w)
-        keys = np.unique(sentence[some] * (1 << BITS) + bucket[some])
-        z = self.bias + np.bincount(keys >> BITS, self.weights[keys & ((1 << BITS) - 1)], n)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def sentences(self, word: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sentences that hold evidence, and their probabilities; all others have none."""
+        own, at = self.find(word, sentence)
+        own, row = np.unique(own, return_inverse=True)
+        z = self.bias + np.bincount(row, self.weights[at], len(own))
+        return own, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _evidence(docs: DataFrame) -> DataFrame:
-    """Distinct (sentence, bucket) pairs of each text, packed in one long."""
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """w, n, t: documents that hold each word, and toxic ones among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            y = batch.column("_y").to_numpy()
             for i, j, buf, off in vectext.slices(batch.column("_text")):
-                bucket, sentence, cuts = instances(buf, off)
-                base = np.searchsorted(cuts, off)
-                doc = np.searchsorted(base, sentence, side="right") - 1
-                key = np.unique((doc << 44) + (np.minimum(sentence - base[doc], (1 << 24) - 1) << BITS) + bucket)
-                at = np.searchsorted(key, np.arange(j - i + 1) << 44).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(key & ((1 << 44) - 1)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, j - i) for c in ("_row", "_y", "_in")], lists], names=["_row", "_y", "_in", "_pairs"])
-
-    return docs.mapInArrow(tidy(run), "_row long, _y double, _in boolean, _pairs array<long>")
-
-
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a batch of ``_evidence``, and the row of each."""
-    column = batch.column("_pairs")
-    flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-    return flat, np.repeat(np.arange(batch.num_rows), np.diff(at))
-
+                word, doc, _ = vectext.tokens(buf, off, _LETTERS)
+                order = np.lexsort((word, doc))
+                word, doc = word[order], doc[order]
+                new = np.ones(len(word), dtype=bool)
+                new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+                own, at, n = np.unique(word[new], return_inverse=True, return_counts=True)
+                t = np.bincount(at, y[i:j][doc[new]], len(own)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n), pa.array(t)], names=["w", "n", "t"])
 
-def _word_counts(evidence: DataFrame) -> DataFrame:
-    """b, n, t, s: documents with each word, toxic ones and those of the sample, over all labelled; b = -1 counts all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, (1 << BITS) + 1))
-        for batch in batches:
-            flat, doc = _unpack(batch)
-            y, sampled = batch.column("_y").to_numpy(), batch.column("_in").to_numpy(zero_copy_only=False).astype(float)
-            pair = np.unique(doc << BITS | flat & ((1 << BITS) - 1))
-            doc, word = pair >> BITS, pair & ((1 << BITS) - 1)
-            for own, value in zip(sums, (np.ones(len(y)), y, sampled)):
-                np.add.at(own, word, value[doc])
-                own[-1] += value.sum()
-        b = np.flatnonzero(sums[0])
-        key = np.where(b == 1 << BITS, -1, b)
-        for i in range(0, len(b), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 65536]), *[pa.array(own[b[i : i + 65536]]) for own in sums]], names=["b", "n", "t", "s"])
-
-    return evidence.mapInArrow(tidy(run), "b long, n double, t double, s double").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "t", "s")])
+    return rows.select("_y", "_text").mapInArrow(tidy(run), "w long, n long, t long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
 def _unlikely(rate: float) -> list[int]:
@@ -146,91 +139,100 @@ def _unlikely(rate: float) -> list[int]:
     return [n * LEAST_DOCS + t for n in range(1, LEAST_DOCS) for t in range(1, n + 1) if tail(n, t) <= rarely]
 
 
-def _evident(counts: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words that toxic documents hold more often than chance, and those of them that the sample has too little of."""
+def _evident(counts: DataFrame, rate: float) -> DataFrame:
+    """The words that toxic documents hold more often than chance."""
     excess = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    few = (F.col("n") * LEAST_DOCS + F.col("t")).cast("long").isin(_unlikely(rate))
-    rows = counts.where("b >= 0").where(F.when(F.col("n") >= LEAST_DOCS, excess >= EXCESS).otherwise(few)).select("b", "n", "s").toArrow()  # at most 2^BITS
-    b, n, s = (rows.column(c).to_numpy() for c in ("b", "n", "s"))
-    return np.sort(b), np.sort(b[(s < LEAST_DOCS) & (s < n)])
+    few = (F.col("n") * LEAST_DOCS + F.col("t")).isin(_unlikely(rate))
+    return counts.where(F.when(F.col("n") >= LEAST_DOCS, excess >= EXCESS).otherwise(few))
+
 
+def _hits(rows: DataFrame, model: NoisyOr) -> DataFrame:
+    """_lid, _y and the (sentence, word) pairs of evidence of each document that has any."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    pair = pa.struct([("s", pa.int64()), ("w", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, off in vectext.slices(batch.column("_text")):
+                word, sentence, cuts = instances(buf, off)
+                s, w = shared.value.find(word, sentence)
+                at = np.searchsorted(s, np.searchsorted(cuts, off)).astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(s), pa.array(w)], fields=list(pair))
+                out = pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i) for c in ("_row", "_y")] + [pa.ListArray.from_arrays(pa.array(at), items)], names=["_row", "_y", "_pairs"])
+                yield out.filter(pa.array(np.diff(at) > 0))
+
+    return rows.mapInArrow(tidy(run), "_row long, _y double, _pairs array<struct<s:bigint,w:bigint>>")
+
+
+@scratched
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> NoisyOr:
-    """Fit on ``limit`` labelled documents and those for words too rare there; without both classes the model stays silent.
+    """Fit on at most ``limit`` labelled documents of either label that hold evidence; without both labels the model stays silent.
 
-    All labelled documents count when words are judged.  Words that are no more
-    frequent in toxic documents are no evidence of toxicity, so the driver gets
-    the pairs of evident words only.
+    Null labels and ids teach nothing; of several labels of an id the greatest
+    counts.  Documents that share an id are each learned with its label.  All
+    labelled documents count when words are judged, when the two labels are
+    weighed and for the leak.  A word of which the fitted documents hold fewer
+    than LEAST_DOCS gets the weight of its share of toxic documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = sample_labels(labels, id, label, learn, limit).select(F.col("_lid").alias("_cid"), F.lit(True).alias("_in"))
     every = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_lid")).agg(F.max(label).cast("double").alias("_y"))
-    every = materialize(every.join(sized(chosen), F.col("_lid") == F.col("_cid"), "left").select("_lid", "_y", F.coalesce("_in", F.lit(False)).alias("_in")), "toxic-labels")
-    rows = docs.join(sized(every), F.col(id) == F.col("_lid")).select(F.xxhash64("_lid").alias("_row"), "_y", "_in", F.col(text).cast("binary").alias("_text"))
-    evidence = _evidence(rows)
-    counts = materialize(_word_counts(evidence), "toxic-words")
-    total = counts.where("b = -1").first()
-    if total is None or not 0 < total["t"] < total["n"]:
+    every = materialize(every, "toxic-labels")
+    own = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_text"))
+    rows = own.join(sized(every), F.col("_id") == F.col("_lid")).select(F.xxhash64("_lid").alias("_row"), "_y", "_text")
+    counts = materialize(_word_counts(rows), "toxic-words")
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("t")).first()
+    if not 0 < total["t"] < total["n"]:
         return NoisyOr()
-    use, rare = _evident(counts, min(max(total["t"] / total["n"], 1e-6), 1 - 1e-6))
-    shared = spark.sparkContext.broadcast((use, rare))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, wanted = np.zeros((2, 1 << BITS), dtype=bool)
-        own[shared.value[0]], wanted[shared.value[1]] = True, True
-        for batch in batches:
-            flat, doc = _unpack(batch)
-            n = batch.num_rows
-            hit = own[flat & ((1 << BITS) - 1)]
-            said = np.unique(doc << 24 | flat >> BITS) >> 24  # one for each sentence with words
-            told = np.unique((doc << 24 | flat >> BITS)[hit]) >> 24
-            plain = np.bincount(said, minlength=n) - np.bincount(told, minlength=n)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(doc[hit], minlength=n))]).astype(np.int32)
-            seldom = np.unique((doc << BITS | flat & ((1 << BITS) - 1))[wanted[flat & ((1 << BITS) - 1)]])
-            words = pa.ListArray.from_arrays(pa.array(np.searchsorted(seldom, np.arange(n + 1) << BITS).astype(np.int32)), pa.array(seldom & ((1 << BITS) - 1)))
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "_y", "_in")], pa.array(plain), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[hit])), words], names=["_row", "_y", "_in", "plain", "hits", "rare"])
-            needed = batch.column("_in").to_numpy(zero_copy_only=False).astype(bool) | (np.bincount(doc[wanted[flat & ((1 << BITS) - 1)]], minlength=n) > 0)
-            yield out.filter(pa.array(needed))
-
-    found = materialize(evidence.mapInArrow(tidy(run), "_row long, _y double, _in boolean, plain long, hits array<long>, rare array<long>"), "toxic-fit")
-    parts = [found.where("_in").limit(2 * limit)]
-    if len(rare):
-        more = found.where("not _in").select("_row", F.explode("rare").alias("b")).distinct()
-        more = more.withColumn("_i", F.row_number().over(Window.partitionBy("b").orderBy("_row"))).where(F.col("_i") <= WORD_DOCS).select("_row").distinct()
-        parts.append(found.where("not _in").join(sized(materialize(more, "toxic-more")), "_row", "left_semi").limit(2 * WORD_DOCS * len(rare)))
-    got = pa.concat_tables([p.select("_y", "plain", "hits").toArrow() for p in parts])
-    lists = got.column("hits").combine_chunks()
-    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    doc = np.repeat(np.arange(len(lists)), np.diff(at))
-    return NoisyOr().fit(doc, flat >> BITS, flat & ((1 << BITS) - 1), got.column("plain").to_numpy(), got.column("_y").to_numpy())
+    found = _evident(counts, total["t"] / total["n"]).orderBy("w").toArrow()
+    n, t = (found.column(c).to_numpy() for c in ("n", "t"))
+    model = NoisyOr(found.column("w").to_numpy())
+
+    hits = materialize(_hits(rows, model), "toxic-hits")
+    held = {r["_y"]: r["n"] for r in hits.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    got = pa.concat_tables([hits.where(F.col("_y") == y).orderBy(F.xxhash64("_row"), "_row").limit(limit).toArrow() for y in (0.0, 1.0)])
+    y = got.column("_y").to_numpy()
+    # each label's documents stand for all of theirs
+    weight = np.array([held.get(k, 0) / max(1, (y == k).sum()) for k in (0.0, 1.0)])
+    plain = np.array([total["n"] - total["t"], total["t"]]) - [held.get(0.0, 0), held.get(1.0, 0)]
+    lists = got.column("_pairs").combine_chunks()
+    flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    doc = np.repeat(np.arange(len(y)), np.diff(at))
+    word = flat.field("w").to_numpy()
+    model.fit(doc, flat.field("s").to_numpy(), word, y, weight[y.astype(int)], plain)
+    seen = np.bincount(np.unique(doc * max(1, len(n)) + word) % max(1, len(n)), minlength=len(n))
+    alone = (t + 0.5) / (n + 1)
+    few = seen < np.minimum(LEAST_DOCS, n)
+    model.weights[few] = (np.log(alone / (1 - alone)) - model.bias)[few]
+    return model
 
 
 def score(docs: DataFrame, model: NoisyOr, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score, spans: the document's probability and its offending sentences.
 
     ``spans`` holds (start, end, score) in bytes of the UTF-8 text for sentences
-    of probability 0.5 or more.  Null and empty texts have no sentence and score
-    0.  Whole texts are read, rows are independent of each other.
+    of probability 0.5 or more.  Null and empty texts, and others without
+    evidence, score the leak.  Whole texts are read, rows are independent of
+    each other; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.schema[id]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([kept, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+    schema = T.StructType([T.StructField("_id", docs.schema[id].dataType), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for i, j, buf, off in vectext.slices(batch.column("_text")):
-                bucket, sentence, cuts = instances(buf, off)
-                p = m.sentences(bucket, sentence, max(0, len(cuts) - 1))
-                doc = np.searchsorted(off, cuts[:-1], side="right") - 1
-                total = -np.expm1(np.bincount(doc, np.log1p(-p), j - i))
+                word, sentence, cuts = instances(buf, off)
+                own, p = m.sentences(word, sentence)
+                doc = np.searchsorted(off, cuts[own], side="right") - 1
+                total = -np.expm1(np.bincount(doc, np.log1p(-p), j - i) + math.log1p(-m.leak))
                 bad = np.flatnonzero(p >= SPAN_LIMIT)
                 at = np.searchsorted(doc[bad], np.arange(j - i + 1)).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array(cuts[bad] - off[doc[bad]]), pa.array(cuts[bad + 1] - off[doc[bad]]), pa.array(p[bad])], names=["start", "end", "score"])
-                yield pa.RecordBatch.from_arrays([batch.column(id).slice(i, j - i), pa.array(total), pa.ListArray.from_arrays(pa.array(at), items)], names=[id, "score", "spans"])
+                items = pa.StructArray.from_arrays([pa.array(cuts[own[bad]] - off[doc[bad]]), pa.array(cuts[own[bad] + 1] - off[doc[bad]]), pa.array(p[bad])], names=["start", "end", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(total), pa.ListArray.from_arrays(pa.array(at), items)], names=["_id", "score", "spans"])
 
-    return docs.select(id, F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
+    out = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
+    return out.withColumnRenamed("_id", id)
