@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext
-from .common import materialize, sized, small_batches, tidy
+from .common import materialize, scratched, sized, small_batches, tidy
 
 DEPTH = 5
 #: Bytes of context by which the tree's branches are dealt.
@@ -81,6 +81,17 @@ def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def gram_pieces(buf: np.ndarray, off: np.ndarray, limit: int = vectext.SLICE) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each piece of the buffer begins, and its ``grams``; a text over ``limit`` bytes, which has the buffer alone, is cut."""
+    if len(buf) <= limit:
+        yield 0, grams(buf, off)
+        return
+    for at in range(0, len(buf), limit):
+        before = min(at, DEPTH)
+        own = buf[at - before : at + limit]
+        yield at, grams(own, np.array([0, len(own)]))[before:]
+
+
 def _counts(docs: DataFrame) -> DataFrame:
     """Partial counts of words (kind 0) and grams (kind 1) over whole texts: n in learned ones, m in all.
 
@@ -105,7 +116,8 @@ def _counts(docs: DataFrame) -> DataFrame:
                 word, doc = vectext.words(buf, off)
                 taught = learned[i:j]
                 word = word[taught[doc]]
-                for kind, own, use in ((0, word.view(np.int64), None), (1, grams(buf, off), np.repeat(taught, np.diff(off)))):
+                learnt = np.repeat(taught, np.diff(off))
+                for kind, own, use in ((0, word.view(np.int64), None), *((1, g, learnt[at : at + len(g)]) for at, g in gram_pieces(buf, off))):
                     if not len(own):
                         continue
                     key, at, m = np.unique(own, return_inverse=True, return_counts=True)
@@ -392,6 +404,7 @@ def _rarest(key: np.ndarray, doc: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts), items)
 
 
+@scratched
 def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), pairs: int = PAIRS, words: int = WORDS) -> DataFrame:
     """Scores of every row of ``docs`` by a model of those that meet ``learn``.
 
@@ -399,8 +412,9 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     bytes), bits_per_byte (code length), and the word baseline: n_tokens,
     n_known, train_tokens, base_score.  A token is a lower-cased word or the end
     of the text; words are told apart by 64-bit hashes.  Null texts are empty:
-    score 0, one token.  Rows are independent, repeated rows score alike; a
-    corpus with nothing to learn from gives every bit one half.
+    score 0, one token.  A text begins in the context of zero bytes.  Rows are
+    independent, repeated rows score alike; a corpus with nothing to learn from
+    gives every bit one half.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id).alias("_id"), learn.alias("_learn"), *[F.col(k).alias(f"_keep{i}") for i, k in enumerate(keep)], F.col(text).alias("_text"))
@@ -426,19 +440,23 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
         for batch in batches:
             for i, j, buf, off in vectext.slices(batch.column("_text")):
                 n = j - i
-                own = grams(buf, off)
-                at = usual.find(own.view(np.uint64))
-                scored = at >= 0
-                log = np.concatenate([[0.0], np.cumsum(np.where(scored, logs[at] if len(logs) else 0.0, 0.0))])
-                odd = np.flatnonzero(~scored)
-                grammar = _rarest(own[odd], np.searchsorted(off, odd, side="right") - 1, n)
+                log, odd, owners = np.zeros(n), [], []
+                for begin, own in gram_pieces(buf, off):
+                    at = usual.find(own.view(np.uint64))
+                    owner = np.searchsorted(off, np.arange(begin, begin + len(own)), side="right") - 1
+                    known = np.flatnonzero(at >= 0)
+                    log += np.bincount(owner[known], logs[at[known]], n)
+                    new = np.flatnonzero(at < 0)
+                    odd.append(own[new])
+                    owners.append(owner[new])
+                grammar = _rarest(np.concatenate(odd), np.concatenate(owners), n)
                 h, doc = vectext.words(buf, off)
                 at = table.find(h)
                 hit = at >= 0
                 known = np.bincount(doc[hit], minlength=n) + (ends > 0)
                 likely = np.bincount(doc[hit], value[at[hit]], n) + end
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_row").slice(i, n), pa.array(np.diff(off)), pa.array(log[off[1:]] - log[off[:-1]]), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(likely), _rarest(h[~hit], doc[~hit], n), grammar, *[batch.column(c).slice(i, n) for c in carried]],
+                    [batch.column("_row").slice(i, n), pa.array(np.diff(off)), pa.array(log), pa.array(np.bincount(doc, minlength=n) + 1), pa.array(known), pa.array(likely), _rarest(h[~hit], doc[~hit], n), grammar, *[batch.column(c).slice(i, n) for c in carried]],
                     names=["_row", "n_bytes", "score", "n_tokens", "_known", "_base", "_rare", "_odd", *carried],
                 )
 

@@ -2,8 +2,8 @@
 
 Every word has a sparse random index vector, drawn from its hash.  A word's
 vector is the sum of the index vectors of its neighbours over the whole corpus.
-Words are filed in a fixed number of buckets by hash, so the table of vectors
-has a fixed size and can be broadcast; its rows are summed by Spark.  Documents
+Words are filed in 2^BITS buckets by hash, so the table of vectors has a fixed
+size and can be broadcast; its rows are summed by Spark.  Documents
 pool the vectors of their words (mean and spread) and a two-layer network turns
 the pool into a probability, whose temperature is fitted on rows held out from
 the training of the weights.
@@ -20,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, sized, small_batches, tidy
+from .common import materialize, scratched, sized, small_batches, tidy
 
-BUCKETS, DIMS, NONZERO, WINDOW = 1 << 14, 32, 2, 2
+#: Words that share a bucket share a vector; README has the accuracy for larger tables.
+BITS, DIMS, NONZERO, WINDOW = 14, 32, 2, 2
 #: Labelled rows that the network is fitted on at most, chosen by a hash of the id.
 SAMPLE = 20_000
 EXTRA = 4
-#: Bytes of text pooled at once; each token's vector is held meanwhile.
-SLICE = 1 << 19
+#: Tokens pooled at once; each one's vector is held meanwhile.
+CHUNK = 1 << 16
 WIDTH = 2 * DIMS + EXTRA
 
 # Tokens are runs of one class: letters (and all bytes over 127), digits, the rest.
@@ -39,22 +40,11 @@ _CLASS[vectext.SPACES] = 0
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of each run of letters, digits or signs; case counts."""
-    c = _CLASS[buf]
-    if not len(c):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    edge = np.empty(len(c) + 1, dtype=bool)
-    edge[0] = edge[-1] = True
-    edge[1:-1] = c[1:] != c[:-1]
-    edge[off] = True
-    at = np.flatnonzero(edge)
-    starts, ends = at[:-1], at[1:]
-    inside = c[starts] > 0
-    starts, ends = starts[inside], ends[inside]
-    return vectext.span_hash(buf, starts, ends), np.searchsorted(off, starts, side="right") - 1
+    return vectext.tokens(buf, off, _CLASS, lower=False)[:2]
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(50)).astype(np.int64)
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _index(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -67,21 +57,25 @@ def _index(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """BUCKETS x DIMS table over all documents, rows of unit length; 2 MB whatever the corpus."""
-    names = [f"c{i}" for i in range(DIMS)]
+    """2^BITS x DIMS table over all documents, rows of unit length; 2 MB whatever the corpus."""
+    names, buckets = [f"c{i}" for i in range(DIMS)], 1 << BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS * DIMS)
+        table = np.zeros(buckets * DIMS)
         for batch in batches:
-            for i, j, buf, off in vectext.slices(batch.column("_text"), SLICE):
+            for _, _, buf, off in vectext.slices(batch.column("_text")):
                 h, doc = tokens(buf, off)
-                b = _bucket(h)
-                for place, sign in _index(h):
-                    for d in range(1, WINDOW + 1):
-                        near = (doc[d:] == doc[:-d]).astype(np.int64)
-                        table += np.bincount(b[d:] * DIMS + place[:-d], near * sign[:-d], BUCKETS * DIMS)
-                        table += np.bincount(b[:-d] * DIMS + place[d:], near * sign[d:], BUCKETS * DIMS)
-        table = table.reshape(BUCKETS, DIMS).astype(np.int64)
+                for k in range(0, len(h), CHUNK):
+                    # pairs whose first token is one of the chunk's
+                    own, at = h[k : k + CHUNK + WINDOW], doc[k : k + CHUNK + WINDOW]
+                    b = _bucket(own)
+                    for place, sign in _index(own):
+                        for d in range(1, WINDOW + 1):
+                            n = max(0, min(CHUNK, len(own) - d))
+                            near = (at[d : n + d] == at[:n]).astype(np.int64)
+                            table += np.bincount(b[d : n + d] * DIMS + place[:n], near * sign[:n], buckets * DIMS)
+                            table += np.bincount(b[:n] * DIMS + place[d : n + d], near * sign[d : n + d], buckets * DIMS)
+        table = table.reshape(buckets, DIMS).astype(np.int64)
         own = np.flatnonzero(table.any(axis=1))
         for k in range(0, len(own), 4096):
             part = own[k : k + 4096]
@@ -89,14 +83,42 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     small_batches(docs.sparkSession)
     parts = docs.select(F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), "b long, " + ", ".join(f"{n} long" for n in names))
-    rows = parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most BUCKETS rows
-    out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
+    rows = parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # at most 2^BITS rows
+    out = np.zeros((buckets, DIMS), dtype=np.float32)
     if rows.num_rows:
         v = np.stack([rows.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
         out[rows.column("b").to_numpy()] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     return out
 
 
+def pool(h: np.ndarray, doc: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """Means and spreads of the vectors of each of ``n`` texts' tokens, its length, variety, strength and repetition."""
+    out = np.zeros((n, WIDTH))
+    count = np.bincount(doc, minlength=n).astype(np.float64)
+    sums, squares = np.zeros((n, DIMS)), np.zeros((n, DIMS))
+    for k in range(0, len(h), CHUNK):
+        own = doc[k : k + CHUNK]
+        v = table[_bucket(h[k : k + CHUNK])]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[first]] += np.add.reduceat(v, first, axis=0, dtype=np.float64)
+        squares[own[first]] += np.add.reduceat(v * v, first, axis=0, dtype=np.float64)
+    some = np.flatnonzero(count)
+    c = count[some, None]
+    mean = sums[some] / c
+    out[some, :DIMS] = mean
+    out[some, DIMS : 2 * DIMS] = np.sqrt(np.maximum(squares[some] / c - mean * mean, 0))
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    again = np.zeros(len(h))
+    again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    out[some, 2 * DIMS] = np.log1p(c[:, 0]) / 10
+    out[some, 2 * DIMS + 1] = np.bincount(doc[order][new], minlength=n)[some] / c[:, 0]
+    out[some, 2 * DIMS + 2] = np.linalg.norm(mean, axis=1)
+    out[some, 2 * DIMS + 3] = np.bincount(doc, again, n)[some] / c[:, 0]
+    return out.astype(np.float32)
+
+
 def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", into: str = "pool") -> DataFrame:
     """``docs`` without the text, with the pooled vector: means, spreads, length and variety.
 
@@ -109,31 +131,14 @@ def pooled(docs: DataFrame, vectors: np.ndarray, text: str = "text", into: str =
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            for i, j, buf, off in vectext.slices(batch.column("_text"), SLICE):
-                h, doc = tokens(buf, off)
-                out = np.zeros((j - i, WIDTH), dtype=np.float32)
-                if len(h):
-                    first = np.flatnonzero(np.diff(doc, prepend=-1))
-                    own, n = doc[first], np.diff(np.append(first, len(h)))[:, None]
-                    v = table[_bucket(h)]
-                    mean = np.add.reduceat(v, first, axis=0) / n
-                    square = np.add.reduceat(v * v, first, axis=0) / n
-                    out[own, :DIMS] = mean
-                    out[own, DIMS : 2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
-                    key = np.unique(vectext.mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
-                    variety = np.bincount(doc[key], minlength=j - i)[own]
-                    again = np.add.reduceat(np.concatenate([[0.0], ((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) * 1.0]), first)
-                    out[own, 2 * DIMS] = np.log1p(n[:, 0]) / 10
-                    out[own, 2 * DIMS + 1] = variety / n[:, 0]
-                    out[own, 2 * DIMS + 2] = np.linalg.norm(mean, axis=1)
-                    out[own, 2 * DIMS + 3] = again / n[:, 0]
+            for i, j, buf, off in vectext.slices(batch.column(-1)):
+                out = pool(*tokens(buf, off), j - i, shared.value)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * WIDTH, WIDTH, dtype=np.int32)), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(x).slice(i, j - i) for x in names], lists], names=[*names, into])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(len(names))], lists], names=[*names, into])
 
     schema = T.StructType([*kept, T.StructField(into, T.ArrayType(T.FloatType()))])
-    return docs.select(*[f"`{n}`" for n in names], F.col(text).cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
+    return docs.select(*[f"`{n}`" for n in names], F.col(f"`{text}`").cast("binary").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 class Network:
@@ -192,29 +197,37 @@ def sample_labels(labels: DataFrame, id: str, label: str, learn: Column, limit:
     return materialize(own.orderBy(F.xxhash64("_lid"), "_lid").limit(limit), "labels")
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = SAMPLE) -> DataFrame:
-    """id, score, pool for each row of ``docs``: probability that the label is 1.
+@scratched
+def score(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "quality", limit: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, ``keep``, score, pool for each row of ``docs``: probability that the label is 1.
 
     ``learn`` is a condition on the labels' id; only labels that meet it are
-    looked at.  Word vectors come from all texts.  With no labels to learn from
+    looked at, of several of an id the greatest.  Word vectors come from all
+    texts.  The network is fitted on at most ``limit`` labelled ids and ``limit``
+    rows of theirs, the least by a hash of the id.  With no labels to learn from
     or with one class only, the score is the smoothed share of label 1 (0.5
     without any).  Null and empty texts pool to zeros and get the score of that.
+    Other columns are ignored.
     """
-    base = docs.select(F.col(id), F.col(text))
-    pools = materialize(pooled(base, word_vectors(base, text), text), "quality-pools")
+    held = [f"_keep{i}" for i in range(len(keep))]
+    base = docs.select(F.col(id).alias("_id"), *[F.col(k).alias(x) for k, x in zip(keep, held)], F.col(text).alias("_text"))
+    pools = materialize(pooled(base, word_vectors(base, "_text"), "_text", "_pool"), "quality-pools")
     chosen = sized(sample_labels(labels, id, label, learn, limit))
-    rows = pools.join(chosen, F.col(id) == F.col("_lid")).select("_lid", "_y", "pool").orderBy("_lid").limit(2 * limit).toArrow()
+    rows = pools.join(chosen, F.col("_id") == F.col("_lid")).select("_lid", "_y", "_pool").orderBy(F.xxhash64("_lid"), "_lid").limit(limit).toArrow()
+    rows = rows.sort_by("_lid")
     y = rows.column("_y").to_numpy()
     n = len(y)
+    back = [F.col("_id").alias(id), *[F.col(x).alias(k) for k, x in zip(keep, held)]]
     if n == 0 or y.min() == y.max():
-        return pools.select(id, F.lit((float(y.sum()) + 1) / (n + 2)).alias("score"), "pool")
-    x = rows.column("pool").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, WIDTH)
+        return pools.select(*back, F.lit((float(y.sum()) + 1) / (n + 2)).alias("score"), F.col("_pool").alias("pool"))
+    x = rows.column("_pool").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, WIDTH)
     net = Network().fit(x, y)
-    kept = pools.schema[id]
+    names = ["_id", *held, "_pool"]
 
     def run(batches):
         for batch in batches:
-            pool = batch.column("pool").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column(id), pa.array(net.predict(pool)), batch.column("pool")], names=[id, "score", "pool"])
+            pool = batch.column("_pool").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, WIDTH)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(net.predict(pool))], names=[*names, "_score"])
 
-    return pools.mapInArrow(tidy(run), T.StructType([kept, T.StructField("score", T.DoubleType()), T.StructField("pool", T.ArrayType(T.FloatType()))]))
+    schema = T.StructType([*[pools.schema[c] for c in names], T.StructField("_score", T.DoubleType())])
+    return pools.select(*names).mapInArrow(tidy(run), schema).select(*back, F.col("_score").alias("score"), F.col("_pool").alias("pool"))

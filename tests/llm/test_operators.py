@@ -332,6 +332,15 @@ def test_score_uses_every_context(spark, monkeypatch, pairs):
     assert all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(got, want))
 
 
+def test_grams_do_not_depend_on_pieces():
+    buf = np.frombuffer(b"abracadabra" * 9, np.uint8)
+    off = np.array([0, len(buf)])
+    whole = ctw.grams(buf, off)
+    for limit in (1, 4, 7, 50):
+        parts = list(ctw.gram_pieces(buf, off, limit))
+        assert np.concatenate([g for _, g in parts]).tolist() == whole.tolist() and [a for a, _ in parts] == list(range(0, len(buf), limit))
+
+
 def test_krichevsky_trofimov_blocks():
     for a, b in ((0, 0), (1, 0), (3, 2), (0, 7)):
         p, za, zb = 1.0, 0, 0
@@ -358,6 +367,60 @@ def test_quality_learns_and_handles_odd_rows(spark):
     assert quality.score(docs.limit(0), labels, F.lit(True)).collect() == []
 
 
+def naive_tokens(text):
+    return [m for m in re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9\x20\x09-\x0D]+", (text or "").encode())]
+
+
+@pytest.mark.parametrize("chunk", [3, quality.CHUNK])
+def test_word_vectors_and_pools_match_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    rng = random.Random(3)
+    texts = [None, "", "one", "Éa a!a 12", "a a a b"] + [" ".join(rng.choice(["ab", "Ab", "12", "--", "é", "x1!"]) for _ in range(rng.randint(1, 30))) for _ in range(20)]
+    docs = table(spark, list(enumerate(texts)))
+    hashed = lambda t: int(vectext.span_hash(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])
+    vectors = np.zeros((1 << quality.BITS, quality.DIMS))
+
+    def index(t):
+        v = np.zeros(quality.DIMS)
+        for i in range(quality.NONZERO):
+            x = hashed(t) >> 8 * i & ((1 << 63) - 1)
+            v[np.int64(np.uint64(hashed(t)) >> np.uint64(8 * i)) % quality.DIMS] += 1 if x >> 6 & 1 else -1
+        return v
+
+    for t in texts:
+        own = naive_tokens(t)
+        for i, a in enumerate(own):
+            for b in own[max(0, i - quality.WINDOW) : i] + own[i + 1 : i + 1 + quality.WINDOW]:
+                vectors[hashed(a) >> 64 - quality.BITS] += index(b)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.where(norm > 0, vectors / np.maximum(norm, 1e-9), 0)
+    got = quality.word_vectors(docs)
+    assert np.allclose(got, want, atol=1e-5)
+    for r in quality.pooled(docs.select("doc_id", "text", "_row"), got).collect():
+        own = naive_tokens(texts[r["doc_id"]])
+        p = np.array(r["pool"])
+        if not own:
+            assert not p.any()
+            continue
+        v = np.array([want[hashed(t) >> 64 - quality.BITS] for t in own])
+        assert np.allclose(p[: quality.DIMS], v.mean(axis=0), atol=1e-4) and np.allclose(p[quality.DIMS : 2 * quality.DIMS], v.std(axis=0), atol=2e-3)
+        again = sum(a == b for a, b in zip(own, own[1:]))
+        assert np.allclose(p[2 * quality.DIMS :], [np.log1p(len(own)) / 10, len(set(own)) / len(own), np.linalg.norm(v.mean(axis=0)), again / len(own)], atol=1e-4)
+
+
+def test_network_gradient_steps_lower_the_loss_and_temperature_calibrates():
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (4000, quality.WIDTH))
+    p = 1 / (1 + np.exp(-x[:, 0] - x[:, 1]))
+    y = (rng.random(4000) < p).astype(float)
+    net = quality.Network().fit(x[:3000], y[:3000])
+    q = net.predict(x[3000:])
+    loss = lambda q: -np.mean(y[3000:] * np.log(q) + (1 - y[3000:]) * np.log(1 - q))
+    assert loss(q) < loss(np.full(1000, y.mean())) - 0.05
+    bins = np.digitize(q, [0.2, 0.4, 0.6, 0.8])
+    assert all(abs(q[bins == b].mean() - y[3000:][bins == b].mean()) < 0.15 for b in range(5))
+
+
 def test_toxicity_locates_the_sentence(spark):
     rng = random.Random(7)
     rows = []
