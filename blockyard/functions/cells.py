@@ -28,31 +28,27 @@ STEPS = {"north": (0, 0, -1), "south": (0, 0, 1), "east": (1, 0, 0), "west": (-1
 class Family:
     """Blocks that share a code for their facing: direction of each value, bits used, default."""
 
-    def __init__(self, names: str, mask: int, codes: str, default: int):
-        self.ids = frozenset(ID[n] for n in names.split())
-        self.mask, self.default = mask, default
-        self.read = {}
-        for part in codes.split():
-            value, _, way = part.partition(":")
-            self.read[int(value)] = way
+    def __init__(self, names: tuple[str, ...], mask: int, read: dict[int, str], default: int):
+        self.ids = frozenset(ID[n] for n in names)
+        self.mask, self.read, self.default = mask, read, default
         self.write = {}
-        for value, way in self.read.items():
+        for value, way in read.items():
             self.write.setdefault(way, value)
 
 
 # Bits, codes and default of each family of blocks that face a direction.
 FAMILIES = {
-    "attached": Family("torch redstone_torch_off redstone_torch_on", 7, "1:east 2:west 3:south 4:north 5:down 6:down", 5),
-    "lever": Family("lever", 7, "1:east 2:west 3:south 4:north 6:down 5:down", 6),
-    "button": Family("stone_button wooden_button", 7, "1:east 2:west 3:south 4:north 5:down 6:down", 2),
-    "door": Family("wooden_door iron_door gate", 3, "0:west 1:south 2:east 3:north", 3),
-    "stairs": Family("wooden_stairs cobblestone_stairs brick_stairs stone_brick_stairs nether_brick_stairs sandstone_stairs spruce_wood_stairs birch_wood_stairs jungle_wood_stairs", 3, "0:east 1:west 2:south 3:north", 3),
-    "container": Family("chest ladder wall_sign furnace burning_furnace dispenser ender_chest", 7, "2:north 3:south 4:west 5:east", 2),
-    "pumpkin": Family("pumpkin jack_o_lantern", 3, "0:south 1:east 2:north 3:west", 2),
-    "bed": Family("bed redstone_repeater_on redstone_repeater_off end_portal_frame cocoa_pod", 3, "0:north 1:east 2:south 3:west", 0),
-    "piston": Family("piston sticky_piston piston_head", 7, "0:down 1:up 2:north 3:south 4:west 5:east", 3),
-    "trapdoor": Family("trapdoor", 3, "0:north 1:south 2:west 3:east", 1),
-    "hook": Family("tripwire_hook", 3, "0:south 1:west 2:north 3:east", 0),
+    "attached": Family(("torch", "redstone_torch_off", "redstone_torch_on"), 7, {1: "east", 2: "west", 3: "south", 4: "north", 5: "down", 6: "down"}, 5),
+    "lever": Family(("lever",), 7, {1: "east", 2: "west", 3: "south", 4: "north", 6: "down", 5: "down"}, 6),
+    "button": Family(("stone_button", "wooden_button"), 7, {1: "east", 2: "west", 3: "south", 4: "north", 5: "down", 6: "down"}, 2),
+    "door": Family(("wooden_door", "iron_door", "gate"), 3, {0: "west", 1: "south", 2: "east", 3: "north"}, 3),
+    "stairs": Family(("wooden_stairs", "cobblestone_stairs", "brick_stairs", "stone_brick_stairs", "nether_brick_stairs", "sandstone_stairs", "spruce_wood_stairs", "birch_wood_stairs", "jungle_wood_stairs"), 3, {0: "east", 1: "west", 2: "south", 3: "north"}, 3),
+    "container": Family(("chest", "ladder", "wall_sign", "furnace", "burning_furnace", "dispenser", "ender_chest"), 7, {2: "north", 3: "south", 4: "west", 5: "east"}, 2),
+    "pumpkin": Family(("pumpkin", "jack_o_lantern"), 3, {0: "south", 1: "east", 2: "north", 3: "west"}, 2),
+    "bed": Family(("bed", "redstone_repeater_on", "redstone_repeater_off", "end_portal_frame", "cocoa_pod"), 3, {0: "north", 1: "east", 2: "south", 3: "west"}, 0),
+    "piston": Family(("piston", "sticky_piston", "piston_head"), 7, {0: "down", 1: "up", 2: "north", 3: "south", 4: "west", 5: "east"}, 3),
+    "trapdoor": Family(("trapdoor",), 3, {0: "north", 1: "south", 2: "west", 3: "east"}, 1),
+    "hook": Family(("tripwire_hook",), 3, {0: "south", 1: "west", 2: "north", 3: "east"}, 0),
 }
 FAMILY = {i: f for f in FAMILIES.values() for i in f.ids}
 
@@ -208,3 +204,23 @@ def wire_power(block: Column, data: Column) -> Column:
 def tile_entity_fits(kind: Column, expected: Column) -> Column:
     """A missing tile entity fits anything; one that is there must have the expected type."""
     return kind.isNull() | F.coalesce(kind == expected, F.lit(False))
+
+
+def same_cell(a: Column, b: Column) -> Column:
+    """Whether two cells are equal, tile entities too: structs of block_id, block_data and what else tells them apart."""
+    return a.eqNullSafe(b)
+
+
+def cell_hash(block: Column, data: Column, tile_entity_hash: Column | None = None) -> Column:
+    """A cell's number for hashing: the id, the data from bit 8 up, the tile entity's hash from bit 16 up."""
+    own = block.cast("long").bitwiseOR(F.shiftleft(data.cast("long"), 8))
+    return own if tile_entity_hash is None else own.bitwiseOR(F.shiftleft(tile_entity_hash.cast("long"), 16))
+
+
+def cell_text(block: Column, data: Column) -> Column:
+    return F.format_string("{ ID: %d, data: 0x%X }", block.cast("long"), data.cast("long"))
+
+
+def standard_tile_entity() -> Column:
+    """What a new cell of a block has as its tile entity: none, for every block."""
+    return F.lit(None).cast("string")

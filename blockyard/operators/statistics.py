@@ -26,30 +26,29 @@ def counted(voxels: DataFrame) -> DataFrame:
     return voxels.where(F.col("y").between(0, LAYERS - 1))
 
 
-def densify_chunks(voxels: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """Every position of the chunks, air written out.
+def densify_chunks(voxels: DataFrame, chunks: DataFrame | None = None, ground: int = 0, layers: int = LAYERS) -> DataFrame:
+    """Every position of the chunks' lowest ``layers`` layers, empty ones written out: air, or stone below ``ground``.
 
     Rows are gathered by column of blocks, 128 at most, so the sparse rows are
     shuffled and not the dense ones.  ``chunks`` (chunk_x, chunk_z) defaults to
     those that have a row.
     """
-    spark = voxels.sparkSession
     own = voxels.select(*CHUNK).distinct() if chunks is None else chunks.select(*CHUNK).distinct()
     i = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))
     columns = own.select(*CHUNK, i.alias("i")).select(*CHUNK, (F.col("i") % SIDE).cast("bigint").alias("x"), F.floor(F.col("i") / SIDE).alias("z"))
     cell = F.struct("y", "block_id", "block_data")
-    held = counted(voxels).groupBy(*CHUNK, "x", "z").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("int"), cell))).alias("_m"))
+    held = counted(voxels).where(F.col("y") < layers).groupBy(*CHUNK, "x", "z").agg(F.map_from_entries(F.collect_list(F.struct(F.col("y").cast("int"), cell))).alias("_m"))
     rows = columns.join(held, [*CHUNK, "x", "z"], "left")
-    rows = rows.select(*CHUNK, "x", "z", "_m", F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("_y"))
+    rows = rows.select(*CHUNK, "x", "z", "_m", F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("_y"))
     got = F.try_element_at("_m", F.col("_y"))
     kinds = dict(voxels.dtypes)
-    value = lambda c: F.coalesce(got[c], F.lit(0)).cast(kinds[c]).alias(c)
-    return rows.select(*CHUNK, "x", F.col("_y").cast(kinds["y"]).alias("y"), "z", value("block_id"), value("block_data"))
+    empty = F.when(F.col("_y") < ground, blocks.STONE).otherwise(blocks.AIR)
+    value = lambda c, other: F.coalesce(got[c], other).cast(kinds[c]).alias(c)
+    return rows.select(*CHUNK, "x", F.col("_y").cast(kinds["y"]).alias("y"), "z", value("block_id", empty), value("block_data", F.lit(0)))
 
 
 def _with_air(counts: DataFrame, chunks: DataFrame, positions: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of explicit cells with air filled up to what the chunks hold."""
-    spark = counts.sparkSession
     total = chunks.select(*CHUNK).distinct().agg((F.count("*") * positions).alias("_all"))
     if by:
         total = total.select("_all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LAYERS - 1).cast("bigint"))).alias("y"))
@@ -75,11 +74,11 @@ def layer_counts(voxels: DataFrame, chunks: DataFrame | None = None) -> DataFram
 def exposure(voxels: DataFrame, target: int = blocks.AIR) -> DataFrame:
     """Underground cells off the chunk's border, with ``exposed``: is any of the six neighbours ``target``?
 
-    ``voxels`` must be dense.  One shuffle by chunk serves the three windows; a
+    ``voxels`` must be dense up to layer DEEP; higher ones are not looked at.  One shuffle by chunk serves the three windows; a
     chunk has a fixed size, so no partition of a window grows with the data.
     The cell below layer 0 does not count.
     """
-    own = counted(voxels).repartition(*CHUNK)
+    own = counted(voxels).where(F.col("y") <= DEEP).repartition(*CHUNK)
     checks = []
     for axis, rest in (("x", ("y", "z")), ("y", ("x", "z")), ("z", ("x", "y"))):
         w = W.partitionBy(*CHUNK, *rest).orderBy(axis)
@@ -148,7 +147,7 @@ def counters(chunks: DataFrame) -> DataFrame:
 
 
 def merged(*parts: DataFrame) -> DataFrame:
-    """Histograms (any key columns and n) added up."""
+    """Histograms (any key columns and n) added up; also the parts of one frame, whose keys then repeat."""
     keys = [c for c in parts[0].columns if c != "n"]
     out = parts[0]
     for p in parts[1:]:
@@ -187,19 +186,32 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def tables(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame) -> list[tuple[str, DataFrame, Column]]:
+    """Name, rows and column to sum of the seven tables of the statistics; ``chunks`` has all slots."""
+    good = chunks.where(F.col("present") & F.coalesce("populated", F.lit(False)))
+    # Histograms of some hundred rows each, used twice.
+    shown = exposure_counts(densify_chunks(voxels, good, layers=DEEP + 1)).persist()
+    by_layer = layer_counts(voxels, good).persist()
+    totals = merged(by_layer.select("block_id", "n"))
+    highest = highest_type(totals).first()[0] or 0
+    sides = [(name, all_types(shown.where(F.col("exposed") == side).drop("exposed"))) for name, side in (("adjacent", True), ("nonadjacent", False))]
+    matrix = layer_matrix(by_layer, highest)
+    n = F.col("n")
+    return [
+        ("total", all_types(totals), n),
+        *[(name, rows, n) for name, rows in sides],
+        ("topmost", all_types(topmost_counts(voxels)), n),
+        ("layers", matrix, sum((F.col(str(i)) for i in range(1, highest + 1)), F.col("0"))),
+        ("spawners", spawner_counts(tile_entities), n),
+        ("chests", chest_counts(tile_entities), n),
+    ]
+
+
 def write_all(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame, path: str) -> None:
     """The seven tables and the summary as CSV folders under ``path``; ``chunks`` has all slots."""
-    good = chunks.where(F.col("present") & F.coalesce("populated", F.lit(False)))
-    dense = densify_chunks(voxels, good)
-    shown = exposure_counts(dense)
-    totals, by_layer = total_counts(voxels, good), layer_counts(voxels, good)
-    write_csv(all_types(totals).orderBy("block_id"), f"{path}/total")
-    write_csv(all_types(shown.where("exposed").drop("exposed")).orderBy("block_id"), f"{path}/adjacent")
-    write_csv(all_types(shown.where("not exposed").drop("exposed")).orderBy("block_id"), f"{path}/nonadjacent")
-    write_csv(all_types(topmost_counts(voxels)).orderBy("block_id"), f"{path}/topmost")
-    write_csv(layer_matrix(by_layer, highest_type(totals).first()[0] or 0).orderBy("layer"), f"{path}/layers")
-    write_csv(spawner_counts(tile_entities), f"{path}/spawners")
-    write_csv(chest_counts(tile_entities), f"{path}/chests")
+    for name, rows, _ in tables(voxels, tile_entities, chunks):
+        order = [c for c in ("block_id", "layer") if c in rows.columns]
+        write_csv(rows.orderBy(*order) if order else rows, f"{path}/{name}")
     write_csv(summary(counters(chunks)), f"{path}/summary")
 
 

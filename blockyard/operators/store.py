@@ -13,7 +13,7 @@ Filling and overlaying a cuboid need no join for what lies outside it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,44 @@ def write_cells(store: DataFrame, changes: DataFrame, ground: int = 0, by: Seque
     return kept.unionByName(_like(drop_empty(changes, ground), store))
 
 
+def cell_at(store: DataFrame, x: int, y: int, z: int, ground: int = 0) -> tuple[int, int]:
+    """Block and data at one position."""
+    row = store.where((F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z)).select(*CELL).first()
+    return tuple(row) if row else (blocks.STONE if y < ground else blocks.AIR, 0)
+
+
+def bulk_write(store: DataFrame, batches: Sequence[DataFrame], ground: int = 0, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The store after several writes, later ones over earlier, and the one record of what changed, as ``changed_extents`` has it."""
+    every = None
+    for n, rows in enumerate(batches):
+        own = _like(rows, store).withColumn("_turn", F.lit(n))
+        every = own if every is None else every.unionByName(own)
+    if every is None:
+        return store, changed_extents(store, store, by)
+    rest = [c for c in store.columns if c not in (*by, *POSITION)]
+    last = every.groupBy(*by, *POSITION).agg(F.max_by(F.struct(*rest), "_turn").alias("_c")).select(*by, *POSITION, "_c.*")
+    after = write_cells(store, last, ground, by)
+    return after, changed_extents(store, after, by)
+
+
+def parts(store: DataFrame, box: Box | None = None, side: int = 16, ground: int = 0) -> DataFrame:
+    """The cubes of ``side`` cells that hold any non-empty cell, of the store or of ``box``: their cuboid and number of cells."""
+    rows = drop_empty(store if box is None else crop(store, box), ground)
+    at = [F.floor(F.col(c) / side).alias(f"p{c}") for c in POSITION]
+    return rows.groupBy(*at).agg(bounds().alias("extents"), F.count("*").alias("n"))
+
+
+def visit_parts(store: DataFrame, visit: Callable[[Box], bool], box: Box | None = None, side: int = 16, ground: int = 0) -> bool:
+    """Call ``visit`` with the cuboid of each part, by y, z and x, until it gives False; whether all were visited.
+
+    The cuboids are fetched a partition at a time, so what comes after a stop is not.
+    """
+    for r in parts(store, box, side, ground).orderBy("py", "pz", "px").toLocalIterator():
+        if not visit(Box(*r["extents"])):
+            return False
+    return True
+
+
 def fill(store: DataFrame, box: Box, block: int, data: int = 0, ground: int = 0) -> DataFrame:
     """The store with one cell in the whole cuboid."""
     kept = store.where(~box.holds(*map(F.col, POSITION)))

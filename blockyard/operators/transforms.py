@@ -14,20 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import transformed
+from ..functions.extents import Box
 from .store import box_of, copy_region, drop_empty, extents, shifted
 
 
-def _boxed(store: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The non-empty rows with their store's cuboid in ``_e``."""
+def _boxed(store: DataFrame, by: Sequence[str], box: Box | None = None) -> DataFrame:
+    """The non-empty rows with their store's cuboid in ``_e``; ``box`` if the caller knows it."""
     rows = drop_empty(store)
     if by:
         return rows.join(extents(rows, by=by).withColumnRenamed("extents", "_e"), list(by))
-    return rows.withColumn("_e", box_of(rows).column())
+    return rows.withColumn("_e", (box_of(rows) if box is None else box).column())
 
 
-def _turned(store: DataFrame, by: Sequence[str], x, z, operation: str) -> DataFrame:
+def _turned(store: DataFrame, by: Sequence[str], x, z, operation: str, box: Box | None) -> DataFrame:
     e = F.col("_e")
-    rows = _boxed(store, by).withColumns({"_x": x(e), "_z": z(e)})
+    rows = _boxed(store, by, box).withColumns({"_x": x(e), "_z": z(e)})
     rows = rows.withColumns({"x": F.col("_x"), "z": F.col("_z")}).select(*store.columns)
     return transformed(rows, operation)
 
@@ -42,28 +43,28 @@ def move(store: DataFrame, x: int = 0, y: int = 0, z: int = 0) -> DataFrame:
     return shifted(drop_empty(store), -x, z, y)
 
 
-def flip_x(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def flip_x(store: DataFrame, by: Sequence[str] = (), box: Box | None = None) -> DataFrame:
     """Mirror along z; the axis has an older convention's name.  Cells are flipped east to west."""
-    return _turned(store, by, lambda e: F.col("x"), lambda e: _back("z", e), "flip_east_west")
+    return _turned(store, by, lambda e: F.col("x"), lambda e: _back("z", e), "flip_east_west", box)
 
 
-def flip_y(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def flip_y(store: DataFrame, by: Sequence[str] = (), box: Box | None = None) -> DataFrame:
     """Mirror along x; cells are flipped north to south."""
-    return _turned(store, by, lambda e: _back("x", e), lambda e: F.col("z"), "flip_north_south")
+    return _turned(store, by, lambda e: _back("x", e), lambda e: F.col("z"), "flip_north_south", box)
 
 
-def rotate_180(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _turned(store, by, lambda e: _back("x", e), lambda e: _back("z", e), "rotate_180")
+def rotate_180(store: DataFrame, by: Sequence[str] = (), box: Box | None = None) -> DataFrame:
+    return _turned(store, by, lambda e: _back("x", e), lambda e: _back("z", e), "rotate_180", box)
 
 
-def rotate_right(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def rotate_right(store: DataFrame, by: Sequence[str] = (), box: Box | None = None) -> DataFrame:
     """A quarter turn clockwise: z' = x, x' from z."""
-    return _turned(store, by, lambda e: _back("z", e), lambda e: F.col("x"), "rotate_clockwise")
+    return _turned(store, by, lambda e: _back("z", e), lambda e: F.col("x"), "rotate_clockwise", box)
 
 
-def rotate_left(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def rotate_left(store: DataFrame, by: Sequence[str] = (), box: Box | None = None) -> DataFrame:
     """A quarter turn the other way: x' = z, z' from x."""
-    return _turned(store, by, lambda e: F.col("z"), lambda e: _back("x", e), "rotate_anticlockwise")
+    return _turned(store, by, lambda e: F.col("z"), lambda e: _back("x", e), "rotate_anticlockwise", box)
 
 
 def trim(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -88,21 +89,30 @@ COMMANDS: dict[str, tuple[str, Callable[..., DataFrame], int]] = {
 }
 
 
+def _moved_box(name: str, box: Box, args: Sequence[int]) -> Box:
+    """The cuboid after a command: flips and half turns keep it, quarter turns swap x and z."""
+    if name == "move":
+        x, y, z = args
+        return box.offset(-x, z, y)
+    return Box(box.minZ, box.maxZ, box.minY, box.maxY, box.minX, box.maxX) if name in ("rotr", "rotl") else box
+
+
 def run_commands(store: DataFrame, words: Sequence[str], load: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """The store after a chain like ``["--rotr", "--move", "1", "0", "0", "--in", "file"]``, not yet trimmed.
 
     A command may be written ``--name``, ``-letter`` or ``name``.  ``load`` opens
-    what ``in`` names.  A missing argument or an unknown command raises.
+    what ``in`` names.  A missing argument or an unknown command raises.  The
+    cuboid is measured once, and again after ``in``; commands carry it along.
     """
     short = {v[0]: k for k, v in COMMANDS.items()} | {"i": "in"}
-    i = 0
+    i, box = 0, None
     while i < len(words):
         word = words[i]
         name = short.get(word[1:], "") if word[:1] == "-" and word[:2] != "--" else word.removeprefix("--")
         if name == "in":
             if load is None or i + 1 >= len(words):
                 raise ValueError("in needs a file")
-            store, i = load_over(store, load(words[i + 1])), i + 2
+            store, box, i = load_over(store, load(words[i + 1])), None, i + 2
             continue
         if name not in COMMANDS:
             raise ValueError(f"unknown command {word!r}")
@@ -110,5 +120,11 @@ def run_commands(store: DataFrame, words: Sequence[str], load: Callable[[str], D
         rest = words[i + 1 : i + 1 + n]
         if len(rest) < n:
             raise ValueError(f"{name} needs {n} arguments")
-        store, i = f(store, *map(int, rest)), i + 1 + n
+        args = [int(r) for r in rest]
+        if name == "move":
+            store = f(store, *args)
+        else:
+            box = box_of(store) if box is None else box
+            store = f(store, box=box)
+        box, i = box and _moved_box(name, box, args), i + 1 + n
     return store

@@ -27,7 +27,7 @@ _TILES = """
 lines AS (SELECT l_orderkey AS o, l_partkey % 400 AS item, CAST(l_quantity AS BIGINT) AS c FROM lineitem),
 te AS (SELECT chunk_x * 16 + x AS x, y, chunk_z * 16 + z AS z, block_id, o, CASE WHEN block_id = 54 THEN 'Chest' ELSE 'Monster Spawner' END AS id,
   CASE WHEN block_id = 52 THEN f END AS entity_id FROM v WHERE block_id IN (52, 54))"""
-_PART = "part AS (SELECT * FROM g WHERE x BETWEEN 8 AND 39 AND y BETWEEN 20 AND 59 AND z BETWEEN 8 AND 39)"
+_PART = "part AS (SELECT * FROM g)"
 _SMALL = "x BETWEEN 10 AND 25 AND y BETWEEN 30 AND 45 AND z BETWEEN 10 AND 25"
 
 
@@ -60,9 +60,11 @@ FROM p CROSS JOIN e LEFT JOIN t ON t.b = p.block_id AND t.d = p.block_data"""
 _BACK_X, _BACK_Z = "e.x1 - (p.x - e.x0)", "e.z1 - (p.z - e.z0)"
 _COUNT = "CAST(count(*) AS BIGINT) AS n"
 _NEAR_AIR = """
-air AS (SELECT DISTINCT chunk_x, chunk_z, x + dx AS x, y + dy AS y, z + dz AS z FROM d,
+filled AS (SELECT d.* REPLACE (CASE WHEN v.block_id IS NULL AND d.y < 30 THEN 1 ELSE d.block_id END AS block_id)
+  FROM d LEFT JOIN v ON v.chunk_x = d.chunk_x AND v.chunk_z = d.chunk_z AND v.x = d.x AND v.y = d.y AND v.z = d.z),
+air AS (SELECT DISTINCT chunk_x, chunk_z, x + dx AS x, y + dy AS y, z + dz AS z FROM filled,
   (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(dx, dy, dz) WHERE block_id = 0),
-inner_cells AS (SELECT * FROM d WHERE y < 60 AND x BETWEEN 1 AND 14 AND z BETWEEN 1 AND 14)"""
+inner_cells AS (SELECT * FROM filled WHERE y < 60 AND x BETWEEN 1 AND 14 AND z BETWEEN 1 AND 14)"""
 _EXPOSED = f"SELECT block_id, {_COUNT} FROM inner_cells {{}} JOIN air USING (chunk_x, chunk_z, x, y, z) GROUP BY 1"
 _TORCH = """SELECT DISTINCT a.x, a.y, a.z, a.block_id FROM g a JOIN g b ON {}
 WHERE b.block_id IN (75, 76) AND a.block_id IN ({})"""
@@ -118,7 +120,7 @@ ORACLE_SQL = {
         "SELECT regions, chunks, rejected, chunks * 32768 AS blocks, format('{:,}', chunks * 32768) AS blocks_text FROM (SELECT count(DISTINCT region_file) AS regions, count(*) FILTER (WHERE populated) AS chunks, count(*) FILTER (WHERE present AND NOT populated) AS rejected FROM slot)",
         _SLOTS,
     ),
-    "p6_within_region": _sql(f"SELECT {_COUNT}, CAST(sum(block_id) AS BIGINT) AS ids FROM part", _PART),
+    "p6_within_region": _sql(f"SELECT {_COUNT}, CAST(sum(block_id) AS BIGINT) AS ids FROM g WHERE x BETWEEN 8 AND 39 AND y BETWEEN 20 AND 59 AND z BETWEEN 8 AND 39"),
     "p18_tile_entity_fits": _sql(
         f"SELECT id, expected, id = expected AS fits, {_COUNT} FROM (SELECT id, CASE WHEN block_id = 54 AND y % 2 = 0 THEN 'Furnace' WHEN block_id = 54 THEN 'Chest' ELSE 'Monster Spawner' END AS expected FROM te) GROUP BY 1, 2, 3", _TILES
     ),
@@ -138,7 +140,7 @@ UNION ALL SELECT * FROM o WHERE block_data <> 16 AND NOT block_id = 0""",
     ),
     "j5_copy_region": _sql(
         "SELECT * FROM dst ANTI JOIN src USING (x, y, z) UNION ALL SELECT * FROM src",
-        "dst AS (SELECT * FROM g WHERE x BETWEEN 0 AND 31 AND y BETWEEN 64 AND 95 AND z BETWEEN 0 AND 31)",
+        "dst AS (SELECT * FROM g)",
         f"src AS (SELECT x - 10 AS x, y + 40 AS y, z - 10 AS z, block_id, block_data FROM g WHERE {_SMALL} AND block_id <> 0)",
     ),
     "j7_side_torches": _sql(_TORCH.format("a.y = b.y AND abs(a.x - b.x) + abs(a.z - b.z) = 1", _SOLID)),
@@ -147,7 +149,7 @@ UNION ALL SELECT * FROM o WHERE block_data <> 16 AND NOT block_id = 0""",
         "SELECT i.x, j.y, k.z, coalesce(block_id, CASE WHEN j.y < 32 THEN 1 ELSE 0 END) AS block_id, coalesce(block_data, 0) AS block_data FROM range(8) i(x) CROSS JOIN range(64) j(y) CROSS JOIN range(8) k(z) LEFT JOIN g ON g.x = i.x AND g.y = j.y AND g.z = k.z"
     ),
     "v2_write_cells": _sql(
-        f"SELECT * FROM g WHERE {_SMALL} AND NOT (y = 33 AND z = 12) UNION ALL SELECT x, 33, 12, x % 3, 0 FROM range(10, 26) r(x) WHERE x % 3 <> 0",
+        f"SELECT * FROM g WHERE NOT (x BETWEEN 10 AND 25 AND y = 33 AND z = 12) UNION ALL SELECT x, 33, 12, x % 3, 0 FROM range(10, 26) r(x) WHERE x % 3 <> 0",
     ),
     "v3_keep_fitting": _sql("SELECT x, y, z, id FROM te WHERE NOT (y < 64 AND z < 32 AND x % 2 = 0 AND id <> 'Chest')", _TILES),
     "v5_fill": _sql(f"SELECT * FROM part WHERE NOT ({_SMALL}) UNION ALL SELECT x, y, z, 4, 2 FROM range(10, 26) i(x), range(30, 46) j(y), range(10, 26) k(z)", _PART),

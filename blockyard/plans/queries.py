@@ -15,7 +15,7 @@ from ..operators import statistics, store, transforms
 from ..sources import nbt, schematic
 from . import voxel_view as view
 
-#: Cuboids and cells that the queries use.
+#: Cuboids and cells that are arguments of the queries.
 REGION = Box(8, 39, 20, 59, 8, 39)
 TARGET = (0, 70, 0)
 SMALL = Box(10, 25, 30, 45, 10, 25)
@@ -36,7 +36,8 @@ def a2_layer_counts(spark, sf_dir):
 
 
 def _exposure(spark, sf_dir):
-    return statistics.exposure_counts(statistics.densify_chunks(*_populated(spark, sf_dir)))
+    """Over ground of stone up to layer 30, so that some cells have no air about them."""
+    return statistics.exposure_counts(statistics.densify_chunks(*_populated(spark, sf_dir), ground=30, layers=statistics.DEEP + 1))
 
 
 def a3_exposed_counts(spark, sf_dir):
@@ -68,8 +69,8 @@ def a9_counters(spark, sf_dir):
 
 
 def a10_merged_counts(spark, sf_dir):
-    v = view.voxels(spark, sf_dir)
-    return statistics.merged(*[statistics.total_counts(v.where(F.col("chunk_x") == i)) for i in range(view.CHUNKS)])
+    part = view.voxels(spark, sf_dir).groupBy("chunk_x", "chunk_z", "block_id").agg(F.count("*").alias("n"))
+    return statistics.merged(part.select("block_id", "n"))
 
 
 def a12_extents(spark, sf_dir):
@@ -116,8 +117,7 @@ def p20_non_empty(spark, sf_dir):
 
 def j1_cells_with_tile_entities(spark, sf_dir):
     te = view.to_world(view.tile_entities(spark, sf_dir)).select("x", "y", "z", "id", "entity_id", F.size(F.coalesce("items", F.array().cast("array<struct<id:bigint,count:bigint>>"))).cast("bigint").alias("n_stacks"))
-    part = store.crop(view.world(spark, sf_dir), REGION)
-    return store.with_tile_entities(part, te)
+    return store.with_tile_entities(view.world(spark, sf_dir), te)
 
 
 def j2_named_counts(spark, sf_dir):
@@ -133,12 +133,12 @@ def _overlay_of(spark, sf_dir):
 
 
 def j4_overlay(spark, sf_dir):
-    return store.overlay(store.crop(view.world(spark, sf_dir), REGION), _overlay_of(spark, sf_dir), SMALL.offset(12, 10, 3))
+    return store.overlay(view.world(spark, sf_dir), _overlay_of(spark, sf_dir), SMALL.offset(12, 10, 3))
 
 
 def j5_copy_region(spark, sf_dir):
     w = view.world(spark, sf_dir)
-    return store.copy_region(store.crop(w, Box(0, 31, 64, 95, 0, 31)), w, SMALL, TARGET)
+    return store.copy_region(w, w, SMALL, TARGET)
 
 
 def j7_side_torches(spark, sf_dir):
@@ -154,7 +154,7 @@ def v1_read_cells(spark, sf_dir):
 
 
 def v2_write_cells(spark, sf_dir):
-    w = store.crop(view.world(spark, sf_dir), SMALL)
+    w = view.world(spark, sf_dir)
     line = store.grid(spark, Box(10, 25, 33, 33, 12, 12)).withColumns({"block_id": F.col("x") % 3, "block_data": F.lit(0)})
     return store.write_cells(w, line)
 
@@ -166,7 +166,7 @@ def v3_keep_fitting(spark, sf_dir):
 
 
 def v5_fill(spark, sf_dir):
-    return store.fill(store.crop(view.world(spark, sf_dir), REGION), SMALL, 4, 2)
+    return store.fill(view.world(spark, sf_dir), SMALL, 4, 2)
 
 
 def v6_crop(spark, sf_dir):
@@ -183,7 +183,7 @@ def v13_densify(spark, sf_dir):
 
 
 def v18_float_and_settle(spark, sf_dir):
-    rest, floating = store.lift(store.crop(view.world(spark, sf_dir), REGION), SMALL)
+    rest, floating = store.lift(view.world(spark, sf_dir), SMALL)
     return store.settle(rest, floating, (5, 7, -2))
 
 
@@ -191,40 +191,36 @@ def v19_layer_slice(spark, sf_dir):
     return store.layer_slice(view.world(spark, sf_dir), 40, 4, 50, 4, 50)
 
 
-def _part(spark, sf_dir):
-    return store.crop(view.world(spark, sf_dir), REGION)
-
-
 def g2_move(spark, sf_dir):
-    return transforms.move(_part(spark, sf_dir), 3, 4, 5)
+    return transforms.move(view.world(spark, sf_dir), 3, 4, 5)
 
 
 def g3_flip_x(spark, sf_dir):
-    return transforms.flip_x(_part(spark, sf_dir))
+    return transforms.flip_x(view.world(spark, sf_dir))
 
 
 def g4_flip_y(spark, sf_dir):
-    return transforms.flip_y(_part(spark, sf_dir))
+    return transforms.flip_y(view.world(spark, sf_dir))
 
 
 def g5_rotate_180(spark, sf_dir):
-    return transforms.rotate_180(_part(spark, sf_dir))
+    return transforms.rotate_180(view.world(spark, sf_dir))
 
 
 def g6_rotate_right(spark, sf_dir):
-    return transforms.rotate_right(_part(spark, sf_dir))
+    return transforms.rotate_right(view.world(spark, sf_dir))
 
 
 def g7_rotate_left(spark, sf_dir):
-    return transforms.rotate_left(_part(spark, sf_dir))
+    return transforms.rotate_left(view.world(spark, sf_dir))
 
 
 def g8_trim(spark, sf_dir):
-    return transforms.trim(_part(spark, sf_dir))
+    return transforms.trim(view.world(spark, sf_dir))
 
 
 def g9_command_chain(spark, sf_dir):
-    return transforms.trim(transforms.run_commands(_part(spark, sf_dir), ["--rotr", "-x", "move", "1", "2", "3"]))
+    return transforms.trim(transforms.run_commands(view.world(spark, sf_dir), ["--rotr", "-x", "move", "1", "2", "3"]))
 
 
 def x6_facing_counts(spark, sf_dir):

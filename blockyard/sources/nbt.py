@@ -12,7 +12,7 @@ from __future__ import annotations
 import gzip
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -63,8 +63,17 @@ def fits(kind: int, schema: Any) -> bool:
     return want is None or want == kind or (want in NUMBERS and kind in NUMBERS)
 
 
-def inflate(data: bytes, how: str = "auto") -> bytes:
-    """``auto`` takes gzip or zlib; also ``gzip``, ``zlib``, ``deflate`` and ``none``."""
+class Codec(NamedTuple):
+    """A compression of the caller's own, in place of a name."""
+
+    compress: Callable[[bytes], bytes]
+    decompress: Callable[[bytes], bytes]
+
+
+def inflate(data: bytes, how: str | Codec = "auto") -> bytes:
+    """``auto`` takes gzip or zlib; also ``gzip``, ``zlib``, ``deflate``, ``none`` and a ``Codec``."""
+    if isinstance(how, Codec):
+        return how.decompress(data)
     if how == "none":
         return data
     bits = {"auto": 47, "gzip": 31, "zlib": 15, "deflate": -15}[how]
@@ -78,7 +87,9 @@ def inflate(data: bytes, how: str = "auto") -> bytes:
     return out
 
 
-def deflate(data: bytes, how: str = "gzip") -> bytes:
+def deflate(data: bytes, how: str | Codec = "gzip") -> bytes:
+    if isinstance(how, Codec):
+        return how.compress(data)
     if how == "none":
         return data
     if how == "gzip":
@@ -309,9 +320,11 @@ def from_node_rows(rows: list[dict]) -> tuple[str, Tag]:
     return root["name"] or "", build(root, root["tag_type"])
 
 
-def nodes(files: DataFrame, doc: str = "path", content: str = "content", root_name: str | None = None, fragments: bool = False, compression: str = "auto", permissive: bool = False) -> DataFrame:
+def nodes(files: DataFrame, doc: str = "path", content: str = "content", root_name: str | None = None, fragments: bool = False, compression: str = "auto", permissive: bool = False, ordered: bool = False) -> DataFrame:
     """The node table of binary rows, such as ``spark.read.format("binaryFile")`` gives.
 
+    ``ordered`` sorts the keys of compounds, without regard to case.
+
     Bytes that cannot be read raise, or with ``permissive`` give one row without
     a tag_type whose string_val says why.  Null contents give no rows.
     """
@@ -322,7 +335,8 @@ def nodes(files: DataFrame, doc: str = "path", content: str = "content", root_na
                 if not raw.is_valid:
                     continue
                 try:
-                    rows = node_rows(d, *loads(raw.as_py(), root_name, None, fragments, compression))
+                    name, root = loads(raw.as_py(), root_name, None, fragments, compression)
+                    rows = node_rows(d, name, sorted_compounds(root) if ordered else root)
                 except NBTError as e:
                     if not permissive:
                         raise
@@ -389,12 +403,63 @@ def insert_node(table: DataFrame, doc: str, parent: int, name: str | None, value
     return grown.unionByName(table.sparkSession.createDataFrame([tuple(r[c] for c in _NODE_KIND.names) for r in rows], NODE_SCHEMA))
 
 
+def _below(own: DataFrame, node: int) -> set[int]:
+    """A node's number and those of all under it; one document is one task's work, so its numbers fit the driver."""
+    kids: dict[int | None, list[int]] = {}
+    for r in own.select("node_id", "parent_id").toArrow().to_pylist():
+        kids.setdefault(r["parent_id"], []).append(r["node_id"])
+    found, todo = set(), [node]
+    while todo:
+        n = todo.pop()
+        found.add(n)
+        todo += kids.get(n, [])
+    return found
+
+
 def remove_node(table: DataFrame, doc: str, node: int) -> DataFrame:
-    """The table without a node and what is below it; the root stays."""
+    """The table without a node and what is below it; the root stays.
+
+    The parent counts one child less, and what follows in it moves up; in a list
+    the paths of those change with their places.
+    """
     own = table.where(F.col("doc") == doc)
     target = own.where(F.col("node_id") == node).first()
     if target is None or target["parent_id"] is None:
         raise NBTError("the root cannot be removed")
-    path = target["path"]
-    below = (F.col("doc") == doc) & ((F.col("path") == path) | F.startswith("path", F.lit(path + ".")) | F.startswith("path", F.lit(path + "[")))
-    return table.where(~below)
+    here, parent = F.col("doc") == doc, target["parent_id"]
+    holder = own.where(F.col("node_id") == parent).first()
+    out = table.where(~(here & F.col("node_id").isin(*_below(own, node))))
+    path = F.col("path")
+    if holder["tag_type"] == LIST:
+        for r in own.where((F.col("parent_id") == parent) & (F.col("ordinal") > target["ordinal"])).select("node_id", "ordinal", "path").collect():
+            new = f"{holder['path']}[{r['ordinal'] - 1}]"
+            path = F.when(F.col("node_id").isin(*_below(own, r["node_id"])), F.concat(F.lit(new), F.substring("path", len(r["path"]) + 1, 1 << 30))).otherwise(path)
+    return out.withColumns(
+        {
+            "child_count": F.when(here & (F.col("node_id") == parent), F.col("child_count") - 1).otherwise(F.col("child_count")),
+            "ordinal": F.when(here & (F.col("parent_id") == parent) & (F.col("ordinal") > target["ordinal"]), F.col("ordinal") - 1).otherwise(F.col("ordinal")),
+            "path": F.when(here, path).otherwise(F.col("path")),
+        }
+    )
+
+
+def sorted_compounds(t: Tag) -> Tag:
+    """The value with the keys of every compound in order without regard to case, as the tree view shows them."""
+    if t.kind == COMPOUND:
+        return Tag(COMPOUND, {k: sorted_compounds(t.value[k]) for k in sorted(t.value, key=lambda k: (k.lower(), k))})
+    return Tag(LIST, [sorted_compounds(v) for v in t.value], t.item) if t.kind == LIST else t
+
+
+def in_list() -> Column:
+    """Whether a node of the table is a list's item."""
+    return F.col("name").isNull() & F.col("parent_id").isNotNull()
+
+
+def display_name() -> Column:
+    """What the tree view calls a node: its place for a list's item, else its name."""
+    return F.when(in_list(), F.col("ordinal").cast("string")).otherwise(F.coalesce("name", F.lit("")))
+
+
+def name_editable() -> Column:
+    """Whether a node has a name of its own to change, which a list's item has not."""
+    return ~in_list()

@@ -63,12 +63,28 @@ def slots(data: bytes) -> Iterator[tuple[int, int, str, int | None, bytes | None
                 yield x, z, "ok", mode, data[at + 5 : at + 4 + size]
 
 
-def open_regions(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+EXTENSIONS = (".mca", ".mcr")
+
+
+def open_regions(spark: SparkSession, paths: Sequence[str] | str, most: int | None = None) -> DataFrame:
     """path, content of the region files under folders (not in folders below them) or of files named.
 
-    ``.mca`` and ``.mcr`` count, in either case; other files are left out.
+    ``.mca`` and ``.mcr`` count, in either case; others in a folder are left out,
+    a file named itself with another extension raises.  ``most`` takes so many
+    files only, the first by path.
     """
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][cC][aArR]").load(list([paths] if isinstance(paths, str) else paths)).select("path", "content")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = [paths] if isinstance(paths, str) else list(paths)
+    for path in own:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if not path.lower().endswith(EXTENSIONS) and fs.exists(at) and fs.getFileStatus(at).isFile():
+            raise ValueError(f"no region file: {path}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][cC][aArR]").load(own)
+    if most is not None:
+        first = [r["path"] for r in files.select("path").orderBy("path").limit(most).collect()]
+        files = files.where(F.col("path").isin(first))
+    return files.select("path", "content")
 
 
 def region_chunks(files: DataFrame, present_only: bool = False, wanted: Sequence[tuple[int, int]] | None = None) -> DataFrame:
@@ -198,11 +214,13 @@ def chunks(slots_of: DataFrame) -> DataFrame:
 VOXEL_SCHEMA = "region_file string, chunk_x bigint, chunk_z bigint, x bigint, y bigint, z bigint, block_id bigint, block_data bigint"
 
 
-def voxels(chunk_table: DataFrame, dense: bool = False, high_first: bool = False) -> DataFrame:
+def voxels(chunk_table: DataFrame, dense: bool = False, high_first: bool = False, ids: Sequence[int] | None = None) -> DataFrame:
     """One row for each cell of the chunks' sections; air (0, 0) is left out unless ``dense``.
 
     x and z are local to the chunk.  Sections that are missing give no rows.
+    With ``ids`` only cells of those blocks leave the section's array.
     """
+    wanted = None if ids is None else np.isin(np.arange(256), list(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +228,9 @@ def voxels(chunk_table: DataFrame, dense: bool = False, high_first: bool = False
                 for s in sections or ():
                     ids = np.frombuffer(s["blocks"], np.uint8).astype(np.int64)
                     low = unpack_nibbles(np.frombuffer(s["data"], np.uint8), high_first).astype(np.int64)
-                    i = np.arange(4096) if dense else np.flatnonzero(ids | low)
+                    i = np.arange(4096) if dense else np.flatnonzero(ids | low) if wanted is None else np.flatnonzero(wanted[ids])
+                    if not len(i):
+                        continue
                     n = len(i)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([file] * n, pa.string()), *[pa.array(np.asarray(v, np.int64)) for v in (np.full(n, cx), np.full(n, cz), i & 15, (i >> 8) + 16 * s["y"], i >> 4 & 15, ids[i], low[i])]],
@@ -261,7 +281,7 @@ def find_blocks(chunk_table: DataFrame, ids: Sequence[int]) -> DataFrame:
 
     Sections without such a byte give no rows, so the join sees hits only.
     """
-    hits = voxels(chunk_table).where(F.col("block_id").isin(*ids))
+    hits = voxels(chunk_table, ids=ids)
     own = tile_entities(chunk_table).drop("ordinal", "world_x", "world_z")
     out = hits.join(own, ["region_file", "chunk_x", "chunk_z", "x", "y", "z"], "left")
     return out.withColumns({"world_x": F.col("x") + 16 * F.col("chunk_x"), "world_z": F.col("z") + 16 * F.col("chunk_z")})

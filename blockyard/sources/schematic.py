@@ -203,6 +203,8 @@ class _FileWriter(DataSourceWriter):
     """Writes each row's bytes beside its name and renames all of them once every task has ended well."""
 
     def __init__(self, folder: str):
+        if "://" in folder and not folder.startswith("file://"):
+            raise ValueError(f"{folder}: files are written to a mounted folder only")
         self.folder, self.run = folder.removeprefix("file://"), uuid.uuid4().hex
 
     def write(self, rows):

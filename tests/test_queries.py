@@ -9,8 +9,10 @@ import duckdb
 import pytest
 
 from blockyard.functions import blocks, cells
-from blockyard.plans.oracle import ORACLE_SQL
-from blockyard.plans.queries import QUERIES
+from blockyard.plans import format_oracle, format_queries, oracle, queries
+
+QUERIES = queries.QUERIES | format_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | format_oracle.ORACLE_SQL
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,7 +20,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for t in ("lineitem", "part"):
+    for t in ("lineitem", "part", "nation"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
