@@ -106,16 +106,16 @@ def runs(member: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
-def _span_sum(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _span_sum(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
     """Polynomial of the bytes of each span; those of neighbours add up to that of both."""
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[buf] * _POW.upto(len(buf)), out=total[1:])
+    np.cumsum(values[buf] * _POW.upto(len(buf)), out=total[1:])
     return (total[ends] - total[starts]) * _INV.upto(len(buf) + 1)[starts]
 
 
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
-    return mix(_span_sum(buf, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(_P))
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hash of the bytes of each span; another table of ``values`` gives an independent one."""
+    return mix(_span_sum(buf, starts, ends, values) + (ends - starts).astype(np.uint64) * np.uint64(_P))
 
 
 #: Classes of ``tokens`` for words: runs without white space.

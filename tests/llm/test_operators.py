@@ -266,10 +266,39 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_splitter_equals_the_pattern():
+    assert bpe.KNOWN == public_tokenizers.PATTERN
+    import regex
+
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", "a", "B", "é", "e\u0301", "1", "²", "'", "'s", "'S", "'re", "'r", "'ll", "'l", "'ve", "'d", "!", "-", "日本", "\U0001f600", "\r\n", "word", "\0", "٣", "x'tis", "don't"]
+    texts = ["", "'", "'s", " 's", "\n's", "'s's", "x 'll", "  a", " \na", "a  ", "''s", "'re'"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    raw = [t.encode() for t in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    starts, ends = bpe.Splitter()(np.frombuffer(b"".join(raw), np.uint8), off)
+    want = [m.encode() for t in texts for m in regex.findall(bpe.KNOWN, t)]
+    whole = b"".join(raw)
+    assert [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())] == want
+
+
+def test_bpe_of_long_texts_and_other_patterns(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([" ", "  ", "word ", "é", "'s ", "\n", "12", "!"]) for _ in range(4000)), "x" * 3000 + " y" * 700, "ab cd"]
+    for pattern in (public_tokenizers.PATTERN, r"\S+|\s+"):
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+        encoder = bpe.Encoder(ranks, pattern)
+        for piece in (1 << 20, 500, 64):
+            monkeypatch.setattr(bpe, "PIECE", piece)
+            ids, ends = bpe.TextEncoder(encoder)(bpe.pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [own.encode_ordinary(t) for t in texts]
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     keys = [str(i).encode() for i in range(3000)]
     h = bpe.PerfectHash(keys)
-    assert sorted(h.slots) == list(range(3000)) and [h.get(k) for k in keys] == list(range(3000))
+    assert sorted(h.slots.tolist()) == list(range(3000)) and [h.get(k) for k in keys] == list(range(3000))
     assert all(h.get(f"x{i}".encode()) == -1 for i in range(3000)) and bpe.PerfectHash([]).get(b"a") == -1
 
 
