@@ -2,8 +2,8 @@
 
 Lines that begin with ``>`` marks are quotes; the number of marks is the level.
 Runs of lines of one level are passages.  Normalised passages are hashed and
-joined to the messages of the conversation that wrote them first, which gives
-each message the one it replies to; messages are returned without their quotes
+joined to the message of the conversation that wrote them last before, which
+gives each message the one it replies to; messages are returned without their quotes
 and with the keys that put every message after the one it answers.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sized, small_batches, tidy
+from .common import materialize, scratched, sized, small_batches, tidy
 
 MARK = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.DOTALL)
 
@@ -81,6 +81,29 @@ def _follow(links: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def _latest(origin: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (_c, _h, _t) with _from: the last turn before of ``origin`` (_c, _h, _from); without one left out.
+
+    Both are dealt to even parts in order of passage and turn, so a common
+    passage is no task's alone, and each part begins with what those before end with.
+    """
+    spark = asked.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    said = origin.select("_c", "_h", F.col("_from").alias("_t"), F.lit(1).alias("_said"))
+    every = asked.select("_c", "_h", "_t", F.lit(0).alias("_said")).unionByName(said)
+    dealt = materialize(every.repartitionByRange(n, "_c", "_h", "_t").withColumn("_k", F.spark_partition_id()), "quote-dealt")
+    row = F.struct("_c", "_h", "_t")
+    last = materialize(dealt.where("_said = 1").groupBy("_k").agg(F.max(row).alias("_last")), "quote-last")  # one row a part
+    parts = spark.range(n).select(F.col("id").cast("int").alias("_k"))
+    before = parts.join(F.broadcast(last.withColumnRenamed("_k", "_b")), F.col("_b") < F.col("_k")).groupBy("_k").agg(F.max("_last").alias("_last"))
+    before = sized(materialize(before, "quote-before"))
+    # what a message says itself comes after what it asks for
+    here = F.last(F.when(F.col("_said") == 1, row), ignorenulls=True).over(Window.partitionBy("_k").orderBy("_c", "_h", "_t", "_said").rowsBetween(Window.unboundedPreceding, -1))
+    found = dealt.withColumn("_here", here).where("_said = 0").join(before, "_k", "left").withColumn("_own", F.coalesce("_here", "_last"))
+    same = F.col("_own._c").eqNullSafe(F.col("_c")) & (F.col("_own._h") == F.col("_h")) & (F.col("_own._t") < F.col("_t"))
+    return found.where(same).select("_c", "_h", "_t", F.col("_own._t").alias("_from"))
+
+
 def _next_answer(tree: DataFrame) -> DataFrame:
     """``tree`` (_c, _t, _p) with _s: the next answer to the same message, by turn; even parts, also of one message's answers."""
     spark = tree.sparkSession
@@ -115,11 +138,12 @@ def _reply_order(tree: DataFrame) -> DataFrame:
     return _follow(chain, "quote-order").select("_c", "_t", F.col("_d").alias("reply_order"))
 
 
+@scratched
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with text without quotes, n_quotes, n_linked, parent_turn, root_turn, depth, reply_order.
 
-    A quoted passage belongs to the first message of the conversation that has it
-    as its text, a paragraph or a line of it, if that has an earlier turn; a
+    A quoted passage belongs to the latest message of an earlier turn in the
+    conversation that has it as its text, a paragraph or a line of it; a
     passage found nowhere as a whole is looked up by its lines.  A message
     replies to the latest message that it quotes at level 1, else to that quoted
     at the lowest level, else to the turn before (turn - 1), else to none.
@@ -164,13 +188,12 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: s
     parsed = materialize(messages.select(*[F.col(f"`{n}`").alias(x) for n, x in zip(own_names, names)], F.col(text).alias("_said")).mapInArrow(tidy(run), schema), "quote-parsed")
     c, t = F.col(conv_at).alias("_c"), F.col(turn_at).alias("_t")
     real = parsed.where(F.col(conv_at).isNotNull() & F.col(turn_at).isNotNull())
-    # One row for each passage of a conversation, so a common one meets each quote of it once.
-    origin = real.select(c, t, F.explode("_keys").alias("_h")).groupBy("_c", "_h").agg(F.min("_t").alias("_from"))
     asked = real.select(c, t, F.explode("_quotes").alias("q")).select("_c", "_t", "q.level", "q.number", "q.part", F.col("q.hash").alias("_h"))
     asked = materialize(asked, "quote-asked")
     wanted = materialize(asked.select("_c", "_h").distinct(), "quote-wanted")
-    origin = materialize(origin.join(sized(wanted), ["_c", "_h"], "left_semi"), "quote-origin")
-    found = asked.join(sized(origin), ["_c", "_h"]).where("_from < _t")
+    origin = real.select(c, F.col(turn_at).alias("_from"), F.explode("_keys").alias("_h")).distinct().join(sized(wanted), ["_c", "_h"], "left_semi")
+    found = materialize(_latest(origin, asked.select("_c", "_h", "_t").distinct()), "quote-found")
+    found = asked.join(sized(found), ["_c", "_h", "_t"])
     # of a passage the whole counts before its lines, and of lines the latest message
     best = found.groupBy("_c", "_t", "level", "number").agg(F.max(F.struct(-F.col("part"), "_from"))["_from"].alias("_from"))
     best = best.groupBy("_c", "_t").agg(F.max(F.struct(-F.col("level"), "_from"))["_from"].alias("_parent"), F.count("*").cast("int").alias("n_linked"))

@@ -70,5 +70,65 @@ def test_reply_order_of_branching_threads(spark):
     assert {k: r["reply_order"] for k, r in got.items()} == want
 
 
+def brute(rows):
+    """parent, root, depth of each message by reading every earlier one of its conversation."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((t, quotes.parse(x)) for cc, t, _, x in rows if cc == c)
+        parent = {}
+        for t, (_, quoted) in own:
+            found = []
+            for level, passage in quoted:
+                before = [(u, set(quotes.passages(o))) for u, (o, _) in own if u < t]
+                whole = [u for u, keys in before if quotes.key(passage) in keys]
+                lines = [max((u for u, keys in before if quotes.key(line) in keys), default=None) for line in passage.split("\n")] if "\n" in passage else []
+                lines = [u for u in lines if u is not None]
+                if whole and quotes.key(passage) is not None:
+                    found.append((-level, max(whole)))
+                elif lines:
+                    found.append((-level, max(lines)))
+            turns = [u for u, _ in own]
+            parent[t] = max(found)[1] if found else t - 1 if t - 1 in turns else None
+        for t in parent:
+            up, depth = t, 0
+            while parent[up] is not None:
+                up, depth = parent[up], depth + 1
+            out[c, t] = (parent[t], up, depth)
+    return out
+
+
+def test_links_match_brute_force(spark):
+    rng = random.Random(9)
+    common = ["ok", "thanks", "Yes.", "what do you mean?"]
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(60 if c else 400):
+            if rng.random() < 0.05:
+                continue
+            own = [rng.choice(common) if rng.random() < 0.4 else f"line {c} {t} {k}" for k in range(rng.randint(1, 3))]
+            quoted = []
+            for _ in range(rng.randint(0, 2)):
+                if said:
+                    lines = rng.choice(said)
+                    lines = lines if rng.random() < 0.5 else [*lines, "never said"]
+                    quoted += ["> " * rng.randint(1, 2) + x for x in lines] + [""]
+            rows.append((c, t, "a", "\n".join([*quoted, *own])))
+            said.append(own)
+    rng.shuffle(rows)
+    want = brute(rows)
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(4 * parts))
+        got = run(spark, rows)
+        assert {k: (r["parent_turn"], r["root_turn"], r["depth"]) for k, r in got.items()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_common_line_belongs_to_its_latest_writer(spark):
+    rows = [(1, 0, "a", "question"), (1, 1, "b", "ok"), (1, 4, "a", "other"), (1, 5, "b", "ok"), (1, 7, "a", "> ok\nthen go"), (1, 8, "b", "ok"), (1, 9, "a", "> ok\nok")]
+    got = run(spark, rows)
+    assert got[1, 7]["parent_turn"] == 5 and got[1, 9]["parent_turn"] == 8
+
+
 def test_empty_table(spark):
     assert quotes.link(spark.createDataFrame([], SCHEMA)).collect() == []
