@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement: length, prefix hash, full hash.
 
-Only compact keys are shuffled.  The first scan writes (length, prefix hash)
-for each row; keys that occur once end there.  The second scan hashes the full
-text of the rows whose key survived.  All of it is DataFrame code.
+Only compact keys are shuffled.  One scan counts (length, prefix hash) keys;
+lengths that occur once are dropped first, then keys that do.  The second scan
+hashes the full text of the rows whose key survived.  All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, materialize, sized
+from .common import SPACE, fresh, materialize, scratched, sized
 
 PREFIX = 128
 
@@ -33,12 +33,13 @@ def surviving_keys(docs: DataFrame, text: str = "text") -> DataFrame:
     """Keys (hash of length and prefix) that at least two rows share."""
     keys = _keyed(docs.select(text), text).groupBy("_len", "_key").count()
     keys = materialize(keys, "exact-keys")
-    # A length that one row has alone ends here, before its prefix is looked at.
+    # Lengths first: one that a single row has needs no prefix.
     lengths = keys.groupBy("_len").agg(F.sum("count").alias("n")).where("n > 1").select("_len")
     alive = keys.join(lengths, "_len", "left_semi").where(F.col("count") > 1)
     return materialize(alive.select("_key"), "exact-alive")
 
 
+@scratched
 def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", hash_all: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, sha256.
 
@@ -74,6 +75,7 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", hash_a
     )
 
 
+@scratched
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without copies: of equal normalised texts the smallest id stays.
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, materialize
+from .common import ascii_lower, fresh, materialize, scratched
 
 #: Rule sets up to this size travel as a literal index inside the plan.
 INLINE_RULES = 2000
@@ -63,6 +63,7 @@ def token_counts(urls: DataFrame, key: str, tokens: Sequence[str]) -> dict[str,
     return {r["t"]: r["count"] for r in found.collect()}
 
 
+@scratched
 def judge(
     urls: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow", inline: int = INLINE_RULES
 ) -> DataFrame:
