@@ -71,6 +71,29 @@ def test_node_table_round_trip(spark):
     assert lines == ["compound : (1 entries)", "\tint x: 1"]
 
 
+def test_removing_nodes_goes_by_the_tree_and_not_by_paths(spark):
+    raw = nbt.dumps("", {"a": {"k": 1}, "a.b": 2, "a[0]": 3, "l": [{"x": 1}, {"x": 2}, {"x": 3}]})
+    table = nbt.nodes(spark.createDataFrame([("d", raw), ("e", raw)], "path string, content binary"))
+    number = {r["path"]: r["node_id"] for r in table.where("doc = 'd'").collect() if r["name"] == "a" or r["path"] == "root.l[0]"}
+    left = nbt.remove_node(nbt.remove_node(table, "d", number["root.a"]), "d", number["root.l[0]"])
+    rows = {(r["doc"], r["path"]): r for r in left.collect()}
+    assert sorted(p for d, p in rows if d == "d") == ["root", "root.a.b", "root.a[0]", "root.l", "root.l[0]", "root.l[0].x", "root.l[1]", "root.l[1].x"]
+    assert rows["d", "root"]["child_count"] == 3 and rows["d", "root.l"]["child_count"] == 2 and rows["e", "root.l"]["child_count"] == 3
+    got = {r["doc"]: nbt.plain(nbt.loads(bytes(r["content"]))[1]) for r in nbt.encoded(left).collect()}
+    assert got == {"d": {"a.b": 2, "a[0]": 3, "l": [{"x": 2}, {"x": 3}]}, "e": nbt.plain(nbt.loads(raw)[1])}
+    with pytest.raises(nbt.NBTError):
+        nbt.remove_node(table, "d", 0)
+
+
+def test_own_codec_and_order_of_keys():
+    codec = nbt.Codec(lambda b: b[::-1], lambda b: b[::-1])
+    raw = nbt.dumps("r", {"b": 1, "A": 2, "c": {"z": 1, "Y": 2}}, compression=codec)
+    name, root = nbt.loads(raw, compression=codec)
+    assert raw == nbt.dumps("r", {"b": 1, "A": 2, "c": {"z": 1, "Y": 2}}, compression="none")[::-1]
+    own = nbt.sorted_compounds(root).value
+    assert name == "r" and list(own) == ["A", "b", "c"] and list(own["c"].value) == ["Y", "z"]
+
+
 def chunk_bytes(x, z, cells, populated=1, **more):
     sections = {}
     for (cx, y, cz), (b, d) in cells.items():
@@ -144,6 +167,22 @@ def test_region_voxels_finds_and_entities(regions):
     assert region.region_chunks(regions.sparkSession.createDataFrame([], "path string, content binary")).count() == 0
 
 
+def test_region_files_are_told_by_their_extension(regions, spark, tmp_path):
+    (tmp_path / "r.0.0.txt").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        region.open_regions(spark, str(tmp_path / "r.0.0.txt"))
+    ids, low = np.zeros((16, 16, 128), np.uint8), np.zeros((16, 16, 128), np.uint8)  # x, z, y
+    ids[3, 5, 100], low[3, 5, 100] = 54, 7
+    chunk = nbt.dumps("", {"Level": {"xPos": 1, "zPos": 2, "TerrainPopulated": nbt.Tag(nbt.BYTE, 1), "Blocks": ids.tobytes(), "Data": region.pack_nibbles(low).tobytes()}}, compression="none")
+    (tmp_path / "r.0.0.mcr").write_bytes(b"".join(region_bytes({(1, 2): (2, chunk)})))
+    (tmp_path / "r.1.0.mca").write_bytes(b"".join(region_bytes({(0, 0): (1, chunk_bytes(32, 0, {(0, 0, 0): (1, 0)}))})))
+    files = region.open_regions(spark, [str(tmp_path / "r.0.0.mcr"), str(tmp_path / "r.1.0.mca")])
+    got = region.voxels(region.chunks(region.region_chunks(files))).select("chunk_x", "chunk_z", "x", "y", "z", "block_id", "block_data").collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 3, 100, 5, 54, 7), (32, 0, 0, 0, 0, 1, 0)]
+    (one,) = region.open_regions(spark, str(tmp_path), most=1).select("path").collect()
+    assert one["path"].endswith("r.0.0.mcr")
+
+
 def test_legacy_chunk_matches_sections():
     rng = np.random.default_rng(3)
     ids, low = rng.integers(0, 256, (16, 16, 128), np.uint8), rng.integers(0, 16, (16, 16, 128), np.uint8)  # x, z, y
@@ -186,6 +225,45 @@ def test_circuit_round_trip():
             schematic.read_circuit(bad)
 
 
+def test_known_bytes_of_a_circuit_file():
+    # height 1, width 2, length 1: a solid block and a lit wire of strength 9
+    cells = {"x": np.array([0, 1]), "y": np.array([0, 0]), "z": np.array([0, 0]), "block_id": np.array([4, 55]), "block_data": np.array([0, 9])}
+    raw = b"RedS\x01" + bytes.fromhex("0001 0002 0001") + bytes([schematic.FILLED, schematic.WIRE]) + bytes([0, 9])
+    assert schematic.write_circuit(cells) == raw
+    got = schematic.read_circuit(raw)
+    assert [got[c].tolist() for c in ("x", "y", "z", "block_id", "block_data")] == [[0, 1], [0, 0], [1, 1], [4, 55], [0, 9]]
+
+
+def test_known_bytes_of_a_schematic():
+    def entry(kind, name, body):
+        return bytes([kind]) + struct.pack(">H", len(name)) + name + body
+
+    # order of cells: y, then z, then x
+    ids, low = bytes([1, 2, 3, 4]), bytes([0, 1, 2, 3])
+    body = entry(2, b"Width", struct.pack(">h", 1)) + entry(2, b"Length", struct.pack(">h", 2)) + entry(2, b"Height", struct.pack(">h", 2)) + entry(8, b"Materials", struct.pack(">H", 5) + b"Alpha")
+    body += entry(7, b"Blocks", struct.pack(">i", 4) + ids) + entry(7, b"Data", struct.pack(">i", 4) + low) + entry(9, b"Entities", b"\x0a" + struct.pack(">i", 0)) + entry(9, b"TileEntities", b"\x0a" + struct.pack(">i", 0))
+    raw = entry(10, b"Schematic", body + b"\0")
+    got, _, ground = schematic.read_schematic(gzip.compress(raw))
+    cells = dict(zip(zip(*[got[c].tolist() for c in "xyz"]), zip(got["block_id"].tolist(), got["block_data"].tolist())))
+    assert cells == {(0, 0, 0): (1, 0), (0, 0, 1): (2, 1), (0, 1, 0): (3, 2), (0, 1, 1): (4, 3)} and ground is None
+    assert nbt.inflate(schematic.write_schematic(got)) == raw
+
+
+def test_big_document_by_the_bytes():
+    # every kind of tag, laid out by hand
+    text = "HELLO WORLD THIS IS A TEST STRING ÅÄÖ!".encode()
+    name = lambda n: struct.pack(">H", len(n)) + n
+    body = b"\x02" + name(b"shortTest") + struct.pack(">h", 32767) + b"\x04" + name(b"longTest") + struct.pack(">q", 2**63 - 1) + b"\x05" + name(b"floatTest") + struct.pack(">f", 0.49823147)
+    body += b"\x08" + name(b"stringTest") + name(text) + b"\x03" + name(b"intTest") + struct.pack(">i", 2**31 - 1) + b"\x09" + name(b"listTest (long)") + b"\x04" + struct.pack(">i", 5) + struct.pack(">5q", 11, 12, 13, 14, 15)
+    body += b"\x01" + name(b"byteTest") + b"\x7f" + b"\x06" + name(b"doubleTest") + struct.pack(">d", 0.4931287132182315) + b"\x0b" + name(b"ints") + struct.pack(">i2i", 2, 1, -2)
+    raw = b"\x0a" + name(b"Level") + body + b"\0"
+    root_name, root = nbt.loads(gzip.compress(raw))
+    d = nbt.plain(root)
+    assert (root_name, d["shortTest"], d["longTest"], d["intTest"], d["byteTest"], d["listTest (long)"], d["ints"]) == ("Level", 32767, 2**63 - 1, 2**31 - 1, 127, [11, 12, 13, 14, 15], [1, -2])
+    assert d["stringTest"].encode() == text and abs(d["floatTest"] - 0.49823147) < 1e-7 and d["doubleTest"] == 0.4931287132182315
+    assert nbt.dumps(root_name, root, compression="none") == raw
+
+
 def test_files_are_written_whole(spark, tmp_path):
     rows = spark.createDataFrame([(f"f{i}", bytes([i]) * i) for i in range(5)], "name string, content binary")
     schematic.save(rows, str(tmp_path / "out"))
