@@ -70,6 +70,34 @@ FROM slot s LEFT JOIN (SELECT chunk_x, chunk_z, count(*) AS n, count(*) FILTER (
     ),
     "p5_find_blocks": _sql("SELECT x + 16 * chunk_x AS world_x, y, z + 16 * chunk_z AS world_z, block_id, block_data, id, entity_id FROM tiles WHERE block_id <> 137", _TILES, _TILE_ROWS),
     "p21_command_blocks": _sql("SELECT x + 16 * chunk_x AS x, y, z + 16 * chunk_z AS z, custom_name, command FROM tiles WHERE block_id = 137", _TILES, _TILE_ROWS),
+    "k12_chunk_dumps": _sql(
+        """SELECT region_file, line, count(*) AS n, CAST(min(number) AS BIGINT) AS first FROM (
+  SELECT region_file, chunk_x, chunk_z, line, row_number() OVER (PARTITION BY region_file, chunk_x, chunk_z ORDER BY part, i, k) - 1 AS number FROM printed)
+GROUP BY 1, 2""",
+        _SLOTS,
+        _TILES,
+        _TILE_ROWS,
+        """c AS (SELECT s.*, coalesce(n, 0) AS n FROM slot s LEFT JOIN (SELECT chunk_x, chunk_z, count(*) AS n FROM v GROUP BY 1, 2) USING (chunk_x, chunk_z) WHERE present)""",
+        """e AS (SELECT *, row_number() OVER (PARTITION BY chunk_x, chunk_z ORDER BY x, y, z) - 1 AS i FROM v WHERE block_id IN (46, 47, 66) AND NOT (chunk_x = 3 AND chunk_z = 3))""",
+        """t AS (SELECT *, row_number() OVER (PARTITION BY chunk_x, chunk_z ORDER BY block_id = 137, x, y, z) - 1 AS i FROM tiles)""",
+        """printed AS (
+  SELECT region_file, chunk_x, chunk_z, 0 AS part, 0 AS i, 0 AS k, '  Coordinates: ' || chunk_x || ', ' || chunk_z || ' (' || 16 * chunk_x || ', ' || 16 * chunk_z || ')' AS line FROM c
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 1, 0, 0, '  LastUpdate: ' || n FROM c UNION ALL SELECT region_file, chunk_x, chunk_z, 2, 0, 0, '  InhabitedTime: ' || (10 * chunk_x + chunk_z) FROM c
+  UNION ALL SELECT any_value(region_file), chunk_x, chunk_z, 3, 0, 0, '  Entities: ' || count(*) FROM e JOIN c USING (chunk_x, chunk_z) GROUP BY chunk_x, chunk_z
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 0, '    ' || i || ':' FROM e JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 1, '      ID: ' || CASE block_id WHEN 66 THEN 'Item' WHEN 46 THEN 'EntityHorse' ELSE 'Zombie' END FROM e JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 2, '      Coordinates: ' || x || ', ' || y || ', ' || z FROM e JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 3, '      ' || (y % 64) || ' x ' || (256 + block_data) || ':' || z FROM e JOIN c USING (chunk_x, chunk_z) WHERE block_id = 66
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 4, '      Chested: true' FROM e JOIN c USING (chunk_x, chunk_z) WHERE block_id = 46 AND block_data % 2 = 1
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 4, i, 5, '      Saddle: 329:' || block_data FROM e JOIN c USING (chunk_x, chunk_z) WHERE block_id = 46
+  UNION ALL SELECT any_value(region_file), chunk_x, chunk_z, 5, 0, 0, '  TileEntities: ' || count(*) FROM t JOIN c USING (chunk_x, chunk_z) GROUP BY chunk_x, chunk_z
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 6, i, 0, '    ' || i || ':' FROM t JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 6, i, 1, '      ID: ' || id FROM t JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 6, i, 2, '      Coordinates: ' || (x + 16 * chunk_x) || ', ' || y || ', ' || (z + 16 * chunk_z) FROM t JOIN c USING (chunk_x, chunk_z)
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 7, 0, 0, '  Terrain unpopulated' FROM c WHERE NOT populated
+  UNION ALL SELECT region_file, chunk_x, chunk_z, 8, 0, 0, '  Unknown keys: Alpha, zeta' FROM c WHERE chunk_x = chunk_z
+  UNION ALL SELECT 'r.' || f || '.mca', x, -1, 0, 0, 0, '  ERROR PARSING CHUNK: ' || s FROM range(2) r(f), (VALUES (10, 'unknown compression'), (11, 'out of range'), (12, 'truncated')) b(x, s))""",
+    ),
     "a9_file_counters": _sql("SELECT 2::BIGINT AS regions, count(*) FILTER (WHERE populated) AS chunks, count(*) FILTER (WHERE present AND NOT populated) AS rejected, (2 * 1024 - 6 - count(*) FILTER (WHERE present))::BIGINT AS absent FROM slot", _SLOTS),
     "s19_inflated_sizes": "SELECT h AS packing, count(*) AS n, CAST(sum(1 + 2 + 4 + 1 + 2 + 6 + 2 + strlen(p_name) + 1) AS BIGINT) AS bytes FROM part, (VALUES ('none'), ('gzip'), ('zlib'), ('deflate'), ('own')) w(h) GROUP BY 1",
     "k12_dump_lines": """SELECT CAST(p_partkey AS VARCHAR) AS doc, CAST(i AS BIGINT) AS node_id, CASE i WHEN 0 THEN 'compound part: (4 entries)' WHEN 1 THEN chr(9) || 'list a.b: (2 entries)' WHEN 2 THEN chr(9) || chr(9) || 'int: ' || p_size

@@ -76,6 +76,11 @@ def p21_command_blocks(spark, sf_dir):
     return region.command_blocks(_chunks(spark, sf_dir)).drop("region_file")
 
 
+def k12_chunk_dumps(spark, sf_dir):
+    """What a dump prints of each chunk, with its entities and tile entities."""
+    return region.dump_lines(_chunks(spark, sf_dir)).groupBy("region_file", "line").agg(F.count("*").alias("n"), F.min("number").cast("bigint").alias("first"))
+
+
 def a9_file_counters(spark, sf_dir):
     """The counters of the statistics from the files' slots."""
     slots = _slots(spark, sf_dir).where("status in ('ok', 'absent')")
@@ -342,7 +347,7 @@ def k3_written_tables(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        s3_slots, s6_chunk_status, s9_chunk_headers, s10_section_cells, s7_legacy_cells, s12_tile_entities, p13_entities, p5_find_blocks, p21_command_blocks, a9_file_counters, s19_inflated_sizes,
+        s3_slots, s6_chunk_status, s9_chunk_headers, s10_section_cells, s7_legacy_cells, s12_tile_entities, p13_entities, p5_find_blocks, p21_command_blocks, k12_chunk_dumps, a9_file_counters, s19_inflated_sizes,
         k12_dump_lines, n8_display_names, n6_coerced_trees, n9_validity, n14_edited_tree, n2_mapped_values, p7_extent_predicates, g12_corners, g11_steps, x8_directions, x9_rails, x16_cell_numbers,
         x11_solid_and_wire, v4_set_tile_entities, v10_bulk_write, v10_bulk_change, v7_parts, v17_clamped_layers, v21_scribble, v16_cells, v18_centred, j5_legacy_copy, g1_load_over, k15_selection,
         t5_sign_texts, t6_mob_names, k3_written_tables,

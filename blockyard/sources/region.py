@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +276,56 @@ def chunk_headers(chunk_table: DataFrame) -> DataFrame:
     )
 
 
+def short_number(c: Column) -> Column:
+    """A number with six significant digits at most, as dumps have it: plain from 0.0001 to 999,999, else with an exponent."""
+    rounded = F.format_string("%.5e", c.cast("double"))
+    value = rounded.cast("double")
+    plain = F.regexp_replace(F.format_string("%.9f", value), r"\.?0+$", "")
+    small = (value != 0) & (F.abs(value) < 1e-4)
+    return F.when((F.abs(value) >= 1e6) | small, F.regexp_replace(rounded, r"\.?0+e", "e")).otherwise(plain)
+
+
+def _thing(c: Column) -> Column:
+    return F.concat(F.coalesce(c["id"], F.lit("(null)")), F.lit(":"), c["damage"].cast("string"))
+
+
+def _numbered_lines(things: Column, lines: Callable[[Column], list[Column]]) -> Column:
+    """An array of lines: each thing's place, then its lines; those that are null are left out."""
+    one = F.transform(things, lambda e, i: F.concat(F.array(F.concat(F.lit("    "), i.cast("string"), F.lit(":"))), F.filter(F.array(*lines(e)), F.isnotnull)))
+    return F.flatten(one)
+
+
+def dump_lines(chunk_table: DataFrame) -> DataFrame:
+    """region_file, local_x, local_z, number, line: what a dump prints of each chunk, or why it cannot be read."""
+    indent = lambda *parts: F.concat(F.lit("      "), *parts)
+    text = lambda c: c.cast("string")
+    at = lambda x, y, z: indent(F.lit("Coordinates: "), short_number(x), F.lit(", "), short_number(y), F.lit(", "), short_number(z))
+
+    def of_entity(e: Column) -> list[Column]:
+        item, horse, pos = e["id"] == "Item", e["id"] == "EntityHorse", e["pos"]
+        stack = indent(text(F.coalesce(e["item"]["count"], F.lit(0))), F.lit(" x "), F.coalesce(_thing(e["item"]), F.lit("(null):0")))
+        return [
+            indent(F.lit("ID: "), F.coalesce(e["id"], F.lit("(null)"))), F.when(pos.isNotNull(), at(F.try_element_at(pos, F.lit(1)), F.try_element_at(pos, F.lit(2)), F.try_element_at(pos, F.lit(3)))), F.when(item, stack),
+            F.when(horse & e["chested"], indent(F.lit("Chested: true"))), F.when(horse & e["saddle"].isNotNull(), indent(F.lit("Saddle: "), _thing(e["saddle"]))), F.when(horse & e["armor"].isNotNull(), indent(F.lit("Armor: "), _thing(e["armor"]))),
+        ]
+
+    def of_tile(e: Column) -> list[Column]:
+        return [indent(F.lit("ID: "), F.coalesce(e["id"], F.lit("(null)"))), at(e["x"], e["y"], e["z"])]
+
+    x, z = F.col("x_pos"), F.col("z_pos")
+    unknown = unknown_keys(F.col("keys"))
+    some = lambda c, word, lines: F.when(F.size(c) > 0, F.concat(F.array(F.concat(F.lit(f"  {word}: "), text(F.size(c)))), _numbered_lines(F.col(c), lines))).otherwise(F.array().cast("array<string>"))
+    head = F.array(
+        F.concat(F.lit("  Coordinates: "), text(x), F.lit(", "), text(z), F.lit(" ("), text(x * 16), F.lit(", "), text(z * 16), F.lit(")")),
+        F.concat(F.lit("  LastUpdate: "), text(F.col("last_update"))), F.concat(F.lit("  InhabitedTime: "), text(F.col("inhabited_time"))),
+    )
+    word = F.when(F.contains(unknown, F.lit(", ")), "  Unknown keys: ").otherwise("  Unknown key: ")
+    tail = F.filter(F.array(F.when(~F.col("populated"), "  Terrain unpopulated"), F.concat(word, unknown)), F.isnotnull)
+    good = F.concat(head, some("entities", "Entities", of_entity), some("tile_entities", "TileEntities", of_tile), tail)
+    lines = F.when(F.col("status") == "ok", good).otherwise(F.array(F.concat(F.lit("  ERROR PARSING CHUNK: "), F.col("status"))))
+    return chunk_table.select("region_file", "local_x", "local_z", F.posexplode(lines).alias("number", "line"))
+
+
 def find_blocks(chunk_table: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Cells of the given ids with their world position and tile entity, if any.
 

@@ -151,8 +151,18 @@ def test_region_slots_and_chunks(regions):
     assert row[0] == 2
 
 
+def test_short_numbers(spark):
+    want = {0.0: "0", 1.0: "1", -12.5: "-12.5", 100.0: "100", 123456.7: "123457", 1234567.0: "1.23457e+06", 0.0001: "0.0001", 0.00001234: "1.234e-05", 999999.5: "1e+06", 1 / 3: "0.333333", -2e10: "-2e+10"}
+    assert all("%g" % k == v for k, v in want.items())
+    got = spark.createDataFrame([(k,) for k in want], "c double").select("c", region.short_number(region.F.col("c")).alias("t")).collect()
+    assert {r["c"]: r["t"] for r in got} == want
+
+
 def test_region_voxels_finds_and_entities(regions):
     chunks = region.chunks(regions)
+    lines = [r["line"] for r in region.dump_lines(chunks).where("local_x = 3").orderBy("number").collect()]
+    assert lines[:2] == ["  Coordinates: 3, -1 (48, -16)", "  LastUpdate: 9"] and lines[-1] == "  Unknown keys: Alpha, zeta"
+    assert lines[3:12] == ["  Entities: 2", "    0:", "      ID: Item", "      Coordinates: 1, 2, 3", "      2 x minecraft:egg:5", "    1:", "      ID: EntityHorse", "      Chested: true", "      Saddle: 329:0"]
     got = {(r["x"], r["y"], r["z"]): (r["block_id"], r["block_data"]) for r in region.voxels(chunks).where("chunk_x = 3").collect()}
     assert got == CELLS
     (c,) = region.command_blocks(chunks).collect()
