@@ -48,7 +48,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs a reread, not a
@@ -58,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/blockyard-{name}-{uuid.uuid4().hex}"
     if _open:
         _open[-1].append(path)
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -107,7 +107,7 @@ def scratched(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number ``_row``, written once, so that each later reading finds the same rows under it."""
-    return materialize(df.select(F.monotonically_increasing_id().alias("_row"), "*"), name)
+    return materialize(df.select(F.monotonically_increasing_id().alias("_row"), "*"), name, "zstd")
 
 
 def table_bytes(df: DataFrame) -> int:
