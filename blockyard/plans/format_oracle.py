@@ -46,6 +46,10 @@ b AS (SELECT x, y, z, CASE WHEN x BETWEEN 7 AND 8 AND y BETWEEN 7 AND 8 AND z BE
   FROM range(15) i(x), range(5, 10) j(y), range(15) k(z) WHERE (x < 10 AND z < 10) OR (x >= 5 AND z >= 5))"""
 
 
+def _big(*columns: str) -> str:
+    return ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in columns)
+
+
 def _steps() -> str:
     ways = [("north", 0, 0, -1), ("south", 0, 0, 1), ("east", 1, 0, 0), ("west", -1, 0, 0), ("up", 0, 1, 0), ("down", 0, -1, 0)]
     return _values("s", "way, dx, dy, dz", ways)
@@ -108,7 +112,7 @@ GROUP BY 1, 2""",
     "n6_coerced_trees": """SELECT path, type, count(*) AS n, sum(v) AS total FROM (SELECT 'part' AS path, 'compound' AS type, CAST(NULL AS DOUBLE) AS v FROM part UNION ALL SELECT 'part.Size', 'long', p_size FROM part
 UNION ALL SELECT 'part.a.b', 'list', NULL FROM part UNION ALL SELECT 'part.a.b[0]', 'double', p_size FROM part UNION ALL SELECT 'part.a.b[1]', 'double', p_size + 1 FROM part) GROUP BY 1, 2""",
     "n9_validity": "SELECT CAST(p_size AS BIGINT) AS p_size, p_size % 3 = 2 AS valid, count(*) AS n FROM part GROUP BY 1, 2",
-    "n14_edited_tree": """SELECT path, type, ordinal, child_count, CASE path WHEN 'part.Size' THEN p_size WHEN 'part.a.b[0]' THEN p_size + 1 WHEN 'part.new.k' THEN 7 END::BIGINT AS long_val FROM part,
+    "n14_edited_tree": """SELECT path, type, CAST(ordinal AS BIGINT) AS ordinal, CAST(child_count AS BIGINT) AS child_count, CASE path WHEN 'part.Size' THEN p_size WHEN 'part.a.b[0]' THEN p_size + 1 WHEN 'part.new.k' THEN 7 END::BIGINT AS long_val FROM part,
   (VALUES ('part', 'compound', 0, 4), ('part.Size', 'int', 0, 0), ('part.a.b', 'list', 1, 1), ('part.a.b[0]', 'int', 0, 0), ('part.long text', 'string', 2, 0), ('part.new', 'compound', 3, 1), ('part.new.k', 'int', 0, 0)) w(path, type, ordinal, child_count) WHERE p_partkey = 1""",
     "n2_mapped_values": _sql("SELECT chunk_x, chunk_z, f AS entity_id, 2 * count(*) AS n FROM v WHERE block_id = 52 GROUP BY 1, 2, 3"),
     "p7_extent_predicates": _sql(
@@ -119,11 +123,11 @@ FROM (SELECT *, x0 <= 29 AND x1 >= 5 AND y0 <= 41 AND y1 >= 10 AND z0 <= 17 AND
     "g12_corners": _sql("SELECT chunk_x, chunk_z, part, x0 + 3 AS low_x, y0 - 2 AS low_y, z0 + part AS low_z, x1 + 3 AS high_x, y1 - 2 AS high_y, z1 + part AS high_z, x1 - x0 + 1 AS width, 456::BIGINT AS size_at FROM fifth", _BOXES),
     "g11_steps": _sql("SELECT way, x + dx AS x, y + dy AS y, z + dz AS z FROM g, s WHERE block_id = 50", _steps()),
     "x8_directions": "WITH " + _values("w", "way, opposite, north_south, east_west, up_down, clockwise, anticlockwise", _WAYS) + " SELECT * FROM w",
-    "x9_rails": "WITH " + _values("w", "shape, clockwise, anticlockwise, east_west, north_south", _RAILS) + " SELECT * FROM w",
+    "x9_rails": "WITH " + _values("w", "shape, clockwise, anticlockwise, east_west, north_south", _RAILS) + f" SELECT {_big('shape', 'clockwise', 'anticlockwise', 'east_west', 'north_south')} FROM w",
     "x16_cell_numbers": _sql(
         "SELECT block_id, block_data, block_id + 256 * block_data AS hash, format('{{ ID: {}, data: 0x{:X} }}', block_id, block_data) AS text, block_data < 8 AS same, true AS no_tile_entity FROM (SELECT DISTINCT block_id, block_data FROM v)"
     ),
-    "x11_solid_and_wire": f"WITH {_TYPES} SELECT block_id, name, is_solid = 1 AS is_solid, ground_weight, tile_entity FROM types",
+    "x11_solid_and_wire": f"WITH {_TYPES} SELECT {_big('block_id', 'ground_weight')}, name, is_solid = 1 AS is_solid, tile_entity FROM types",
     "v4_set_tile_entities": _sql("SELECT x, y, z, id FROM te WHERE y % 2 <> 0 OR x % 2 = 0", _TILES),
     "v10_bulk_write": _sql("SELECT g.* FROM g ANTI JOIN b USING (x, y, z) UNION ALL SELECT * FROM b", _BULK.format(last="true")),
     "v10_bulk_change": _sql(
@@ -137,7 +141,7 @@ FROM g WHERE {_CLIP} AND NOT (block_id = 0 AND block_data = 0) GROUP BY 1, 2, 3"
     ),
     "v17_clamped_layers": _sql("SELECT y, greatest(least(7 * y - 300, 148), -118) AS sparse, greatest(least(7 * y - 300, 255), 0) AS anvil, greatest(least(7 * y - 300, 127), 0) AS legacy FROM (SELECT DISTINCT y FROM g)"),
     "v21_scribble": 'SELECT true AS few, true AS many, true AS inside, true AS "distinct"',
-    "v16_cells": _sql("SELECT p.x, p.y, p.z, coalesce(block_id, CASE WHEN p.y < 20 THEN 1 ELSE 0 END) AS block_id, coalesce(block_data, 0) AS block_data FROM p LEFT JOIN g USING (x, y, z)", _values("p", "x, y, z", [(0, 0, 0), (3, 50, 7), (100, 10, 0), (100, 30, 0)])),
+    "v16_cells": _sql("SELECT CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, CAST(p.z AS BIGINT) AS z, coalesce(block_id, CASE WHEN p.y < 20 THEN 1 ELSE 0 END) AS block_id, coalesce(block_data, 0) AS block_data FROM p LEFT JOIN g USING (x, y, z)", _values("p", "x, y, z", [(0, 0, 0), (3, 50, 7), (100, 10, 0), (100, 30, 0)])),
     "v18_centred": _sql(
         "SELECT rest.* FROM rest ANTI JOIN up USING (x, y, z) UNION ALL SELECT * FROM up",
         f"rest AS (SELECT * FROM g WHERE NOT ({_CLIP}))",

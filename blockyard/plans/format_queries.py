@@ -31,7 +31,7 @@ def _chunks(spark: SparkSession, sf_dir: str, legacy: bool = False) -> DataFrame
 
 def s3_slots(spark, sf_dir):
     """Every slot of every file, what its header word says and whether its chunk can be read."""
-    return _slots(spark, sf_dir).select("region_file", "local_x", "local_z", "present", "status")
+    return _slots(spark, sf_dir).select("region_file", F.col("local_x").cast("bigint").alias("local_x"), F.col("local_z").cast("bigint").alias("local_z"), "present", "status")
 
 
 def s6_chunk_status(spark, sf_dir):
@@ -41,7 +41,8 @@ def s6_chunk_status(spark, sf_dir):
 
 def s9_chunk_headers(spark, sf_dir):
     """Coordinates, times, counts and unknown keys of each chunk."""
-    return region.chunk_headers(_chunks(spark, sf_dir)).where("status = 'ok'").drop("status", "local_x", "local_z")
+    heads = region.chunk_headers(_chunks(spark, sf_dir)).where("status = 'ok'").drop("status", "local_x", "local_z")
+    return heads.withColumns({c: F.col(c).cast("bigint") for c in ("n_entities", "n_tile_entities")})
 
 
 def s10_section_cells(spark, sf_dir):
