@@ -295,6 +295,56 @@ def test_bpe_of_long_texts_and_other_patterns(spark, monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [own.encode_ordinary(t) for t in texts]
 
 
+def test_long_runs_encode_like_tiktoken():
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=dict(ranks), special_tokens={})
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    for t in ("".join(rng.choices("abcde", k=70_000)), "x" * 66_000):
+        assert encoder.merge(t.encode()) == own.encode_ordinary(t)
+
+
+LONG_TEXT = 20 << 20
+
+
+def test_texts_of_twenty_megabytes_stay_within_memory():
+    """Peak memory of each operator's work on one text, beyond the text, its arrays of results and some margin."""
+    import tracemalloc
+
+    from blockyard.llm import repeats
+
+    rng = np.random.default_rng(0)
+    vocabulary = np.array([f"w{i}" for i in range(20_000)])
+    text = " ".join(rng.choice(vocabulary, LONG_TEXT // 6))[:LONG_TEXT]
+    ((_, _, buf, off),) = vectext.slices(bpe.pa.array([text]))
+    model, vectors = toxicity.NoisyOr(np.arange(5, dtype=np.uint64)), np.zeros((1 << quality.BITS, quality.DIMS), np.float32)
+    encoder = bpe.TextEncoder(bpe.Encoder(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN))
+    column = bpe.pa.array([text])
+
+    def segments():
+        for _, _, _, own, ends in vectext.pieces(column.cast("binary"), repeats.PIECE, repeats.LENGTH - 1):
+            repeats.segments(own, ends, repeats.LENGTH, repeats.CORE)
+
+    def grams():
+        for _, g in ctw.gram_pieces(buf, off):
+            np.unique(g)
+
+    work = {
+        "op1": lambda: quality.pool(*quality.tokens(buf, off), 1, vectors),
+        "op3": lambda: model.sentences(*toxicity.instances(buf, off)[:2]),
+        "op5": lambda: encoder(column),
+        "op6": grams,
+        "op7": segments,
+        "op9": lambda: near.signatures(vectext.shingles(*vectext.words(buf, off), 1, 5)),
+    }
+    for name, f in work.items():
+        tracemalloc.start()
+        f()
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 400 << 20, (name, peak >> 20)
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     keys = [str(i).encode() for i in range(3000)]
     h = bpe.PerfectHash(keys)
