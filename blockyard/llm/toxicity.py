@@ -28,9 +28,11 @@ from .common import materialize, scratched, sized, small_batches, tidy
 #: Labelled documents of either label that the model is fitted on at most, the least by a hash of the id.
 SAMPLE = 8_000
 #: A word is evidence if toxic documents hold it more often than chance by this many standard deviations,
-EXCESS = 3.0
+EXCESS = 4.0
 #: or, where fewer documents hold it, if chance does so no more often than that: the exact binomial.
 LEAST_DOCS = 6
+#: Words that alone make a sentence toxic with less than this probability are left out after a first fit.
+LEAST_ALONE = 0.05
 SPAN_LIMIT = 0.5
 
 _LETTERS = np.zeros(256, dtype=np.uint8)
@@ -171,8 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     Null labels and ids teach nothing; of several labels of an id the greatest
     counts.  Documents that share an id are each learned with its label.  All
     labelled documents count when words are judged, when the two labels are
-    weighed and for the leak.  A word of which the fitted documents hold fewer
-    than LEAST_DOCS gets the weight of its share of toxic documents.
+    weighed and for the leak.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     if not 0 < total["t"] < total["n"]:
         return NoisyOr()
     found = _evident(counts, total["t"] / total["n"]).orderBy("w").toArrow()
-    n, t = (found.column(c).to_numpy() for c in ("n", "t"))
+    n = found.column("n")
     model = NoisyOr(found.column("w").to_numpy())
 
     hits = materialize(_hits(rows, model), "toxic-hits")
@@ -198,13 +199,20 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     lists = got.column("_pairs").combine_chunks()
     flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
     doc = np.repeat(np.arange(len(y)), np.diff(at))
-    word = flat.field("w").to_numpy()
-    model.fit(doc, flat.field("s").to_numpy(), word, y, weight[y.astype(int)], plain)
-    seen = np.bincount(np.unique(doc * max(1, len(n)) + word) % max(1, len(n)), minlength=len(n))
-    alone = (t + 0.5) / (n + 1)
-    few = seen < np.minimum(LEAST_DOCS, n)
-    model.weights[few] = (np.log(alone / (1 - alone)) - model.bias)[few]
-    return model
+    sentence, word = flat.field("s").to_numpy(), flat.field("w").to_numpy()
+    model.fit(doc, sentence, word, y, weight[y.astype(int)], plain)
+    # Words that the labels do not call for: many weak sentences would add up to a toxic text.
+    strong = np.flatnonzero(1 / (1 + np.exp(-(model.weights + model.bias))) >= LEAST_ALONE)
+    place = np.full(len(n), -1)
+    place[strong] = np.arange(len(strong))
+    kept = place[word] >= 0
+    some = np.flatnonzero(np.bincount(doc[kept], minlength=len(y)))
+    row = np.full(len(y), -1)
+    row[some] = np.arange(len(some))
+    c = weight[y.astype(int)]
+    without = np.array([c[(y == k) & (row < 0)].sum() for k in (0.0, 1.0)])
+    model = NoisyOr(model.words[strong])
+    return model.fit(row[doc[kept]], sentence[kept], place[word[kept]], y[some], c[some], plain + without)
 
 
 def score(docs: DataFrame, model: NoisyOr, id: str = "doc_id", text: str = "text") -> DataFrame:
