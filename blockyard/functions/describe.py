@@ -7,6 +7,7 @@ broadcast; what its tile entity says is a column expression.
 from __future__ import annotations
 
 from functools import cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,64 +41,41 @@ def grouped(number: Column) -> Column:
     return F.format_number(number, 0)
 
 
-def _pick(texts: tuple[str, ...], i: int) -> str | None:
-    return texts[i] if i < len(texts) else None
+class Part(NamedTuple):
+    """What some bits of the data say: a text for each value of ``data & mask``; other values say nothing."""
 
+    mask: int
+    texts: dict[int, str]
 
-_ON_OFF = {"redstone_torch_on": "on", "redstone_torch_off": "off", "redstone_lamp_on": "on", "redstone_lamp_off": "off"}
+
+def _in_order(mask: int, texts: tuple[str, ...]) -> Part:
+    return Part(mask, dict(enumerate(texts)))
+
+
+_LEVEL = Part(7, {i: f"level {8 - i}" for i in range(8)})
+_ON_OFF, _OPEN = Part(8, {0: "off", 8: "on"}), Part(4, {0: "closed", 4: "open"})
+_WOOD, _SLAB, _PRESSED = _in_order(3, WOODS), _in_order(15, SLABS), Part(1, {0: "off", 1: "on"})
+_HALF, _STANDING = Part(8, {0: "bottom", 8: "top"}), Part(7, {5: "standing"})
+_ALWAYS_ON, _ALWAYS_OFF = Part(0, {0: "on"}), Part(0, {0: "off"})
+_DELAY = Part(12, {4 * i: f"delay: {i + 1}" for i in range(4)})
+
+#: The parts of each block's text; those that say something are joined by commas.
+PARTS: dict[str, tuple[Part, ...]] = {
+    "water": (_LEVEL,), "lava": (_LEVEL,), "log": (_WOOD,), "leaves": (_WOOD, Part(4, {4: "permanent"})), "bed": (Part(8, {0: "foot", 8: "head"}),),
+    "powered_rail": (Part(8, {8: "powered"}),), "tall_grass": (_in_order(15, GRASSES),), "piston_head": (Part(8, {8: "sticky"}),), "cloth": (_in_order(15, WOOLS),),
+    "double_slab": (_SLAB,), "single_slab": (_SLAB,), "soil": (Part(15, {0: "dry"} | {i: f"wetness {i}" for i in range(1, 16)}),), "redstone_wire": (Part(15, {0: "off"} | {i: f"power level {i}" for i in range(1, 16)}),),
+    "burning_furnace": (Part(0, {0: "burning"}),), "wooden_door": (_HALF, _OPEN), "iron_door": (_HALF, _OPEN), "lever": (_ON_OFF,), "stone_button": (_ON_OFF,), "wooden_button": (_ON_OFF,),
+    "stone_pressure_plate": (_PRESSED,), "wooden_pressure_plate": (_PRESSED,), "glowing_redstone_ore": (Part(0, {0: "glowing"}),),
+    "redstone_torch_on": (_ALWAYS_ON, _STANDING), "redstone_torch_off": (_ALWAYS_OFF, _STANDING), "redstone_lamp_on": (_ALWAYS_ON,), "redstone_lamp_off": (_ALWAYS_OFF,),
+    "cake": (Part(7, {i: f"{6 - i} slices" for i in range(8)}),), "redstone_repeater_on": (_ALWAYS_ON, _DELAY), "redstone_repeater_off": (_ALWAYS_OFF, _DELAY), "trapdoor": (_OPEN,), "gate": (_OPEN,),
+    "stone_with_silverfish": (_in_order(15, SILVERFISH),), "tripwire_hook": (Part(12, {0: "disconnected", 4: "connected", 8: "active", 12: "active"}),), "tripwire": (Part(4, {4: "live"}),), "flower_pot": (_in_order(15, POTS),),
+}
 
 
 def detail(block: int, data: int) -> str | None:
     """What the data say besides the direction; None if nothing."""
-    name = next((n for n, i in ID.items() if i == block), "")
-    if name in ("water", "lava"):
-        return f"level {8 - (data & 7)}"
-    if name in ("log", "leaves"):
-        wood = _pick(WOODS, data & 3)
-        return f"{wood}, permanent" if name == "leaves" and data & 4 else wood
-    if name == "bed":
-        return "head" if data & 8 else "foot"
-    if name == "powered_rail":
-        return "powered" if data & 8 else None
-    if name == "tall_grass":
-        return _pick(GRASSES, data)
-    if name == "piston_head":
-        return "sticky" if data & 8 else None
-    if name == "cloth":
-        return _pick(WOOLS, data)
-    if name in ("double_slab", "single_slab"):
-        return _pick(SLABS, data)
-    if name == "soil":
-        return f"wetness {data & 15}" if data & 15 else "dry"
-    if name == "redstone_wire":
-        return f"power level {data}" if data else "off"
-    if name == "burning_furnace":
-        return "burning"
-    if name in ("wooden_door", "iron_door"):
-        return f"{'top' if data & 8 else 'bottom'}, {'open' if data & 4 else 'closed'}"
-    if name in ("lever", "stone_button", "wooden_button"):
-        return "on" if data & 8 else "off"
-    if name in ("stone_pressure_plate", "wooden_pressure_plate"):
-        return "on" if data & 1 else "off"
-    if name == "glowing_redstone_ore":
-        return "glowing"
-    if name in _ON_OFF:
-        return _ON_OFF[name] + (", standing" if "torch" in name and data & 7 == 5 else "")
-    if name == "cake":
-        return f"{6 - (data & 7)} slices"
-    if name in ("redstone_repeater_on", "redstone_repeater_off"):
-        return f"{name.rsplit('_')[-1]}, delay: {(data >> 2 & 3) + 1}"
-    if name in ("trapdoor", "gate"):
-        return "open" if data & 4 else "closed"
-    if name == "stone_with_silverfish":
-        return _pick(SILVERFISH, data)
-    if name == "tripwire_hook":
-        return "active" if data & 8 else "connected" if data & 4 else "disconnected"
-    if name == "tripwire":
-        return "live" if data & 4 else None
-    if name == "flower_pot":
-        return _pick(POTS, data)
-    return None
+    said = [part.texts[data & part.mask] for part in PARTS.get(blocks.WORDS.get(block, ""), ()) if data & part.mask in part.texts]
+    return ", ".join(said) or None
 
 
 @cache
