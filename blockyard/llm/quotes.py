@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratched, sized, small_batches, tidy
+from .common import drop_table, materialize, scratched, sized, small_batches, tidy
 
 MARK = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.DOTALL)
 
@@ -66,19 +66,17 @@ def _follow(links: DataFrame, name: str) -> DataFrame:
     """_up: where the links from (_c, _t) to _up end, and _d: the sum of their lengths; an end links to itself.
 
     Each round doubles how far a message looks up, so rounds grow with the logarithm of the
-    depth; messages that have found their end take no further part.
+    depth; messages that have found their end are no longer joined, and no join is by
+    conversation alone.
     """
-    found = links.where("_up = _t")
-    still = materialize(links.where("_up != _t"), f"{name}-up")
-    while not still.isEmpty():
-        deep = still.select("_c").distinct()
-        over = found.unionByName(still).join(deep, "_c", "left_semi")
-        over = over.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
-        step = still.join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_moved"))
-        step = materialize(step, f"{name}-step")
-        found = found.unionByName(step.where("not _moved").drop("_moved"))
-        still = step.where("_moved").drop("_moved")
-    return found
+    now = materialize(links.withColumn("_open", F.col("_up") != F.col("_t")), f"{name}-up")
+    while not now.where("_open").isEmpty():
+        over = now.select("_c", F.col("_t").alias("_up"), F.col("_up").alias("_next"), F.col("_d").alias("_more"))
+        step = now.where("_open").join(over, ["_c", "_up"]).select("_c", "_t", F.col("_next").alias("_up"), (F.col("_d") + F.col("_more")).alias("_d"), (F.col("_next") != F.col("_up")).alias("_open"))
+        further = materialize(now.where("not _open").unionByName(step), f"{name}-up")
+        drop_table(now)
+        now = further
+    return now.drop("_open")
 
 
 def _latest(origin: DataFrame, asked: DataFrame) -> DataFrame:
