@@ -65,6 +65,11 @@ FROM slot s LEFT JOIN (SELECT chunk_x, chunk_z, count(*) AS n, count(*) FILTER (
         _SLOTS,
     ),
     "s10_section_cells": _sql(f"SELECT chunk_x, chunk_z, x, y, z, block_id, block_data FROM ({_HERE}) WHERE NOT (block_id = 0 AND block_data = 0)"),
+    "v15_written_sections": _sql(
+        f"""SELECT * FROM (SELECT chunk_x, chunk_z, x, y, z, block_id, block_data FROM ({_HERE}) ANTI JOIN l USING (chunk_x, chunk_z, x, y, z) UNION ALL SELECT * FROM l WHERE NOT (chunk_x = 3 AND chunk_z = 3))
+WHERE NOT (block_id = 0 AND block_data = 0)""",
+        "l AS (SELECT chunk_x, chunk_z, x, CASE WHEN z % 2 = 0 THEN 70 ELSE 200 END::BIGINT AS y, z, x % 3 AS block_id, z % 4 AS block_data FROM range(4) a(chunk_x), range(4) b(chunk_z), range(16) c(x), range(16) e(z))",
+    ),
     "s7_legacy_cells": _sql(f"SELECT chunk_x, chunk_z, x, y, z, block_id, block_data FROM ({_HERE}) WHERE NOT (block_id = 0 AND block_data = 0)"),
     "s12_tile_entities": _sql("SELECT chunk_x, chunk_z, x, y, z, x + 16 * chunk_x AS world_x, z + 16 * chunk_z AS world_z, id, entity_id, custom_name, command, n_stacks, n_items FROM tiles", _TILES, _TILE_ROWS),
     "p13_entities": _sql(

@@ -50,6 +50,13 @@ def s10_section_cells(spark, sf_dir):
     return region.voxels(_chunks(spark, sf_dir)).drop("region_file")
 
 
+def v15_written_sections(spark, sf_dir):
+    """The cells of all sections after a layer of each chunk is written, in part where no section was."""
+    layer = spark.range(4 * 4 * 16 * 16).select(*[(F.floor(F.col("id") / n) % m).alias(c) for c, n, m in (("chunk_x", 1, 4), ("chunk_z", 4, 4), ("x", 16, 16), ("z", 256, 16))])
+    writes = layer.select("chunk_x", "chunk_z", "x", F.when(F.col("z") % 2 == 0, 70).otherwise(200).alias("y"), "z", (F.col("x") % 3).alias("block_id"), (F.col("z") % 4).alias("block_data"))
+    return region.voxels(region.write_cells(_chunks(spark, sf_dir), writes)).drop("region_file")
+
+
 def s7_legacy_cells(spark, sf_dir):
     """The cells of the older layout, one tall block for each chunk."""
     return region.voxels(_chunks(spark, sf_dir, True)).select("chunk_x", "chunk_z", "x", "y", "z", "block_id", "block_data")
@@ -348,7 +355,7 @@ def k3_written_tables(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        s3_slots, s6_chunk_status, s9_chunk_headers, s10_section_cells, s7_legacy_cells, s12_tile_entities, p13_entities, p5_find_blocks, p21_command_blocks, k12_chunk_dumps, a9_file_counters, s19_inflated_sizes,
+        s3_slots, s6_chunk_status, s9_chunk_headers, s10_section_cells, v15_written_sections, s7_legacy_cells, s12_tile_entities, p13_entities, p5_find_blocks, p21_command_blocks, k12_chunk_dumps, a9_file_counters, s19_inflated_sizes,
         k12_dump_lines, n8_display_names, n6_coerced_trees, n9_validity, n14_edited_tree, n2_mapped_values, p7_extent_predicates, g12_corners, g11_steps, x8_directions, x9_rails, x16_cell_numbers,
         x11_solid_and_wire, v4_set_tile_entities, v10_bulk_write, v10_bulk_change, v7_parts, v17_clamped_layers, v21_scribble, v16_cells, v18_centred, j5_legacy_copy, g1_load_over, k15_selection,
         t5_sign_texts, t6_mob_names, k3_written_tables,

@@ -240,6 +240,34 @@ def voxels(chunk_table: DataFrame, dense: bool = False, high_first: bool = False
     return chunk_table.where("status = 'ok'").select("region_file", "x_pos", "z_pos", "sections").mapInArrow(run, VOXEL_SCHEMA)
 
 
+def write_cells(chunk_table: DataFrame, changes: DataFrame) -> DataFrame:
+    """The chunk table with cells of its sections written: (chunk_x, chunk_z, x, y, z, block_id, block_data), local x and z, y from 0 to 255.
+
+    At most one row for each position.  Sections that a write needs are made;
+    chunks that cannot be read, or are not there, take no writes.
+    """
+    cell = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x", "y", "z", "block_id", "block_data")])
+    own = changes.groupBy("chunk_x", "chunk_z").agg(F.collect_list(cell).alias("_writes"))  # a chunk has 65,536 cells at most
+    joined = chunk_table.join(own, (F.col("x_pos") == F.col("chunk_x")) & (F.col("z_pos") == F.col("chunk_z")) & (F.col("status") == "ok"), "left")
+    names = chunk_table.columns
+    kind = pa.list_(pa.struct([("y", pa.int32()), ("blocks", pa.binary()), ("data", pa.binary())]))
+
+    def written(sections: list[dict], writes: list[dict]) -> list[dict]:
+        held = {s["y"]: (np.frombuffer(s["blocks"], np.uint8).copy(), unpack_nibbles(np.frombuffer(s["data"], np.uint8)).copy()) for s in sections}
+        for w in writes:
+            ids, low = held.setdefault(w["y"] >> 4, (np.zeros(4096, np.uint8), np.zeros(4096, np.uint8)))
+            i = (w["y"] & 15) << 8 | w["z"] << 4 | w["x"]
+            ids[i], low[i] = w["block_id"], w["block_data"] & 15
+        return [{"y": y, "blocks": ids.tobytes(), "data": pack_nibbles(low).tobytes()} for y, (ids, low) in sorted(held.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [s if not w else written(s or [], w) for s, w in zip(batch.column("sections").to_pylist(), batch.column("_writes").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(new, kind) if n == "sections" else batch.column(n) for n in names], names=names)
+
+    return joined.select(*names, "_writes").mapInArrow(run, chunk_table.schema)
+
+
 def tile_entities(chunk_table: DataFrame) -> DataFrame:
     """One row for each tile entity, x and z made local to its chunk; position in the world in world_x, world_z."""
     rows = chunk_table.where("status = 'ok'").select("region_file", F.col("x_pos").alias("chunk_x"), F.col("z_pos").alias("chunk_z"), F.posexplode("tile_entities").alias("ordinal", "t"))
