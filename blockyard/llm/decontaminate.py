@@ -19,11 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, fresh, materialize, scratched, sized, text_digest, words
+from .common import BROADCAST_BYTES, fresh, materialize, scratched, sized, table_bytes, text_digest, words
 
 #: Coordinates at most; 160 reach pairs in which the document has up to eight times the item's shingles.
 COORDINATES = 160
 MISS = 1e-7
+#: Benchmark shingles, about, that travel to a scan of the documents at a time.
+UNIVERSE = 800_000
 
 
 def coordinates(doc_class: int, item_class: int, percent: int) -> int:
@@ -79,16 +81,16 @@ def _found(
     universe = materialize(own.select("_h", F.col("_gram").alias("_g"), "_s").distinct(), "leak-universe")
 
     base = docs.select(F.col(id).alias("_id"), text_digest(F.col(text)).alias("_doc"), words(F.col(text)).alias("_dw"))
-    small, hits = fits(universe), None
+    # Documents meet the benchmark block by block, each block small enough to travel; their shingles are never shuffled.
+    blocks = max(1, math.ceil(universe.count() / UNIVERSE), math.ceil(table_bytes(universe) / BROADCAST_BYTES))
+    hits = None
     for n in lengths:
-        part = _positions(base, "_dw", n, "_doc", "_id")
-        if small:
+        for b in range(blocks):
+            known = universe if blocks == 1 else universe.where(F.pmod(F.col("_s"), F.lit(blocks)) == b)
             # spelt after the lookup, for the few that are found; as a join key it would be spelt for all
-            part = part.join(F.broadcast(universe), "_h").where(F.coalesce(_spelt("_dw", n) == F.col("_g"), F.lit(False)))
-        else:
-            part = part.withColumn("_gram", _spelt("_dw", n)).drop("_dw").join(universe, "_h").where("_gram = _g")
-        part = part.select("_doc", "_id", "_s")
-        hits = part if hits is None else hits.unionByName(part)
+            part = _positions(base, "_dw", n, "_doc", "_id").join(F.broadcast(known), "_h").where(F.coalesce(_spelt("_dw", n) == F.col("_g"), F.lit(False)))
+            part = part.select("_doc", "_id", "_s")
+            hits = part if hits is None else hits.unionByName(part)
     held = hits.groupBy("_doc", "_id").agg(F.collect_set("_s").alias("_x"))
     held = materialize(held.withColumns({"_nx": F.size("_x"), "_d": F.monotonically_increasing_id()}), "leak-held")
 

@@ -160,9 +160,10 @@ def test_circulant_signature_estimates_similarity():
 # benchmark passages
 
 
-@pytest.mark.parametrize("most", [decontaminate.COORDINATES, 40])
-def test_contained_matches_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, universe", [(decontaminate.COORDINATES, decontaminate.UNIVERSE), (40, 700)])
+def test_contained_matches_brute_force(spark, monkeypatch, most, universe):
     monkeypatch.setattr(decontaminate, "COORDINATES", most)
+    monkeypatch.setattr(decontaminate, "UNIVERSE", universe)
     rng = random.Random(3)
     items = [(i, prose(rng, rng.randint(1, 80))) for i in range(25)] + [(30, None), (31, ""), (32, "tiny item"), (33, prose(rng, 600))]
     docs = [(0, None), (1, ""), (2, "holds Tiny\nITEM here")]
