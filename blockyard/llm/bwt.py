@@ -116,8 +116,10 @@ def repeated(strings: list[np.ndarray], length: int, per_shard: int = 200_000) -
         if size >= per_shard:
             close()
     close()
-    z, place, block, _ = merge(shards, length)
-    many = np.bincount(block)[block] > 1
+    z, place, _, common = merge(shards, length)
+    # an interval of suffixes whose neighbours have ``length`` symbols in common is a repeated string
+    many = common >= length
+    many[:-1] |= many[1:].copy()
     base = np.concatenate([[0], np.cumsum([len(b) for b in back])])
     pos = np.concatenate(back)[base[z[many]] + place[many]]
     out[pos[pos >= 0]] = True
