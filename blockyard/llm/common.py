@@ -127,8 +127,9 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark ``df`` for broadcast if it ``fits``.
 
-    ``df`` must be a scratch table, perhaps with columns renamed.  Larger sides
-    are left for a shuffled join, which adaptive execution splits where a key is
+    ``df`` must be a scratch table, perhaps with columns renamed or rows left
+    out; its bytes are those of the whole table.  Larger sides are left for a
+    shuffled join, which adaptive execution splits where a key is
     hot.
     """
     return F.broadcast(df) if fits(df, limit, most) else df

@@ -473,7 +473,7 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
     sums = materialize(found.groupBy("_row").agg(gain.alias("_more"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("_seen")), "ctw-rare")
     # and grams
     odd = out.select("_row", F.explode("_odd").alias("r")).select("_row", "r.w", "r.t")
-    priced = odd.join(sized(materialize(model.where(F.col("m") < seldom).select("key", "log"), "ctw-seldom")), F.col("w") == F.col("key"))
+    priced = odd.join(sized(model.where(F.col("m") < seldom).select("key", "log")), F.col("w") == F.col("key"))
     logs = materialize(priced.groupBy("_row").agg(F.sum(F.col("t") * F.col("log")).alias("_log")), "ctw-odd")
     out = out.drop("_rare", "_odd").join(sized(sums), "_row", "left").join(sized(logs), "_row", "left")
     return out.select(
