@@ -181,6 +181,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def least_by_hash(df: DataFrame, key: str, limit: int, rows: int) -> DataFrame:
+    """At most ``limit`` rows of ``df``, which has ``rows``: those of the least hash of ``key``.
+
+    Rows of a hash that cannot be among them are left out before any sorting, so
+    what a single task has to sort does not grow with the partitions.
+    """
+    share = min(1.0, 2.0 * limit / max(1, rows))
+    hashed = F.xxhash64(key).bitwiseAND(F.lit((1 << 52) - 1))
+    return df.where(hashed < int(share * (1 << 52)) + 1).orderBy(hashed, key).limit(limit)
+
+
 def text_digest(c: Column) -> Column:
     """128 bits that tell rows of one id apart by their text; null counts as empty."""
     return F.md5(F.coalesce(c, F.lit("")).cast("binary"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, scratched, sized, small_batches, tidy
+from .common import least_by_hash, materialize, scratched, sized, small_batches, tidy
 
 #: Words that share a bucket share a vector; README has the accuracy for larger tables.
 BITS, DIMS, NONZERO, WINDOW = 14, 32, 2, 2
@@ -193,8 +193,9 @@ class Network:
 
 def sample_labels(labels: DataFrame, id: str, label: str, learn: Column, limit: int) -> DataFrame:
     """At most ``limit`` labelled ids to learn from, the least by hash; null labels and ids are left out."""
-    own = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_lid")).agg(F.max(label).cast("double").alias("_y"))
-    return materialize(own.orderBy(F.xxhash64("_lid"), "_lid").limit(limit), "labels")
+    usable = labels.where(learn & F.col(label).isNotNull() & F.col(id).isNotNull())
+    own = usable.groupBy(F.col(id).alias("_lid")).agg(F.max(label).cast("double").alias("_y"))
+    return materialize(least_by_hash(own, "_lid", limit, usable.count()), "labels")
 
 
 @scratched

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import materialize, scratched, sized, small_batches, tidy
+from .common import least_by_hash, materialize, scratched, sized, small_batches, tidy
 
 #: Labelled documents of either label that the model is fitted on at most, the least by a hash of the id.
 SAMPLE = 8_000
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
 
     hits = materialize(_hits(rows, model), "toxic-hits")
     held = {r["_y"]: r["n"] for r in hits.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    got = pa.concat_tables([hits.where(F.col("_y") == y).orderBy(F.xxhash64("_row"), "_row").limit(limit).toArrow() for y in (0.0, 1.0)])
+    got = pa.concat_tables([least_by_hash(hits.where(F.col("_y") == y), "_row", limit, held.get(y, 0)).toArrow() for y in (0.0, 1.0)])
     y = got.column("_y").to_numpy()
     # each label's documents stand for all of theirs
     weight = np.array([held.get(k, 0) / max(1, (y == k).sum()) for k in (0.0, 1.0)])
