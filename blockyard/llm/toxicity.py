@@ -181,11 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id",
     every = materialize(every, "toxic-labels")
     own = docs.select(F.col(id).alias("_id"), F.col(text).cast("binary").alias("_text"))
     rows = own.join(sized(every), F.col("_id") == F.col("_lid")).select(F.xxhash64("_lid").alias("_row"), "_y", "_text")
-    counts = materialize(_word_counts(rows), "toxic-words")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("t")).first()
     if not 0 < total["t"] < total["n"]:
         return NoisyOr()
-    found = _evident(counts, total["t"] / total["n"]).orderBy("w").toArrow()
+    found = _evident(_word_counts(rows), total["t"] / total["n"]).toArrow().sort_by("w")
     n = found.column("n")
     model = NoisyOr(found.column("w").to_numpy())
 
