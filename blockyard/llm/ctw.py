@@ -42,6 +42,8 @@ PAIRS = 600_000
 CHUNK = 100_000
 #: Most frequent words that travel with the scorer; counts of the others are joined.
 WORDS = 300_000
+#: Rows of a side that is broadcast at most, beside what travels with the scorer.
+SIDE = 200_000
 #: Distinct grams that a counting task holds before it hands them on.
 HELD = 1_500_000
 
@@ -468,14 +470,14 @@ def score(docs: DataFrame, learn: Column, id: str = "doc_id", text: str = "text"
 
     # words too rare to travel with the scorer
     rare = out.select("_row", F.explode("_rare").alias("r")).select("_row", "r.w", "r.t")
-    found = rare.join(sized(vocabulary.where(F.col("n") < least)), rare["w"] == vocabulary["key"], "left")
+    found = rare.join(sized(vocabulary.where(F.col("n") < least), SIDE), rare["w"] == vocabulary["key"], "left")
     gain = F.sum(F.col("t") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / floor))
     sums = materialize(found.groupBy("_row").agg(gain.alias("_more"), F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("_seen")), "ctw-rare")
     # and grams
     odd = out.select("_row", F.explode("_odd").alias("r")).select("_row", "r.w", "r.t")
-    priced = odd.join(sized(model.where(F.col("m") < seldom).select("key", "log")), F.col("w") == F.col("key"))
+    priced = odd.join(sized(model.where(F.col("m") < seldom).select("key", "log"), SIDE), F.col("w") == F.col("key"))
     logs = materialize(priced.groupBy("_row").agg(F.sum(F.col("t") * F.col("log")).alias("_log")), "ctw-odd")
-    out = out.drop("_rare", "_odd").join(sized(sums), "_row", "left").join(sized(logs), "_row", "left")
+    out = out.drop("_rare", "_odd").join(sized(sums, SIDE), "_row", "left").join(sized(logs, SIDE), "_row", "left")
     return out.select(
         F.col("_id").alias(id),
         *[F.col(f"_keep{i}").alias(k) for i, k in enumerate(keep)],
