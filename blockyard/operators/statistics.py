@@ -186,8 +186,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def tables(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame) -> list[tuple[str, DataFrame, Column]]:
-    """Name, rows and column to sum of the seven tables of the statistics; ``chunks`` has all slots."""
+def tables(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame) -> tuple[list[tuple[str, DataFrame, Column]], list[DataFrame]]:
+    """Name, rows and column to sum of the seven tables of the statistics, and what is kept for them; ``chunks`` has all slots."""
     good = chunks.where(F.col("present") & F.coalesce("populated", F.lit(False)))
     # Histograms of some hundred rows each, used twice.
     shown = exposure_counts(densify_chunks(voxels, good, layers=DEEP + 1)).persist()
@@ -197,7 +197,7 @@ def tables(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame) -> li
     sides = [(name, all_types(shown.where(F.col("exposed") == side).drop("exposed"))) for name, side in (("adjacent", True), ("nonadjacent", False))]
     matrix = layer_matrix(by_layer, highest)
     n = F.col("n")
-    return [
+    out = [
         ("total", all_types(totals), n),
         *[(name, rows, n) for name, rows in sides],
         ("topmost", all_types(topmost_counts(voxels)), n),
@@ -205,14 +205,18 @@ def tables(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame) -> li
         ("spawners", spawner_counts(tile_entities), n),
         ("chests", chest_counts(tile_entities), n),
     ]
+    return out, [shown, by_layer]
 
 
 def write_all(voxels: DataFrame, tile_entities: DataFrame, chunks: DataFrame, path: str) -> None:
     """The seven tables and the summary as CSV folders under ``path``; ``chunks`` has all slots."""
-    for name, rows, _ in tables(voxels, tile_entities, chunks):
+    every, kept = tables(voxels, tile_entities, chunks)
+    for name, rows, _ in every:
         order = [c for c in ("block_id", "layer") if c in rows.columns]
         write_csv(rows.orderBy(*order) if order else rows, f"{path}/{name}")
     write_csv(summary(counters(chunks)), f"{path}/summary")
+    for rows in kept:
+        rows.unpersist()
 
 
 def ground_level(store: DataFrame, by: tuple[str, ...] = (), ground: int = 0) -> DataFrame:

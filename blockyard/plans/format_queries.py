@@ -339,14 +339,14 @@ def t6_mob_names(spark, sf_dir):
 
 def k3_written_tables(spark, sf_dir):
     """Every table of the statistics over the files, as the job writes them: name of the table and its sums (K1-K4)."""
-    table = _chunks(spark, sf_dir)
-    slots = _slots(spark, sf_dir).where("status in ('ok', 'absent')")
+    read = _slots(spark, sf_dir).persist()  # the files are made once for all tables
+    table, slots = region.chunks(read), read.where("status in ('ok', 'absent')")
     voxels = region.voxels(table).drop("region_file")
     good = table.where("status = 'ok' and populated").select(F.col("x_pos").alias("chunk_x"), F.col("z_pos").alias("chunk_z"))
     voxels = voxels.join(good, ["chunk_x", "chunk_z"], "left_semi")
     tiles = region.tile_entities(table).join(good, ["chunk_x", "chunk_z"], "left_semi")
     out = None
-    for name, rows, n in statistics.tables(voxels, tiles, region.slot_table(slots, table)):
+    for name, rows, n in statistics.tables(voxels, tiles, region.slot_table(slots, table))[0]:
         part = rows.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(n).cast("bigint").alias("total"))
         out = part if out is None else out.unionByName(part)
     return out
