@@ -54,6 +54,25 @@ def test_production_lengths_and_a_text_over_two_megabytes(spark):
     assert len(got[4]) == 2 and [(s["start"], s["end"]) for s in got[4][0]["spans"]] == [(0, 3000)]
 
 
+def test_a_copied_text_is_looked_at_once(spark, monkeypatch):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    one, other = make(1500), make(1500)
+    texts = [one] * 40 + [other, make(300) + one[200:900] + make(300), other[:700] + make(200), "z" * 399, "z" * 399]
+    rows, write = {}, repeats.materialize
+
+    def counted(df, name, *how):
+        out = write(df, name, *how)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+    assert rows["repeat-segments"] < 40 * len(one) / 101  # each copy alone has more than its windows over 101
+
+
 def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "scratch_dir", lambda _: f"file://{tmp_path}")
     out = repeats.remove_repeats(spark.createDataFrame([(1, "a" * 900), (2, "b")], "doc_id long, text string"))
@@ -105,3 +124,14 @@ def test_merge_gives_common_prefixes():
         a, b = suffix(k - 1), suffix(k)
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert a <= b and common[k] == n
+
+
+def test_a_single_shard_gives_what_the_rounds_give():
+    rng = np.random.default_rng(2)
+    none = bwt.Shard(np.zeros(0, np.int16))
+    for _ in range(40):
+        shard = bwt.Shard(np.concatenate([np.append(rng.integers(1, 3, rng.integers(0, 40)), 0) for _ in range(rng.integers(1, 9))]).astype(np.int16))
+        depth = int(rng.integers(1, 30))
+        assert shard.common(depth).tolist() == bwt.merge([shard, none], depth)[3].tolist()
+        for alone, rounds in zip(bwt.merge([shard], depth), bwt.merge([shard, none], depth)):
+            assert alone.tolist() == rounds.tolist()
