@@ -14,7 +14,7 @@ from ..functions.blocks import ID
 from ..functions.extents import Box
 from ..operators import statistics, store, transforms
 from ..sources import nbt, region, schematic
-from . import region_view
+from . import part_view, region_view
 from . import voxel_view as view
 
 #: Cuboids that are arguments of the queries.
@@ -97,7 +97,7 @@ def a9_file_counters(spark, sf_dir):
 
 def s19_inflated_sizes(spark, sf_dir):
     """Bytes of one document for each part, packed and unpacked again in every way."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name")
+    parts = part_view.parts(spark, sf_dir).select("p_name")
     twice = nbt.Codec(lambda b: b + b, lambda b: b[: len(b) // 2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def s19_inflated_sizes(spark, sf_dir):
 def _documents(spark, sf_dir) -> DataFrame:
     """path, content: one document for each part, keys not in order, one of them a list."""
     own = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("Size"), F.col("p_partkey").alias("key")))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), own.alias("j"))
+    parts = part_view.parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), own.alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +155,7 @@ def n6_coerced_trees(spark, sf_dir):
 
 def n9_validity(spark, sf_dir):
     """Which values can be written: lists of one type can, mixed lists and texts of 65,536 bytes cannot."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size")
+    parts = part_view.parts(spark, sf_dir).select("p_size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,12 +1,15 @@
 """Binary formats: round trips, damaged input, and what readers make of them."""
 
 import gzip
+import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from blockyard.plans import format_queries, part_view, queries
 from blockyard.sources import nbt, region, schematic
 
 
@@ -278,3 +281,17 @@ def test_files_are_written_whole(spark, tmp_path):
     rows = spark.createDataFrame([(f"f{i}", bytes([i]) * i) for i in range(5)], "name string, content binary")
     schematic.save(rows, str(tmp_path / "out"))
     assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"f{i}": bytes([i]) * i for i in range(5)}
+
+
+def test_encoding_does_not_call_python_for_each_document(spark):
+    files = spark.createDataFrame([(f"d{i}", nbt.dumps("r", {"n": i, "l": [i / 2, 2.5] if i % 2 else [], "t": "x" * (i % 3), "b": b"ab"})) for i in range(300)], "path string, content binary")
+    made = nbt.encoded(nbt.nodes(files).orderBy("node_id", "doc"))
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().toString()
+    assert {r["doc"]: nbt.inflate(bytes(r["content"])) for r in made.collect()} == {r["path"]: nbt.inflate(bytes(r["content"])) for r in files.collect()}
+
+
+@pytest.mark.parametrize("name", ["n6_coerced_trees", "s19_inflated_sizes", "n9_validity"])
+def test_documents_are_dealt_out_by_their_number(spark, monkeypatch, name):
+    monkeypatch.setattr(part_view, "TASK_ROWS", 50)
+    out = (queries.QUERIES | format_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
+    assert re.search(r"Exchange hashpartitioning\(p_partkey#\d+L, 4\)", out._jdf.queryExecution().executedPlan().toString())
