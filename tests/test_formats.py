@@ -290,7 +290,31 @@ def test_encoding_does_not_call_python_for_each_document(spark):
     assert {r["doc"]: nbt.inflate(bytes(r["content"])) for r in made.collect()} == {r["path"]: nbt.inflate(bytes(r["content"])) for r in files.collect()}
 
 
-@pytest.mark.parametrize("name", ["n6_coerced_trees", "s19_inflated_sizes", "n9_validity"])
+class Batches:
+    """A frame of these batches as far as ``nodes`` goes: mapInArrow gives what the function gives."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_small_documents_share_a_batch_of_nodes(spark):
+    raw = nbt.dumps("part", {"a": 1, "l": ["x", "y"], "t": "text"})
+    files = [pa.RecordBatch.from_arrays([pa.array([f"{k}.{i}" for i in range(1500)]), pa.array([raw] * 1500, pa.binary())], names=["path", "content"]) for k in "ab"]
+    out = nbt.nodes(Batches(*files))
+    assert len(out) == 2 and max(b.num_rows for b in out) <= nbt.BATCH_ROWS
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows == [r for k in "ab" for i in range(1500) for r in nbt.node_rows(f"{k}.{i}", *nbt.loads(raw))]
+    large = nbt.dumps("", {"t": nbt.Tag(nbt.BYTES, bytes(nbt.BATCH_BYTES))})
+    assert len(nbt.nodes(Batches(pa.RecordBatch.from_arrays([pa.array(list("abc")), pa.array([large] * 3, pa.binary())], names=["path", "content"])))) == 3
+
+
+@pytest.mark.parametrize("name", ["n6_coerced_trees", "n8_display_names", "s19_inflated_sizes", "n9_validity"])
 def test_documents_are_dealt_out_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(part_view, "TASK_ROWS", 50)
     out = (queries.QUERIES | format_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
