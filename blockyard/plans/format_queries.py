@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks, cells, describe, extents
@@ -113,10 +113,10 @@ def s19_inflated_sizes(spark, sf_dir):
     return parts.mapInArrow(run, "packing string, size bigint").groupBy("packing").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-def _documents(spark, sf_dir) -> DataFrame:
-    """path, content: one document for each part, keys not in order, one of them a list."""
+def _documents(spark, sf_dir, only: Column | None = None) -> DataFrame:
+    """path, content: one document for each part, or for those that ``only`` holds for, keys not in order, one of them a list."""
     own = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("Size"), F.col("p_partkey").alias("key")))
-    parts = part_view.parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), own.alias("j"))
+    parts = part_view.parts(spark, sf_dir, only).select(F.col("p_partkey").cast("string").alias("path"), own.alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def n9_validity(spark, sf_dir):
 
 def n14_edited_tree(spark, sf_dir):
     """One document after a value is added and two are taken out."""
-    nodes = nbt.nodes(_documents(spark, sf_dir).where("path = '1'"))
+    nodes = nbt.nodes(_documents(spark, sf_dir, F.col("p_partkey") == 1))  # a filter on documents that are made already would make them all
     number = {r["path"]: r["node_id"] for r in nodes.collect()}
     grown = nbt.insert_node(nodes, "1", 0, "new", {"k": 7})
     left = nbt.remove_node(nbt.remove_node(grown, "1", number["part.name"]), "1", number["part.a.b[0]"])

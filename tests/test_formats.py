@@ -314,8 +314,28 @@ def test_small_documents_share_a_batch_of_nodes(spark):
     assert len(nbt.nodes(Batches(pa.RecordBatch.from_arrays([pa.array(list("abc")), pa.array([large] * 3, pa.binary())], names=["path", "content"])))) == 3
 
 
+def test_edits_take_one_job_each(spark):
+    raw = nbt.dumps("", {"l": [{"x": i} for i in range(60)], "k": 1})
+    table = nbt.nodes(spark.createDataFrame([("d", raw)], "path string, content binary"))
+    first = table.where("path = 'root.l[0]'").first()["node_id"]
+    spark.sparkContext.setJobGroup("edits", "edits")
+    try:
+        left = nbt.insert_node(nbt.remove_node(table, "d", first), "d", 0, "new", 7)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("edits")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3  # one to remove, an aggregate's two stages to insert
+    rows = {r["path"]: r for r in left.collect()}
+    assert [rows[f"root.l[{i}].x"]["long_val"] for i in range(59)] == list(range(1, 60)) and "root.l[59]" not in rows and len(rows) == 59 * 2 + 4
+
+
 @pytest.mark.parametrize("name", ["n6_coerced_trees", "n8_display_names", "s19_inflated_sizes", "n9_validity"])
 def test_documents_are_dealt_out_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(part_view, "TASK_ROWS", 50)
     out = (queries.QUERIES | format_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
     assert re.search(r"Exchange hashpartitioning\(p_partkey#\d+L, 4\)", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_one_document_is_picked_before_documents_are_made(spark):
+    out = format_queries.n14_edited_tree(spark, "/root/testdata/sf0.001")
+    assert "EqualTo(p_partkey,1)" in out._jdf.queryExecution().executedPlan().toString()
