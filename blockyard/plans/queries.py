@@ -13,6 +13,7 @@ from ..functions.blocks import ID
 from ..functions.extents import Box
 from ..operators import statistics, store, transforms
 from ..sources import nbt, schematic
+from . import part_view
 from . import voxel_view as view
 
 #: Cuboids and cells that are arguments of the queries.
@@ -272,7 +273,7 @@ def k6_circuit_round_trip(spark, sf_dir):
 
 def k9_nbt_round_trip(spark, sf_dir):
     """One document for each part, encoded and parsed to a node table; counted by path."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("path"), F.to_json(F.struct("p_name", "p_size", "p_retailprice")).alias("j"))
+    parts = part_view.parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("path"), F.to_json(F.struct("p_name", "p_size", "p_retailprice")).alias("j"))
 
     def run(batches):
         for batch in batches:

@@ -329,7 +329,7 @@ def test_edits_take_one_job_each(spark):
     assert [rows[f"root.l[{i}].x"]["long_val"] for i in range(59)] == list(range(1, 60)) and "root.l[59]" not in rows and len(rows) == 59 * 2 + 4
 
 
-@pytest.mark.parametrize("name", ["n6_coerced_trees", "n8_display_names", "k12_dump_lines", "s19_inflated_sizes", "n9_validity"])
+@pytest.mark.parametrize("name", ["n6_coerced_trees", "n8_display_names", "k12_dump_lines", "k9_nbt_round_trip", "s19_inflated_sizes", "n9_validity"])
 def test_documents_are_dealt_out_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(part_view, "TASK_ROWS", 50)
     out = (queries.QUERIES | format_queries.QUERIES)[name](spark, "/root/testdata/sf0.001")
