@@ -1,5 +1,9 @@
 """Stores: early stops, checks that raise, and the tables of the statistics as files."""
 
+import itertools
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +85,18 @@ def test_the_statistics_job_writes_its_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", ["a4_enclosed_counts", "s12_tile_entities", "p13_entities", "p5_find_blocks", "p21_command_blocks", "n14_edited_tree", "k15_selection"])
 def test_queries_have_something_to_show(spark, name):
     assert not (queries.QUERIES | format_queries.QUERIES)[name](spark, DATA).isEmpty()
+
+
+def test_winners_are_found_by_hashing_and_nulls_and_signs_are_kept(spark, tmp_path):
+    numbers = [None, -300, -1, 0, 1, 17, 130, 2**62]
+    rows = [(o, p, s, line, float(q), "RAN"[q % 3]) for q, (o, p, s, line) in enumerate(itertools.product(numbers, (None, -1, 1, 17, 33), (None, -17, 1), (None, -1, 1, 5)))]
+    spark.createDataFrame(rows + rows[::7], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = view._winners(spark, str(tmp_path))
+    assert re.search(r" HashAggregate\(keys=\[_place", got._jdf.queryExecution().executedPlan().toString())
+    best = {}
+    low = lambda v: (v is not None, v or 0)
+    rem = lambda v, n: None if v is None else int(math.fmod(v, n))
+    for o, p, s, line, q, f in rows:
+        at = (None if o is None else rem(math.floor(o / 128), 4), rem(line, 4), rem(p, 16), rem(o, 128), rem(s, 16))
+        best[at] = max(best.get(at, ()), (low(o), low(line), low(p), low(s), int(q), f))
+    assert {tuple(r[c] for c in view.POSITION): (*map(low, r["w"][:4]), *r["w"][4:]) for r in got.collect()} == best
