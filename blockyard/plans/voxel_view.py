@@ -94,7 +94,7 @@ def tile_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("o"), F.struct((F.col("l_partkey") % 400).alias("id"), F.col("l_quantity").cast("bigint").alias("count")).alias("i")
     )
     wanted = cells.where(F.col("block_id") == blocks.CHEST).select("o").distinct()
-    held = line.join(wanted, "o", "left_semi").groupBy("o").agg(F.collect_list("i").alias("items"))  # an order has a few lines
+    held = line.join(F.broadcast(wanted), "o", "left_semi").groupBy("o").agg(F.collect_list("i").alias("items"))  # an order has a few lines
     out = cells.join(held, "o", "left")
     chest = F.col("block_id") == blocks.CHEST
     return out.select(

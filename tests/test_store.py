@@ -100,3 +100,13 @@ def test_winners_are_found_by_hashing_and_nulls_and_signs_are_kept(spark, tmp_pa
         at = (None if o is None else rem(math.floor(o / 128), 4), rem(line, 4), rem(p, 16), rem(o, 128), rem(s, 16))
         best[at] = max(best.get(at, ()), (low(o), low(line), low(p), low(s), int(q), f))
     assert {tuple(r[c] for c in view.POSITION): (*map(low, r["w"][:4]), *r["w"][4:]) for r in got.collect()} == best
+
+
+def test_lines_are_not_shuffled_to_find_those_of_chests(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = view.tile_entities(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"BroadcastHashJoin \[o#\d+L\], \[o#\d+L\], LeftSemi", plan)
